@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tarnmill.llm import sharding, token_counts
+from tarnmill.llm import packing, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op1_packing": packing.query,
+    "op4_toxicity": toxicity.query,
     "op5_sharding": sharding.query,
     "op6_token_counts": token_counts.query,
 }
