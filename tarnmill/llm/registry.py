@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tarnmill.llm import packing, sharding, token_counts, toxicity
+from tarnmill.llm import license_scan, packing, sharding, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op3_license_scan": license_scan.query,
     "op4_toxicity": toxicity.query,
     "op5_sharding": sharding.query,
     "op6_token_counts": token_counts.query,
+    "op8_warc": warc.query,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": sharding.oracle()}
+    return {"op5_sharding": sharding.oracle(), "op8_warc": warc.ORACLE}
