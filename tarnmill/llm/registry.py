@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnmill.llm import license_scan, packing, sharding, token_counts, toxicity, warc
+from tarnmill.llm import license_scan, packing, sharding, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_toxicity": toxicity.query,
     "op5_sharding": sharding.query,
     "op6_token_counts": token_counts.query,
+    "op7_simhash": simhash.query,
     "op8_warc": warc.query,
 }
 
