@@ -197,7 +197,7 @@ def _compare(radius: int):
                 continue
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(first, last))
-            a, b = [], []
+            a, b = [node[:0]], [node[:0]]
             for n in range(2, SMALL + 1):
                 starts = first[size == n]
                 for at in range(0, len(starts), 4096):
