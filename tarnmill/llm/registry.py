@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tarnmill.llm import license_scan, packing, sharding, simhash, token_counts, toxicity, warc
+from tarnmill.llm import embedding_dedup, license_scan, packing, sharding, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_embedding_dedup": embedding_dedup.query,
     "op3_license_scan": license_scan.query,
     "op4_toxicity": toxicity.query,
     "op5_sharding": sharding.query,
