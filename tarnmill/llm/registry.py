@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnmill.llm import embedding_dedup, license_scan, packing, sharding, simhash, suffix_dedup, token_counts, toxicity, warc
+from tarnmill.llm import decontamination, embedding_dedup, license_scan, packing, sharding, simhash, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_simhash": simhash.query,
     "op8_warc": warc.query,
     "op9_suffix_dedup": suffix_dedup.query,
+    "op10_decontamination": decontamination.query,
 }
 
 
