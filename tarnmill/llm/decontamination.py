@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnmill.llm.common import U64, Words, ngram_hashes, slices, text_buffer
+from tarnmill.llm.common import U64, Words, columns, ngram_hashes, slices, text_buffer
 
 #: Tokens of a template window; an item with fewer has one window of all its tokens, and none with under LEAST.
 WINDOW = 8
@@ -354,9 +354,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows:
     if (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= broadcast_windows:
         find = _matcher(Benchmark(sorted(r["text"] for r in items.collect())))
         return docs.where(F.size(find(F.coalesce(docs["text"], F.lit("")))) == 0)
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    bad = _by_shuffle(docs.select(F.lit(0).alias("doc_id"), "text").distinct().withColumn("doc_id", F.xxhash64("text")), benchmark.select("item_id", "text").where("text is not null")).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(bad, "_key", "left_anti").select(docs.columns)
+    keyed = docs.withColumn("__tm_key", F.xxhash64("text"))
+    bad = _by_shuffle(docs.select(F.lit(0).alias("doc_id"), "text").distinct().withColumn("doc_id", F.xxhash64("text")), benchmark.select("item_id", "text").where("text is not null")).select(F.col("doc_id").alias("__tm_key")).distinct()
+    return keyed.join(bad, "__tm_key", "left_anti").select(*columns(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

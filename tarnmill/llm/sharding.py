@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnmill.llm.common import columns
+
 SHARDS = 64
 #: A prime, about a thousand slots for each shard: shares differ by 1 in 1,000 at most.
 TABLE_SIZE = 65_537
@@ -59,7 +61,7 @@ def assign_shards(spark: SparkSession, df: DataFrame, key: str = "doc_id", shard
     slots = spark.createDataFrame(list(zip(range(size), table.tolist())), "slot long, shard int")
     placed = df.drop("slot", "shard").withColumn("slot", slot_of(F.col(f"`{key}`"), size))
     # left: every slot has its row, and a left join keeps df on the streamed side
-    return placed.join(F.broadcast(slots), "slot", "left").select(*[f"`{c}`" for c in placed.columns], "shard")
+    return placed.join(F.broadcast(slots), "slot", "left").select(*columns(placed), "shard")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import U64, Words, drop_written, mix, slices, written
+from tarnmill.llm.common import U64, Words, columns, drop_written, mix, slices, written
 from tarnmill.llm.components import components
 
 BITS = 256
@@ -279,15 +279,15 @@ def drop_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES,
     fate = _ranked(signed, roots).groupBy("doc_id", "h").agg(F.count("*").alias("n"), F.count_if("is_duplicate").alias("losers"))
     fate = written(fate.where("losers > 0"), "fate")
     drop_written(signed)
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    keyed = docs.withColumn("__tm_h", F.xxhash64("text"))
     gone, some = fate.where("losers = n"), fate.where("losers < n")
-    match = keyed["doc_id"].eqNullSafe(fate["doc_id"]) & (keyed["_h"] == fate["h"])
+    match = keyed["doc_id"].eqNullSafe(fate["doc_id"]) & (keyed["__tm_h"] == fate["h"])
     if some.isEmpty():
-        return keyed.join(gone, match, "left_anti").select(docs.columns)
+        return keyed.join(gone, match, "left_anti").select(*columns(docs))
     kept = keyed.join(fate, match, "left_anti")
-    w = Window.partitionBy("doc_id", "_h").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    ones = keyed.join(some, match, "left_semi").withColumn("_rank", F.row_number().over(w)).where("_rank = 1")
-    return kept.select(docs.columns).unionByName(ones.select(docs.columns))
+    w = Window.partitionBy("doc_id", "__tm_h").orderBy(F.xxhash64(*columns(docs)))
+    ones = keyed.join(some, match, "left_semi").withColumn("__tm_rank", F.row_number().over(w)).where("__tm_rank = 1")
+    return kept.select(*columns(docs)).unionByName(ones.select(*columns(docs)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnmill.llm.common import U64, Words, _power, drop_written, mix, ngram_hashes, slices, written
+from tarnmill.llm.common import U64, Words, _power, columns, drop_written, mix, ngram_hashes, slices, written
 
 #: A passage of so many words that occurred earlier is removed.
 LENGTH = 50
@@ -325,13 +325,14 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     """docs without the spans of `repeated_spans`: text from the first to before the next word that stays goes, and
     n_chars, if there, is counted anew. A document of which nothing but white space is left goes; all others stay,
     untouched ones as they are."""
-    spans = _spans(docs).groupBy("d", "h").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST)))).withColumn("_h", F.xxhash64("text"))
-    joined = keyed.join(spans, (F.col("_d") == F.col("d")) & (F.col("_h") == F.col("h")), "left")
-    cut = joined.where("_spans is not null").withColumn("text", _cut("text", "_spans")).where(F.col("text").rlike(r"\S"))
+    spans = _spans(docs).groupBy("d", "h").agg(F.collect_list(F.struct("start", "end")).alias("__tm_spans"))
+    spans = spans.withColumnsRenamed({"d": "__tm_d", "h": "__tm_h"})
+    keyed = docs.withColumns({"__tm_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))), "__tm_h": F.xxhash64("text")})
+    joined = keyed.join(spans, ["__tm_d", "__tm_h"], "left")
+    cut = joined.where("__tm_spans is not null").withColumn("text", _cut("text", "__tm_spans")).where(F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.where("_spans is null").select(docs.columns).unionByName(cut.select(docs.columns))
+    return joined.where("__tm_spans is null").select(*columns(docs)).unionByName(cut.select(*columns(docs)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
