@@ -221,14 +221,15 @@ def longest_previous_factors(text: np.ndarray, where: np.ndarray, depth: int) ->
     for place_, lcp_, index in ((place, lcp, order), (place[::-1], lcp[::-1], order[::-1])):
         to = np.arange(-1, n - 1)
         reach = np.append(0, lcp_)  # least LCP between a suffix and where it points
-        reach[0:1] = 0
-        while True:
-            todo = np.flatnonzero((to >= 0) & (place_[to] >= place_) & (reach > 0))
-            if not len(todo):
-                break
-            via = to[todo]
-            reach[todo] = np.minimum(reach[todo], reach[via])
-            to[todo] = to[via]
+        active = np.arange(n)
+        while len(active):
+            via = to[active]
+            on = (via >= 0) & (reach[active] > 0)
+            active, via = active[on], via[on]
+            on = place_[via] >= place_[active]  # the others have found theirs
+            active, via = active[on], via[on]
+            reach[active] = np.minimum(reach[active], reach[via])
+            to[active] = to[via]
         best[index] = np.maximum(best[index], np.where(to >= 0, reach, 0))
     return best
 
