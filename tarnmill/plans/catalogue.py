@@ -1,32 +1,8 @@
-"""Queries of the catalogue and their DuckDB equivalents."""
+"""All queries of the engine."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tarnmill.plans import dedup, extraction, joins, reports, rules, series, sinks, sources, states, texts  # noqa: F401
+from tarnmill.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    """Adds a query under a name, with its DuckDB equivalent if there is one."""
-
-    def add(function):
-        QUERIES[name] = function
-        if sql:
-            ORACLE_SQL[name] = sql
-        return function
-
-    return add
-
-
-@register(
-    "a02_source_quality",
-    "SELECT event_type AS source, count(*) AS total, count(*) FILTER (WHERE value > 0) AS valid FROM events GROUP BY 1",
-)
-def _source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("total"), F.count_if(F.col("value") > 0).alias("valid"))
+__all__ = ["ORACLE_SQL", "QUERIES"]
