@@ -20,8 +20,8 @@ LENGTH = 50
 ANCHOR = 20
 REACH = LENGTH - ANCHOR
 _LAST = np.int64(2**63 - 1)  # stands for a null doc_id: after all others
-#: Fragments whose suffixes are sorted together, unless one anchor has more.
-FRAGMENTS = 4_096
+#: Fragments whose suffixes are sorted together, unless one document has more of one anchor.
+FRAGMENTS = 2_048
 _U64_MAX = U64(2**64 - 1)
 
 
@@ -234,35 +234,73 @@ def longest_previous_factors(text: np.ndarray, where: np.ndarray, depth: int) ->
     return best
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """(columns, whether the first anchor began in the block before): about FRAGMENTS rows of those sorted by (anchor,
+    d, h), cut between documents, so that an anchor of any number of documents is handled in bounded memory."""
+    held: list[list[np.ndarray]] = []
+    rows, before = 0, None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            for i in range(0, batch.num_rows, FRAGMENTS):
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.slice(i, FRAGMENTS).columns])
+                rows += len(held[-1][0])
+                while rows >= FRAGMENTS:
+                    columns = [np.concatenate(c) for c in zip(*held)]
+                    change = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])) + 1
+                    if not len(change):
+                        held = [columns]
+                        break  # one document so far
+                    cut = int(change[-1])
+                    yield [c[:cut] for c in columns], columns[0][0] == before
+                    before = columns[0][cut - 1]
+                    held = [[c[cut:] for c in columns]]
+                    rows -= cut
+        elif rows:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            yield columns, columns[0][0] == before
+
+
 def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of repeated passages from fragments sorted by anchor: a suffix array over each batch of whole groups, in
-    which only suffixes of one anchor share symbols, since the anchor's number is a part of every symbol."""
-    for anchor, d, h, a, words in whole_groups(batches, FRAGMENTS):
+    """Spans of repeated passages from fragments sorted by (anchor, d, h): a suffix array over each block, in which
+    only suffixes of one anchor share symbols, since the anchor's number is a part of every symbol. Of an anchor that
+    goes on in the next block, hashes of all passages are kept; a passage that is among those of earlier blocks, and
+    so of earlier documents, is a repeat."""
+    earlier = np.empty(0, U64)
+    for (anchor, d, h, a, words), goes_on in _blocks(batches):
         size = np.array([len(w) for w in words]) // 4
         symbols = np.frombuffer(b"".join(words), np.uint32).astype(U64)
-        group = np.cumsum(np.append(False, anchor[1:] != anchor[:-1])).astype(U64)
+        group = np.cumsum(np.append(False, anchor[1:] != anchor[:-1]))
         owner = np.repeat(np.arange(len(anchor)), size)
         start = np.cumsum(size) - size
-        inside = np.arange(len(symbols)) - start[owner]
-        text = (group[owner] << U64(32)) | symbols
+        word = np.arange(len(symbols)) - start[owner] + a[owner]
         # a separator of its own after each fragment, so that no match runs into the next
-        gaps = np.arange(len(anchor))
         full = np.empty(len(symbols) + len(anchor), U64)
         at = np.arange(len(symbols)) + owner
-        full[at] = text
-        full[start + size + gaps] = (U64(1) << U64(63)) | gaps.astype(U64)
+        full[at] = (group[owner].astype(U64) << U64(32)) | symbols
+        full[start + size + np.arange(len(anchor))] = (U64(1) << U64(63)) | np.arange(len(anchor)).astype(U64)
         # order of places: (d, h, word); the same word of one document is one place, in however many fragments
-        place = np.lexsort((inside + a[owner], h[owner], d[owner]))
-        dd, hh, ww = d[owner][place], h[owner][place], (inside + a[owner])[place]
+        place = np.lexsort((word, h[owner], d[owner]))
+        dd, hh, ww = d[owner][place], h[owner][place], word[place]
         dense = np.empty(len(symbols), np.int64)
         dense[place] = np.cumsum(np.append(False, (dd[1:] != dd[:-1]) | (hh[1:] != hh[:-1]) | (ww[1:] != ww[:-1])))
         where = np.full(len(full), np.iinfo(np.int64).max)
         where[at] = dense
         lpf = longest_previous_factors(full, where, LENGTH)[at]
+        if not goes_on:
+            earlier = earlier[:0]
+        # passages of the first anchor, which may have begun before, and of the last, which may go on
+        for g in {0, int(group[-1])}:
+            one = slice(*np.searchsorted(group[owner], [g, g + 1]))
+            passages = ngram_hashes(symbols[one], LENGTH)
+            whole = owner[one][: len(passages)] == owner[one][LENGTH - 1 :]
+            if g == 0 and len(earlier):
+                found = np.flatnonzero(np.isin(passages, earlier) & whole)
+                lpf[one.start + found] = np.maximum(lpf[one.start + found], LENGTH)
+            if g == group[-1]:
+                earlier = np.union1d(earlier if g == 0 else earlier[:0], passages[whole])
         hit = np.flatnonzero(lpf >= LENGTH)
         if len(hit):
-            begin = (inside + a[owner])[hit]
-            out = merge_spans(d[owner][hit], h[owner][hit], begin, begin + lpf[hit])
+            out = merge_spans(d[owner][hit], h[owner][hit], word[hit], word[hit] + lpf[hit])
             yield pa.record_batch([pa.array(np.zeros(len(out[0]), np.int32)), *(pa.array(c) for c in out)], names=["kind", "d", "h", "x", "y"])
 
 
@@ -280,7 +318,7 @@ def _spans(docs: DataFrame) -> DataFrame:
     shared = written(shared, "shared")
     asked = shared.where("kind = 1").groupBy("d", "h").agg(F.collect_list(F.struct(F.col("y").alias("anchor"), F.col("x").alias("at"))).alias("asked"))
     fragments = rows.join(asked, ["d", "h"]).select("d", "h", "t", "asked").mapInArrow(_fragments, "anchor long, d long, h long, a long, words binary")
-    factors = fragments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_factors, _FOUND)
+    factors = fragments.repartition("anchor").sortWithinPartitions("anchor", "d", "h").mapInArrow(_factors, _FOUND)
     spans = shared.where("kind = 0").select("d", "h", "x", "y").unionByName(own).unionByName(factors.select("d", "h", "x", "y"))
     ordered = Window.partitionBy("d", "h").orderBy("x", "y")
     before = F.max("y").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
