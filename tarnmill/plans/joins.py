@@ -1 +1,174 @@
-"""To come."""
+"""Joins over the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tarnmill.functions import urls
+from tarnmill.functions.text import alnum_key
+from tarnmill.operators import joins
+from tarnmill.plans.registry import register
+from tarnmill.sources.tables import AS_OF, JOBS_SQL, TITLES_SQL, as_of, jobs, table, titles
+
+_K = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
+
+
+@register(
+    "j01_dedup_anti_join",
+    rf"WITH {TITLES_SQL}, t AS (SELECT doc_id, {_K.format('title')} AS key, left({_K.format('title')}, 12) AS stem FROM titles), h AS (SELECT * FROM t WHERE doc_id % 2 = 0) SELECT doc_id, CASE WHEN key IN (SELECT key FROM h) THEN 'key' WHEN stem IN (SELECT stem FROM h) THEN 'stem' END AS duplicate_of FROM t WHERE doc_id % 2 = 1",
+)
+def j01(spark, sf):
+    t = titles(spark, sf).select("doc_id", alnum_key(F.col("title")).alias("key")).withColumn("stem", F.substring("key", 1, 12))
+    return joins.first_duplicate_reason(t.where("doc_id % 2 = 1"), t.where("doc_id % 2 = 0"), ["key", "stem"]).select("doc_id", "duplicate_of")
+
+
+@register("j02_url_semi", r"WITH p AS (SELECT page_id, regexp_replace(regexp_replace(lower(url), '[?#].*$', ''), '/+$', '') AS u FROM pages) SELECT page_id FROM p WHERE page_id % 2 = 1 AND u IN (SELECT u FROM p WHERE page_id % 2 = 0)")
+def j02(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", urls.clean_url(F.col("url"), keep_www=True).alias("u"))
+    return p.where("page_id % 2 = 1").join(p.where("page_id % 2 = 0").select("u"), "u", "left_semi").select("page_id")
+
+
+@register("j03_ttl_semi_join", "SELECT a.o_orderkey FROM orders a WHERE a.o_orderkey % 2 = 1 AND EXISTS (SELECT 1 FROM orders b WHERE b.o_orderkey % 2 = 0 AND b.o_custkey = a.o_custkey AND b.o_orderdate <= a.o_orderdate AND b.o_orderdate >= a.o_orderdate - INTERVAL 90 DAY)")
+def j03(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return joins.semi_within(o.where("o_orderkey % 2 = 1"), o.where("o_orderkey % 2 = 0"), "o_custkey", "o_orderdate", 90).select("o_orderkey")
+
+
+@register("j04_mutual_exclusion", f"WITH {JOBS_SQL} SELECT id FROM jobs v WHERE outcome = 'valid' AND NOT EXISTS (SELECT 1 FROM jobs d WHERE d.outcome = 'discarded' AND d.company = v.company AND d.k = v.k)")
+def j04(spark, sf):
+    j = jobs(spark, sf)
+    return j.where("outcome = 'valid'").join(j.where("outcome = 'discarded'").select("company", "k"), ["company", "k"], "left_anti").select("id")
+
+
+@register("j05_applied_trigger", f"WITH {JOBS_SQL} SELECT id FROM jobs r WHERE outcome = 'reviewed' AND k % 4 <> 0 AND EXISTS (SELECT 1 FROM jobs v WHERE v.outcome = 'valid' AND v.processing_time_ms >= 100 AND v.company = r.company AND v.source = r.source)")
+def j05(spark, sf):
+    j = jobs(spark, sf)
+    applied = j.where("outcome = 'valid' and processing_time_ms >= 100").select("company", "source")
+    return j.where("outcome = 'reviewed' and k % 4 <> 0").join(applied, ["company", "source"], "left_semi").select("id")
+
+
+@register(
+    "j06_prioritised_lookup",
+    "WITH f AS (SELECT l_orderkey AS ok, NULL AS ck, l_partkey AS x FROM lineitem WHERE l_orderkey % 3 = 0 UNION ALL SELECT NULL, o_custkey, o_orderkey FROM orders WHERE o_custkey % 2 = 0), a AS (SELECT ok, min(x) AS x FROM f WHERE ok IS NOT NULL GROUP BY 1), b AS (SELECT ck, min(x) AS x FROM f WHERE ck IS NOT NULL GROUP BY 1) SELECT o.o_orderkey, coalesce(a.x, b.x) AS x, CASE WHEN a.x IS NOT NULL THEN 'o_orderkey' WHEN b.x IS NOT NULL THEN 'o_custkey' END AS matched_by FROM orders o LEFT JOIN a ON a.ok = o.o_orderkey LEFT JOIN b ON b.ck = o.o_custkey",
+)
+def j06(spark, sf):
+    l, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    f = l.where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("ok"), F.lit(None).cast("long").alias("ck"), F.col("l_partkey").alias("x"))
+    f = f.unionByName(o.where("o_custkey % 2 = 0").select(F.lit(None).cast("long").alias("ok"), F.col("o_custkey").alias("ck"), F.col("o_orderkey").alias("x")))
+    return joins.prioritised(o.select("o_orderkey", "o_custkey"), f, [("o_orderkey", "ok"), ("o_custkey", "ck")], "x").select("o_orderkey", "x", "matched_by")
+
+
+@register("j07_lookup_last", "WITH l AS (SELECT o_custkey, max_by(o_orderpriority, (o_orderdate, o_orderkey)) AS p FROM orders GROUP BY 1) SELECT c_custkey, coalesce(p, 'none') AS priority FROM customer LEFT JOIN l ON o_custkey = c_custkey")
+def j07(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("priority"), "o_orderdate", "o_orderkey")
+    return joins.lookup_last(c, o, ["c_custkey"], "priority", ["o_orderdate", "o_orderkey"], "none")
+
+
+@register("j11_rescue_anti", f"WITH {JOBS_SQL}, r AS (SELECT id, company, k, row_number() OVER (PARTITION BY company, k ORDER BY id) AS i FROM jobs WHERE outcome = 'discarded' AND processing_time_ms >= 8) SELECT id FROM r WHERE i = 1 AND NOT EXISTS (SELECT 1 FROM jobs v WHERE v.outcome = 'valid' AND v.company = r.company AND v.k = r.k)")
+def j11(spark, sf):
+    j = jobs(spark, sf)
+    r = j.where("outcome = 'discarded' and processing_time_ms >= 8").groupBy("company", "k").agg(F.min("id").alias("id"))
+    return r.join(j.where("outcome = 'valid'").select("company", "k"), ["company", "k"], "left_anti").select("id")
+
+
+@register("j12_contains_join", "SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS w FROM part WHERE p_partkey <= 5) d WHERE length(w) > 3 AND contains(lower(p_name), w))")
+def j12(spark, sf):
+    p = table(spark, sf, "part")
+    stems = p.where("p_partkey <= 5").select(F.lower(F.substring_index("p_name", " ", 1)).alias("w")).where("length(w) > 3").distinct()
+    return p.select("p_partkey", "p_name").join(joins.dimension(stems), F.contains(F.lower("p_name"), F.col("w")), "left_semi").select("p_partkey")
+
+
+@register("j13_word_boundary_join", r"SELECT p.p_partkey, d.w FROM part p JOIN (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS w FROM part WHERE p_partkey <= 8) d ON contains(' ' || lower(p_name) || ' ', ' ' || w || ' ')")
+def j13(spark, sf):
+    p = table(spark, sf, "part")
+    names = p.where("p_partkey <= 8").select(F.lower(F.substring_index("p_name", " ", 1)).alias("w")).distinct()
+    whole = F.contains(F.concat(F.lit(" "), F.lower("p_name"), F.lit(" ")), F.concat(F.lit(" "), F.col("w"), F.lit(" ")))
+    return p.select("p_partkey", "p_name").join(joins.dimension(names), whole).select("p_partkey", "w")
+
+
+@register("j15_sponsor_list", "WITH s AS (SELECT n_name AS s FROM nation WHERE n_nationkey % 3 = 0) SELECT c.c_custkey, CASE WHEN n.n_name IN (SELECT s FROM s) THEN 'Yes' WHEN c_acctbal < 0 THEN 'No' WHEN c_acctbal > 5000 THEN 'Yes' ELSE 'Unknown' END AS sponsorship FROM customer c LEFT JOIN nation n ON n_nationkey = c_nationkey")
+def j15(spark, sf):
+    nation = table(spark, sf, "nation")
+    listed = nation.where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("c_nationkey"), F.lit("Yes").alias("listed"))
+    text = F.when(F.col("c_acctbal") < 0, "No").when(F.col("c_acctbal") > 5000, "Yes")
+    return table(spark, sf, "customer").join(listed, "c_nationkey", "left").select("c_custkey", F.coalesce("listed", text, F.lit("Unknown")).alias("sponsorship"))
+
+
+@register("j17_nearest_string", "WITH x AS (SELECT n_nationkey AS id, left(n_name, length(n_name) - 1) || 'x' AS typo FROM nation), d AS (SELECT id, typo, n_name, n_nationkey, levenshtein(lower(typo), lower(n_name)) AS e, row_number() OVER (PARTITION BY id ORDER BY levenshtein(lower(typo), lower(n_name)), n_nationkey) AS i FROM x, nation) SELECT id, typo, CASE WHEN e <= 2 THEN n_name END AS nearest, CASE WHEN e <= 2 THEN e END AS edits FROM d WHERE i = 1")
+def j17(spark, sf):
+    n = table(spark, sf, "nation")
+    typos = n.select(F.col("n_nationkey").alias("id"), F.expr("concat(left(n_name, length(n_name) - 1), 'x')").alias("typo"))
+    return joins.nearest_string(typos, n.select("n_nationkey", "n_name"), "typo", "n_name", "n_nationkey", F.lit(2))
+
+
+@register("j19_scalar_cross", "SELECT o_orderstatus, round(100.0 * sum(o_totalprice) / (SELECT sum(o_totalprice) FROM orders), 4) AS pct FROM orders GROUP BY 1")
+def j19(spark, sf):
+    o = table(spark, sf, "orders")
+    total = F.broadcast(o.agg(F.sum("o_totalprice").alias("t")))
+    return o.groupBy("o_orderstatus").agg(F.sum("o_totalprice").alias("s")).crossJoin(total).select("o_orderstatus", F.round(F.lit(100.0) * F.col("s") / F.col("t"), 4).alias("pct"))
+
+
+@register(
+    "j23_exact_then_contained",
+    r"WITH p AS (SELECT page_id, url, regexp_replace(lower(url), '[?#].*$', '') AS c FROM pages), h AS (SELECT regexp_extract(lower(url), '^https?://([^/:?#]+)', 1) AS hint, min(url) AS u FROM pages WHERE page_id % 10 = 0 GROUP BY 1), e AS (SELECT DISTINCT url FROM pages WHERE page_id % 10 = 0) SELECT p.page_id, CASE WHEN e.url IS NOT NULL THEN 'exact' WHEN h.hint IS NOT NULL THEN 'contained' ELSE 'none' END AS hit FROM p LEFT JOIN e ON e.url = p.url LEFT JOIN h ON h.hint = regexp_extract(p.c, '^https?://([^/:?#]+)', 1)",
+)
+def j23(spark, sf):
+    """The exact URL first, then one of the same host."""
+    p = table(spark, sf, "pages").select("page_id", "url", urls.host(F.col("url")).alias("hint"))
+    known = p.where("page_id % 10 = 0")
+    exact, hosts = known.select("url", F.lit(1).alias("e")).distinct(), known.select("hint", F.lit(1).alias("c")).distinct()
+    return p.join(exact, "url", "left").join(hosts, "hint", "left").select("page_id", F.when(F.col("e") == 1, "exact").when(F.col("c") == 1, "contained").otherwise("none").alias("hit"))
+
+
+@register(
+    "j24_word_overlap",
+    rf"WITH {TITLES_SQL}, w AS (SELECT DISTINCT doc_id AS id, company, lower(unnest(string_split(title, ' '))) AS w FROM titles WHERE doc_id < 400), n AS (SELECT id, count(*) AS size FROM w GROUP BY 1), s AS (SELECT a.id AS left_id, b.id AS right_id, count(*) AS shared FROM w a JOIN w b ON a.company = b.company AND a.w = b.w AND a.id < b.id GROUP BY 1, 2) SELECT left_id, right_id, shared FROM s JOIN n ON n.id = left_id WHERE shared >= 2 AND shared >= 0.5 * size",
+)
+def j24(spark, sf):
+    t = titles(spark, sf).where("doc_id < 400").select(F.col("doc_id").alias("id"), "company", F.array_distinct(F.split(F.lower("title"), " ")).alias("words"))
+    return joins.word_overlap(t, t, "company", "words").where("left_id < right_id")
+
+
+@register("j25_fill_blanks", "WITH l AS (SELECT l_suppkey, min(l_partkey) AS p FROM lineitem WHERE l_quantity > 45 GROUP BY 1) SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_nationkey ELSE p END AS value FROM supplier LEFT JOIN l ON l_suppkey = s_suppkey")
+def j25(spark, sf):
+    known = table(spark, sf, "lineitem").where("l_quantity > 45").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.min("l_partkey").alias("p"))
+    own = F.when(F.col("s_acctbal") > 0, F.col("s_nationkey").cast("long"))
+    return table(spark, sf, "supplier").join(known, "s_suppkey", "left").select("s_suppkey", F.coalesce(own, "p").alias("value"))
+
+
+@register("j27_fallback_chain", "SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 0 THEN c_mktsegment END, n_name, r_name) AS place FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) n ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = c_nationkey % 5")
+def j27(spark, sf):
+    n = table(spark, sf, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    r = table(spark, sf, "region").withColumnRenamed("r_regionkey", "rk")
+    c = table(spark, sf, "customer").withColumn("rk", F.col("c_nationkey") % 5)
+    return c.join(n, "c_nationkey", "left").join(r, "rk", "left").select("c_custkey", F.coalesce(F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")), "n_name", "r_name").alias("place"))
+
+
+@register("set01_sets", f"WITH {JOBS_SQL}, v AS (SELECT DISTINCT company, k FROM jobs WHERE outcome = 'valid'), d AS (SELECT DISTINCT company, k FROM jobs WHERE outcome = 'discarded') SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM v INTERSECT SELECT * FROM d) UNION ALL SELECT 'valid only', count(*) FROM (SELECT * FROM v EXCEPT SELECT * FROM d) UNION ALL SELECT 'any', count(*) FROM (SELECT * FROM v UNION SELECT * FROM d)")
+def set01(spark, sf):
+    j = jobs(spark, sf)
+    v, d = (j.where(F.col("outcome") == o).select("company", "k").distinct() for o in ("valid", "discarded"))
+    n = lambda df, part: df.agg(F.lit(part).alias("part"), F.count("*").alias("n"))
+    return n(v.intersect(d), "both").unionByName(n(v.subtract(d), "valid only")).unionByName(n(v.union(d).distinct(), "any"))
+
+
+@register("set06_word_overlap_score", rf"WITH {TITLES_SQL}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(title), '[a-z]+')) AS w FROM titles), top AS (SELECT w FROM w WHERE length(w) > 2 GROUP BY 1 ORDER BY count(*) DESC, w LIMIT 50), s AS (SELECT doc_id, count(DISTINCT w) AS n FROM w WHERE w IN (SELECT w FROM top) GROUP BY 1) SELECT t.doc_id, least(1.0, coalesce(n, 0) / 5.0)::DOUBLE AS score FROM titles t LEFT JOIN s USING (doc_id)")
+def set06(spark, sf):
+    t = titles(spark, sf).select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), F.lit(0))).alias("words"))
+    every = titles(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    top = every.where("length(w) > 2").groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(50).agg(F.collect_list("w").alias("top"))
+    return t.crossJoin(F.broadcast(top)).select("doc_id", F.least(F.lit(1.0), F.size(F.array_intersect("words", "top")) / 5.0).alias("score"))
+
+
+@register("p30_due", f"WITH {JOBS_SQL} SELECT id FROM jobs WHERE processed_at + INTERVAL 3 DAY <= TIMESTAMP '{AS_OF}' AND processed_at + INTERVAL 3 DAY > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY")
+def p30(spark, sf):
+    due = F.col("processed_at") + F.expr("INTERVAL 3 DAYS")
+    return jobs(spark, sf).where((due <= as_of()) & (due > as_of(7))).select("id")
+
+
+@register("w08_duplicate_ids", f"WITH {JOBS_SQL}, r AS (SELECT id, outcome, row_number() OVER (PARTITION BY lower(company), k ORDER BY id) AS i FROM jobs) SELECT id FROM r WHERE i > 1 AND outcome <> 'valid'")
+def w08(spark, sf):
+    w = Window.partitionBy(F.lower("company"), "k").orderBy("id")
+    return jobs(spark, sf).withColumn("i", F.row_number().over(w)).where("i > 1 and outcome <> 'valid'").select("id")
