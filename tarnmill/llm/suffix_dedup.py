@@ -317,7 +317,7 @@ def _spans(docs: DataFrame) -> DataFrame:
     shared = found.where("anchor is not null").repartition("anchor").sortWithinPartitions(*sort).mapInArrow(_share, _FOUND)
     shared = written(shared, "shared")
     asked = shared.where("kind = 1").groupBy("d", "h").agg(F.collect_list(F.struct(F.col("y").alias("anchor"), F.col("x").alias("at"))).alias("asked"))
-    fragments = rows.join(asked, ["d", "h"]).select("d", "h", "t", "asked").mapInArrow(_fragments, "anchor long, d long, h long, a long, words binary")
+    fragments = rows.join(asked.hint("shuffle_hash"), ["d", "h"]).select("d", "h", "t", "asked").mapInArrow(_fragments, "anchor long, d long, h long, a long, words binary")
     factors = fragments.repartition("anchor").sortWithinPartitions("anchor", "d", "h").mapInArrow(_factors, _FOUND)
     spans = shared.where("kind = 0").select("d", "h", "x", "y").unionByName(own).unionByName(factors.select("d", "h", "x", "y"))
     ordered = Window.partitionBy("d", "h").orderBy("x", "y")
@@ -349,6 +349,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
     out = []
     for text, own in zip(texts, spans):
+        if not text.is_valid:
+            out.append(None)
+            continue
         raw = text.as_py().encode()
         words = Words(pa.array([raw]))
         kept, at = [], 0
@@ -367,11 +370,14 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     spans = _spans(docs).groupBy("d", "h").agg(F.collect_list(F.struct("start", "end")).alias("__tm_spans"))
     spans = spans.withColumnsRenamed({"d": "__tm_d", "h": "__tm_h"})
     keyed = docs.withColumns({"__tm_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))), "__tm_h": F.xxhash64("text")})
-    joined = keyed.join(spans, ["__tm_d", "__tm_h"], "left")
-    cut = joined.where("__tm_spans is not null").withColumn("text", _cut("text", "__tm_spans")).where(F.col("text").rlike(r"\S"))
+    # shuffled at every size: texts are moved once, and spans, which grow with them, are never broadcast
+    joined = keyed.join(spans.hint("shuffle_hash"), ["__tm_d", "__tm_h"], "left")
+    hit = F.col("__tm_spans").isNotNull()
+    joined = joined.withColumn("__tm_text", _cut(F.when(hit, F.col("text")), "__tm_spans")).where(~hit | F.col("__tm_text").rlike(r"\S"))
+    changed = {"text": F.when(hit, F.col("__tm_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.where("__tm_spans is null").select(*columns(docs)).unionByName(cut.select(*columns(docs)))
+        changed["n_chars"] = F.when(hit, F.length("__tm_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return joined.withColumns(changed).select(*columns(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
