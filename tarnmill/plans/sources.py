@@ -1 +1,76 @@
-"""To come."""
+"""Feeds that the tables don't hold, over small payloads of our own, and scans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tarnmill.functions import urls
+from tarnmill.operators.upserts import insert_absent
+from tarnmill.plans.registry import register
+from tarnmill.plans.texts import values, values_sql
+from tarnmill.sources import feeds
+from tarnmill.sources.tables import AS_OF, JOBS_SQL, jobs, table
+
+GREENHOUSE = ('{"jobs":[{"title":"Dev","absolute_url":"https://g/1","id":1,"location":{"name":"Austin, TX"}},{"title":"Ops","absolute_url":"https://g/2","id":2,"location":"Remote"}]}', "{broken")
+LEVER = '[{"text":"QA","hostedUrl":"","applyUrl":"https://l/a","id":"x","categories":{"location":"NYC"}}]'
+ASHBY = '{"jobs":[{"title":"ML","id":"77","locationName":"Boston"}]}'
+SMART = '{"content":[{"name":"PM","id":"5","location":{"city":"Reno","region":"NV","country":"us"}},{"name":"XX","id":"6","location":{"city":"Lyon","country":"fr"}},{"name":"YY","id":"7","location":{"country":"US"}}]}'
+_BOARD_ROWS = [("Acme", "Dev", "Austin, TX", "https://g/1", "1"), ("Acme", "Ops", "Remote", "https://g/2", "2"), ("Lev", "QA", "NYC", "https://l/a", "x"), ("Ash", "ML", "Boston", "https://jobs.ashbyhq.com/ash/77", "77"), ("Sma", "PM", "Reno, NV", "https://jobs.example.com/sma/5", "5"), ("Sma", "YY", "Unknown", "https://jobs.example.com/sma/7", "7")]
+
+
+@register("s20_board_fan_in", "SELECT * FROM " + values_sql(_BOARD_ROWS, "company, title, location, url, job_id"))
+def s20(spark, sf):
+    load = lambda company, *bodies: values(spark, [(company, company.lower(), b) for b in bodies], "company string, slug string, body string")
+    return feeds.fan_in([feeds.board(load("Acme", *GREENHOUSE), "greenhouse"), feeds.board(load("Lev", LEVER), "lever"), feeds.board(load("Ash", ASHBY), "ashby"), feeds.board(load("Sma", SMART), "smartrecruiters")])
+
+
+COMMENTS = [("Acme | Remote (US) | Software Engineer | https://acme.example/jobs\nmore",), ("Bistro | Paris | Cook",), ("Init | SF\nWe seek a developer",)]
+
+
+@register("s14_hiring_lines", "SELECT * FROM " + values_sql([("Acme", "Remote (US)", "Software Engineer", "https://acme.example/jobs"), ("Init", "SF", "", "none")], "company, location, title, url"))
+def s14(spark, sf):
+    return feeds.hiring_lines(values(spark, COMMENTS, "text string"))
+
+
+TABLE = [(1, "| Company | Role | Location | Link | Age |"), (2, "|---|---|---|---|---|"), (3, "| [Acme](https://a) | Dev | NYC | [Apply](https://x/1) | 2d |"), (4, "| ↳ | Ops | SF | [Apply](https://x/2) | 3d |"), (5, "| Beta | QA | LA | 🔒 | 9d |"), (6, "| | SRE | LA | [Apply](https://x/3) | 1d |"), (7, "plain text")]
+
+
+@register("col15_markdown_table", "SELECT * FROM " + values_sql([(3, "Acme", "Dev", "NYC", "https://x/1", "2d"), (4, "Acme", "Ops", "SF", "https://x/2", "3d"), (6, "Beta", "SRE", "LA", "https://x/3", "1d")], "line, company, title, location, url, age"))
+def col15(spark, sf):
+    return feeds.markdown_rows(values(spark, [("a", *r) for r in TABLE], "doc string, line int, text string")).drop("doc")
+
+
+@register("s30_log_tail", 'SELECT CAST("at" AS TIMESTAMP) AS "at", text FROM ' + values_sql([("2024-01-30 22:00:00", "2024-01-30 22:00:00 | ERROR | late"), ("2024-01-30 20:00:00", "2024-01-30 20:00:00 | ERROR | early")], '"at", text'))
+def s30(spark, sf):
+    rows = [("2024-01-30 22:00:00 | ERROR | late",), ("2024-01-30 20:00:00 | ERROR | early",), ("2024-01-30 21:00:00 | INFO | fine",), ("2024-01-29 01:00:00 | ERROR | old",), ("no time | ERROR | x",)]
+    return feeds.error_tail(feeds.recent_log_lines(values(spark, rows, "text string"), F.lit(AS_OF).cast("timestamp"), 6)).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@register("s03_sheet_rows", "SELECT * FROM " + values_sql([(1, "Acme", "Dev", "https://a", "Unknown", "valid"), (2, "Beta", "Unknown", "", "Board", "valid")], "seq, company, title, url, source, outcome"))
+def s03(spark, sf):
+    rows = [(1, ["ok", "Acme", "Dev", "", "https://a"]), (2, ["", "Beta", "", "x", "", "Board"]), (3, ["", "", "", ""])]
+    t = values(spark, rows, "seq int, cells array<string>").where(F.exists(F.slice("cells", 1, 4), lambda c: F.trim(c) != ""))
+    return t.select("seq", *[c.alias(n) for n, c in feeds.decode_row(F.col("cells"), {"company": 1, "title": 2, "url": 4, "source": 5}, {"title": "Unknown", "source": "Unknown"}).items()], F.lit("valid").alias("outcome"))
+
+
+@register("s06_tabs", "SELECT n_name AS company, NULL AS status, 'nations' AS _src FROM nation UNION ALL SELECT c_name, c_mktsegment, 'customers' FROM customer WHERE trim(c_name) <> ''")
+def s06(spark, sf):
+    names = {"n_name": "company", "c_name": "company", "c_mktsegment": "status"}
+    tabs = [feeds.map_columns(table(spark, sf, "nation"), names, "nations"), feeds.map_columns(table(spark, sf, "customer"), names, "customers")]
+    return feeds.fan_in(tabs).where(F.trim("company") != "").select("company", "status", "_src")
+
+
+@register("s07_known_keys", f"WITH {JOBS_SQL} SELECT 'company' AS kind, count(DISTINCT company) AS n FROM jobs UNION ALL SELECT 'id', count(DISTINCT k) FROM jobs")
+def s07(spark, sf):
+    j = jobs(spark, sf)
+    keys = feeds.known_keys([j.where(F.col("outcome") == o) for o in ("valid", "discarded", "reviewed")], {"company": F.col("company"), "id": F.col("k")})
+    count = lambda name: keys[name].agg(F.lit(name).alias("kind"), F.count("*").alias("n"))
+    return count("company").unionByName(count("id"))
+
+
+@register("s21_slug_merge", "SELECT regexp_extract(lower(url), '^https?://([^/:?#]+)', 1) AS slug, CASE WHEN min(page_id % 3) = 0 THEN 'static' ELSE 'learned' END AS origin FROM pages GROUP BY 1")
+def s21(spark, sf):
+    p = table(spark, sf, "pages").select(urls.host(F.col("url")).alias("slug"), "page_id")
+    static = p.where("page_id % 3 = 0").select("slug", F.lit("static").alias("origin")).distinct()
+    learned = p.where("page_id % 3 <> 0").select("slug", F.lit("learned").alias("origin")).distinct()
+    return insert_absent(static, learned, ["slug"])
