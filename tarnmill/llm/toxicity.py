@@ -80,6 +80,7 @@ class Model:
             embedded += self.table[ids[:, j]]
         x[row] = embedded
         size = len(x) - _PAD
+        ends = np.append(start[1:], size)
         y = np.concatenate([k.T for kernel in self.kernels for k in kernel]) @ x.T
         out, at = [], 0
         for kernel, bias in zip(self.kernels, self.biases):
@@ -89,7 +90,10 @@ class Model:
             for j in range(1, len(kernel)):
                 h += y[at : at + FILTERS, j : size + j]
                 at += FILTERS
-            out.append(np.maximum(h, 0, out=h))
+            np.maximum(h, 0, out=h)
+            for j in range(1, len(kernel)):  # windows that begin in the padding and reach the next text
+                h[:, ends - j] = 0
+            out.append(h)
         return x, start, out
 
     def logits(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
