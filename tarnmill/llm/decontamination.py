@@ -74,8 +74,8 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 class Templates:
-    """Tokens of a slice of texts: runs of letters or of digits (with . , / between them) in lower case, each with a
-    kind: a literal, a number (digits or a number word), a unit (a unit word after a number), or a name (capitalised,
+    """Tokens of a slice of texts: words, which begin with a letter, and numbers (digits, with . , / between them), in
+    lower case, each with a kind: a literal, a number (digits or a number word), a unit (a unit word after a number), or a name (capitalised,
     not all in capitals, inside a sentence). `variant` 1 takes capitalised words that begin a sentence for names too."""
 
     def __init__(self, texts: pa.Array):
@@ -90,41 +90,44 @@ class Templates:
             change[1:] |= cls[1:] != cls[:-1]
         edges = np.flatnonzero(change)
         start, end, kind = edges, np.append(edges[1:], n), cls[edges] if n else np.empty(0, np.uint8)
-        # 1,000 and 2.5 are one number
-        gap = np.zeros(len(start), bool)
-        if len(start) > 2:
-            mid = np.arange(1, len(start) - 1)
-            gap[mid] = (kind[mid] == 0) & (end[mid] - start[mid] == 1) & _JOINS[data[start[mid]]] & (kind[mid - 1] == 2) & (kind[mid + 1] == 2) & ~begins[start[mid]] & ~begins[start[mid + 1]]
-        follows = np.append(False, gap[:-1])  # digits that continue a number
-        is_token = (kind > 0) & ~follows
+        # a run of letters and digits is one word if it begins with a letter; else a number and, maybe, a word
+        opens = np.append(True, (kind[1:] == 0) | (kind[:-1] == 0) | begins[start[1:]]) if len(start) else np.empty(0, bool)
+        lead = np.flatnonzero(opens)
+        run = np.cumsum(opens) - 1
+        stop_of_run = end[np.append(lead[1:], len(start)) - 1][run] if len(start) else end
+        second = np.append(False, opens[:-1]) & ~opens
+        number_first = kind[lead[run]] == 2 if len(start) else np.empty(0, bool)
+        is_token = (kind > 0) & (opens | (second & number_first))
         t = np.flatnonzero(is_token)
-        # a number ends where its last continuation does
-        stop = end.copy()
-        for i in np.flatnonzero(follows)[::-1]:
-            stop[i - 2] = stop[i]
-        self.start, self.end = start[t], stop[t]
+        start, stop, digit = start[t], np.where(opens & number_first, end, stop_of_run)[t], kind[t] == 2
+        # 1,000 and 2.5 are one number
+        follows = np.zeros(len(t), bool)
+        if len(t) > 1:
+            gap = start[1:] - stop[:-1]
+            follows[1:] = digit[1:] & digit[:-1] & (gap == 1) & _JOINS[data[stop[:-1].clip(max=n - 1)]] & ~begins[start[1:]] & ~begins[(start[1:] - 1).clip(min=0)]
+        stop = stop[np.append(np.flatnonzero(~follows)[1:], len(t)) - 1] if len(t) else stop
+        self.start, self.end, digit = start[~follows], stop, digit[~follows]
         self.first = np.searchsorted(self.start, off)
         words = Words.__new__(Words)
         words.data, words._table, words._sums = low, _PLAIN, None
         self.value = words.hashes(self.start, self.end)
-        digit = kind[t] == 2
         number = digit | _among(self.value, _NUMBER_HASHES)
         before = np.append(False, number[:-1])
         before[self.first[:-1][np.diff(self.first) > 0]] = False
         unit = ~number & before & _among(self.value, _UNIT_HASHES)
-        cap = np.zeros(len(t), bool)
+        cap = np.zeros(len(self.start), bool)
         if n:  # a capital and then none: text all in capitals holds no names
             second = self.start + 1 + (data[self.start] == 0xC3)
             cap = capital[self.start] & (second < self.end) & ~capital[np.minimum(second, n - 1)]
         # a sentence begins at the start of a text and after a gap that holds an end mark
         marks = np.append(0, np.cumsum(_ENDS[data]))
-        since = np.append(0, self.end[:-1]) if len(t) else np.empty(0, np.int64)
+        since = np.append(0, self.end[:-1]) if len(self.start) else np.empty(0, np.int64)
         opening = marks[self.start] > marks[np.minimum(since, self.start)]
         opening[self.first[:-1][np.diff(self.first) > 0]] = True
         name = cap & ~number & ~unit
         self.kinds = []
         for variant in (0, 1):
-            k = np.zeros(len(t), np.uint8)
+            k = np.zeros(len(self.start), np.uint8)
             k[number], k[unit] = NUMBER, UNIT
             k[name & (~opening | bool(variant))] = NAME
             self.kinds.append(k)
