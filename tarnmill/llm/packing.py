@@ -39,11 +39,11 @@ def combinations(bins: int = BINS, depth: int = DEPTH) -> np.ndarray:
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """argmin |a x - b| over x >= 0, by the active-set method of Lawson and Hanson."""
     n = a.shape[1]
-    rhs = a.T @ b
+    gram, rhs = a.T @ a, a.T @ b
     x, active = np.zeros(n), np.zeros(n, bool)
     tolerance = 1e-9 * max(1.0, np.abs(rhs).max(initial=0.0))
     for _ in range(3 * a.shape[0] + 10):
-        gradient = a.T @ (b - a @ x)
+        gradient = rhs - gram[:, active] @ x[active]
         gradient[active] = -np.inf
         j = int(np.argmax(gradient))
         if gradient[j] <= tolerance:
@@ -51,7 +51,10 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         active[j] = True
         while True:
             on = np.flatnonzero(active)
-            z = np.linalg.lstsq(a[:, on], b, rcond=None)[0]
+            try:
+                z = np.linalg.solve(gram[np.ix_(on, on)], rhs[on])
+            except np.linalg.LinAlgError:
+                z = np.linalg.lstsq(a[:, on], b, rcond=None)[0]
             if z.min() > 0:
                 x[:] = 0
                 x[on] = z
