@@ -14,7 +14,9 @@ from tarnmill.llm.common import U64, Words, columns, drop_written, mix, slices,
 from tarnmill.llm.components import components
 
 BITS = 256
-RADIUS = 42
+#: Copies with a twentieth of their words changed differ in some 25 to 35 bits, other texts of one language in 100; the
+#: fewest pairs lie between 46 and 54.
+RADIUS = 46
 #: Blocks: documents that agree on BLOCK_BITS sampled bits of the signature are compared, in each of TABLES samples.
 BLOCK_BITS = 18
 TABLES = 32
