@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnmill.functions import pages as g
 from tarnmill.functions import postings as p
 from tarnmill.functions import text, urls
 from tarnmill.plans.registry import register
@@ -64,6 +65,29 @@ def _pay(c):
     return hourly_pay(c)
 
 
+PAGE = '<title>Careers</title><h1>Data Engineer II</h1><p>Company: Acme Labs</p><p>Location: Reno, NV</p><p>Job ID: R-77</p><p>Employment type: Full time</p> posted about 12 days ago'
+LD = '<script type="application/ld+json">{"title":"ML Intern","hiringOrganization":{"name":"Beta"},"jobLocation":{"address":{"addressLocality":"Austin"}},"identifier":{"value":"9"}}</script>📍 Dallas, TX<h1>x</h1>'
+
+
+def _best(c):
+    b = g.most_confident(c, 0.6)
+    return F.concat_ws("|", b["value"], b["method"])
+
+
+cases("col10_page_fields", ["x", "y"], {"title": lambda x, y: g.title(x), "company": lambda x, y: _best(g.company(x, y)), "place": lambda x, y: _best(g.location(x, y)), "id": lambda x, y: _best(g.job_id(x, y)), "kind": lambda x, y: g.employment(x, y), "age": lambda x, y: g.age_days(x)}, [
+    (PAGE, "https://jobs.zed.com/x", "Data Engineer II", "Acme Labs|label", "Reno, NV|label", "R-77|label", "Full-Time", 12),
+    (LD, "https://a.org/jobs/new-york/12345", "ML Intern", "Beta|json-ld", "Austin|json-ld", "9|json-ld", "Unknown", None),
+    ("<p>none</p>", "https://www.qux.io/interns/san-jose/77", None, "Qux|domain", "", "77|url", "Internship", None),
+    (None, None, None, "", "", "", "Unknown", None),
+])
+cases("col23_work_mode", ["x", "y"], {"mode": lambda x, y: g.mode(x, y)}, [("fully remote", "Reno", "Remote"), ("fully remote", "Hybrid, Reno", "Hybrid"), ("office", None, "Unknown")])
+cases("col20_failed_address", ["x"], {"address": lambda x, y: g.failed_address(x)}, [("X-Failed-Recipients: A.b@z.io", "a.b@z.io"), ("Final-Recipient: rfc822; c@d.org\nmore", "c@d.org"), ("could not be delivered to <e@f.com>", "e@f.com"), ("mailer-daemon@x.com says g@h.net failed", "g@h.net"), ("nothing", None)])
+cases("rul31_subject_hint", ["x"], {"title": lambda x, y: g.hint(x)["title"], "company": lambda x, y: g.hint(x)["company"]}, [("Data Engineer @ Acme", "Data Engineer", "Acme"), ("Dev at Beta Labs", "Dev", "Beta Labs"), ("hello", None, None)])
+cases("dt02_feed_age", ["x"], {"days": lambda x, y: g.feed_age(x, F.lit("2024-01-31").cast("date"))}, [("3d", 3), ("2mo", 60), ("Jan 05", 26), ("Feb 20", 345), ("??", 999), (None, 999)])
+cases("dt14_schedule", ["x"], {"due": lambda x, y: flag(g.schedule_due(x, F.lit("2024-01-31 23:59:00").cast("timestamp_ntz")))}, [("00:01", 1), ("23:57", 1), ("12:00", 0)])
+cases("m01_rounding", ["x"], {"up": lambda x, y: F.round(x, 1), "even": lambda x, y: F.bround(x, 1)}, [(2.25, 2.3, 2.2), (0.35, 0.4, 0.4), (2.5, 2.5, 2.5), (-2.25, -2.3, -2.2)])
+
+
 @register("str35_levenshtein", "SELECT a.n_nationkey AS i, b.n_nationkey AS j, levenshtein(a.n_name, b.n_name) AS edits FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey AND levenshtein(a.n_name, b.n_name) <= 6")
 def str35(spark, sf):
     n = table(spark, sf, "nation")

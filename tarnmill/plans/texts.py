@@ -18,7 +18,7 @@ def values(spark, rows: list[tuple], kinds: str):
 
 def values_sql(rows: list[tuple], names: str) -> str:
     def lit(v):
-        return "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+        return "NULL" if v is None else f"{v}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
 
     return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") AS v({names})"
 
