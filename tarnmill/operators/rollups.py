@@ -42,13 +42,12 @@ def indexed_percentiles(rows: DataFrame, value: str, points: dict[str, float], s
 
     counted = rows.where(F.col(value) > 0).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
     # the running sum goes over ranges: sums of the ranges before, then a sum within each
-    bucket = F.floor(F.log2(F.col("v")) * 16)
+    # never null, so that no filter on it tells the two uses of the counts apart: their shuffle is reused
+    bucket = F.coalesce(F.floor(F.log2(F.col("v")) * 16), F.lit(-(10**6)).cast("long"))
     counted = counted.withColumn("b", bucket)
     sums = counted.groupBy("b").agg(F.sum("n").alias("s"))
-    before = sums.select("b", (F.sum("s").over(Window.orderBy("b")) - F.col("s")).alias("before"))
-    total = sums.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("all"))
+    before = sums.select("b", (F.sum("s").over(Window.orderBy("b")) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy(F.lit(0))).alias("all"))
     ranked = counted.join(F.broadcast(before), "b").withColumn("upto", F.sum("n").over(Window.partitionBy("b").orderBy("v")) + F.col("before"))
-    ranked = ranked.crossJoin(F.broadcast(total))
     picks = []
     for name, p in points.items():
         rank = F.floor(F.col("all") * F.lit(p))
