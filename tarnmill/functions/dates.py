@@ -50,3 +50,22 @@ def warmup_limit(day: Column, steps: list[tuple[int, int]]) -> Column:
     for start, limit in steps:
         out = F.when(day >= start, limit).otherwise(out)
     return out
+
+
+ZONES = [("seattle", "America/Los_Angeles"), ("denver", "America/Denver"), ("chicago", "America/Chicago")]
+
+
+def zone_of(place: Column, other: str = "America/New_York") -> Column:
+    """Time zone of the first known city that a place names."""
+    low = F.lower(F.coalesce(place, F.lit("")))
+    return F.coalesce(*[F.when(F.contains(low, F.lit(c)), z) for c, z in ZONES], F.lit(other))
+
+
+def hours_since(x: Column, now: Column) -> Column:
+    """Hours from a time in ISO form, UTC if it names no zone, to now."""
+    at = F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")])
+    return F.round((now.cast("timestamp").cast("double") - at.cast("double")) / 3600, 2)
+
+
+def interval_due(last: Column, now: Column, seconds: int) -> Column:
+    return F.coalesce(F.timestamp_diff("SECOND", last, now) >= seconds, F.lit(True))

@@ -77,3 +77,22 @@ def strip_params(url: Column, names: list[str]) -> Column:
 
 def search_url(base: str, words: Column) -> Column:
     return F.concat(F.lit(base), F.replace(F.url_encode(words), F.lit("+"), F.lit("%20")))
+
+
+def redirect_guard(asked: Column, got: Column) -> Column:
+    """Where a fetch ended, unless that is another site: then what was asked for."""
+    a, b = host(asked), host(got)
+    same = (a == b) | a.endswith(F.concat(F.lit("."), b)) | b.endswith(F.concat(F.lit("."), a)) | (domain(asked) == domain(got))
+    return F.when(same, got).otherwise(asked)
+
+
+def known_company(url: Column, sites: list[tuple[str, str]]) -> Column:
+    """Company of the first pattern that the URL matches, of a short list of (pattern, name)."""
+    return F.coalesce(*[F.when(F.lower(url).rlike(pattern), name) for pattern, name in sites])
+
+
+def board_slug(url: Column) -> Column:
+    """Slug of a company on a board: the first path segment, or the first label of a tenant's host."""
+    tenant = F.regexp_extract(F.lower(url), r"^https?://([a-z0-9-]+)\.(?:wd\d+\.)?myworkdayjobs\.com", 1)
+    in_path = F.regexp_extract(F.lower(url), r"^https?://(?:boards|jobs|apply)\.[^/]+/([a-z0-9-]+)", 1)
+    return F.coalesce(F.nullif(tenant, F.lit("")), F.nullif(in_path, F.lit("")))

@@ -33,6 +33,14 @@ def run_stages(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.withColumn("__first", first).withColumns({"reject_stage": F.col("__first.stage"), "reject_reason": F.col("__first.reason")}).drop("__first")
 
 
+def from_config(config: list[str | dict]) -> list[str]:
+    """Names of the stages of a configuration: names, or maps with `name` and, maybe, `enabled`. ValueError for unknown ones."""
+    names = [c if isinstance(c, str) else c["name"] for c in config if isinstance(c, str) or c.get("enabled", True)]
+    if unknown := [n for n in names if n not in STAGES]:
+        raise ValueError(f"unknown stages: {', '.join(unknown)}")
+    return names
+
+
 def stage_metrics(decided: DataFrame) -> DataFrame:
     """(stage, rejects, rate) of what each stage rejected; 'passed' for the rest."""
     total = F.broadcast(decided.agg(F.count("*").alias("n")))

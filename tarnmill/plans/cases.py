@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnmill.functions import dates
 from tarnmill.functions import pages as g
 from tarnmill.functions import postings as p
 from tarnmill.functions import text, urls
@@ -88,6 +89,13 @@ cases("dt14_schedule", ["x"], {"due": lambda x, y: flag(g.schedule_due(x, F.lit(
 cases("m01_rounding", ["x"], {"up": lambda x, y: F.round(x, 1), "even": lambda x, y: F.bround(x, 1)}, [(2.25, 2.3, 2.2), (0.35, 0.4, 0.4), (2.5, 2.5, 2.5), (-2.25, -2.3, -2.2)])
 
 
+cases("url18_redirect_guard", ["x", "y"], {"url": lambda x, y: urls.redirect_guard(x, y)}, [("https://a.com/1", "https://jobs.a.com/2", "https://jobs.a.com/2"), ("https://a.com/1", "https://spam.net/", "https://a.com/1"), ("https://x.b.org/1", "https://y.b.org/2", "https://y.b.org/2")])
+cases("url08_known_company", ["x"], {"company": lambda x, y: urls.known_company(x, [(r"//careers\.acme\.", "Acme"), (r"beta", "Beta")]), "slug": lambda x, y: urls.board_slug(x)}, [("https://careers.acme.com/beta", "Acme", None), ("https://boards.host.io/beta-labs/1", "Beta", "beta-labs"), ("https://gamma.wd5.myworkdayjobs.com/en/x", None, "gamma")])
+cases("dt12_zones", ["x"], {"zone": lambda x, y: dates.zone_of(x)}, [("Denver, CO", "America/Denver"), ("Boston", "America/New_York"), (None, "America/New_York")])
+cases("dt08_hours_since", ["x"], {"hours": lambda x, y: dates.hours_since(x, F.lit("2024-01-31 00:00:00").cast("timestamp"))}, [("2024-01-30T12:00:00", 12.0), ("2024-01-30T12:00:00+02:00", 14.0), ("2024-01-29", 48.0), ("junk", None)])
+cases("dt15_interval_due", ["x"], {"due": lambda x, y: flag(dates.interval_due(F.try_to_timestamp(x, F.lit("yyyy-MM-dd HH:mm:ss")), F.lit("2024-01-31 00:00:00").cast("timestamp"), 3600))}, [("2024-01-30 23:30:00", 0), ("2024-01-30 22:00:00", 1), (None, 1)])
+
+
 @register("str35_levenshtein", "SELECT a.n_nationkey AS i, b.n_nationkey AS j, levenshtein(a.n_name, b.n_name) AS edits FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey AND levenshtein(a.n_name, b.n_name) <= 6")
 def str35(spark, sf):
     n = table(spark, sf, "nation")

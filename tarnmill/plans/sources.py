@@ -9,19 +9,22 @@ from tarnmill.operators.upserts import insert_absent
 from tarnmill.plans.registry import register
 from tarnmill.plans.texts import values, values_sql
 from tarnmill.sources import feeds
-from tarnmill.sources.tables import AS_OF, JOBS_SQL, jobs, table
+from tarnmill.sources.tables import AS_OF, JOBS_SQL, as_of, jobs, table
 
 GREENHOUSE = ('{"jobs":[{"title":"Dev","absolute_url":"https://g/1","id":1,"location":{"name":"Austin, TX"}},{"title":"Ops","absolute_url":"https://g/2","id":2,"location":"Remote"}]}', "{broken")
 LEVER = '[{"text":"QA","hostedUrl":"","applyUrl":"https://l/a","id":"x","categories":{"location":"NYC"}}]'
 ASHBY = '{"jobs":[{"title":"ML","id":"77","locationName":"Boston"}]}'
 SMART = '{"content":[{"name":"PM","id":"5","location":{"city":"Reno","region":"NV","country":"us"}},{"name":"XX","id":"6","location":{"city":"Lyon","country":"fr"}},{"name":"YY","id":"7","location":{"country":"US"}}]}'
-_BOARD_ROWS = [("Acme", "Dev", "Austin, TX", "https://g/1", "1"), ("Acme", "Ops", "Remote", "https://g/2", "2"), ("Lev", "QA", "NYC", "https://l/a", "x"), ("Ash", "ML", "Boston", "https://jobs.ashbyhq.com/ash/77", "77"), ("Sma", "PM", "Reno, NV", "https://jobs.example.com/sma/5", "5"), ("Sma", "YY", "Unknown", "https://jobs.example.com/sma/7", "7")]
+WORKDAY = '{"jobPostings":[{"title":"DBA","externalPath":"/job/1","locationsText":"2 Locations","bulletFields":["x","R-100"]},{"title":"DBA","externalPath":"/job/1","locationsText":"2 Locations","bulletFields":["x","R-100"]}]}'
+WORKABLE = '{"results":[{"title":"UX","shortcode":"AB12","location":{"city":"Troy","region":"NY"}},{"title":"UI","shortcode":"AB13","location":"Remote"}]}'
+RIPPLING = '[{"name":"FE","url":"https://r/1","uuid":"u1","workLocation":{"label":"Erie, PA"}}]'
+_BOARD_ROWS = [("Wod", "DBA", "2 Locations", "https://wod.example.com/job/1", "R-100"), ("Wor", "UX", "Troy, NY", "https://apply.example.com/wor/AB12", "AB12"), ("Wor", "UI", "Remote", "https://apply.example.com/wor/AB13", "AB13"), ("Rip", "FE", "Erie, PA", "https://r/1", "u1"), ("Acme", "Dev", "Austin, TX", "https://g/1", "1"), ("Acme", "Ops", "Remote", "https://g/2", "2"), ("Lev", "QA", "NYC", "https://l/a", "x"), ("Ash", "ML", "Boston", "https://jobs.ashbyhq.com/ash/77", "77"), ("Sma", "PM", "Reno, NV", "https://jobs.example.com/sma/5", "5"), ("Sma", "YY", "Unknown", "https://jobs.example.com/sma/7", "7")]
 
 
 @register("s20_board_fan_in", "SELECT * FROM " + values_sql(_BOARD_ROWS, "company, title, location, url, job_id"))
 def s20(spark, sf):
     load = lambda company, *bodies: values(spark, [(company, company.lower(), b) for b in bodies], "company string, slug string, body string")
-    return feeds.fan_in([feeds.board(load("Acme", *GREENHOUSE), "greenhouse"), feeds.board(load("Lev", LEVER), "lever"), feeds.board(load("Ash", ASHBY), "ashby"), feeds.board(load("Sma", SMART), "smartrecruiters")])
+    return feeds.fan_in([feeds.board(load("Acme", *GREENHOUSE), "greenhouse"), feeds.board(load("Lev", LEVER), "lever"), feeds.board(load("Ash", ASHBY), "ashby"), feeds.board(load("Sma", SMART), "smartrecruiters"), feeds.board(load("Wod", WORKDAY), "workday"), feeds.board(load("Wor", WORKABLE), "workable"), feeds.board(load("Rip", RIPPLING), "rippling")])
 
 
 COMMENTS = [("Acme | Remote (US) | Software Engineer | https://acme.example/jobs\nmore",), ("Bistro | Paris | Cook",), ("Init | SF\nWe seek a developer",)]
@@ -74,3 +77,29 @@ def s21(spark, sf):
     static = p.where("page_id % 3 = 0").select("slug", F.lit("static").alias("origin")).distinct()
     learned = p.where("page_id % 3 <> 0").select("slug", F.lit("learned").alias("origin")).distinct()
     return insert_absent(static, learned, ["slug"])
+
+
+@register("s04_backfill", "SELECT * FROM " + values_sql([(1, "Acme", "Dev", "Unknown", "valid"), (1, "Beta", "Ops", "old", "discarded")], "seq, company, title, reason, outcome"))
+def s04(spark, sf):
+    tab = lambda *rows: values(spark, list(rows), "seq int, cells array<string>")
+    return feeds.backfill({"valid": (tab((1, ["", "Acme", "Dev"]), (2, ["", " ", "", "", "x"])), {"company": 1, "title": 2, "reason": 9}), "discarded": (tab((1, ["Beta", "Ops", "old"])), {"company": 0, "title": 1, "reason": 2})}, {"reason": "Unknown"})
+
+
+@register("s29_state_map", f"WITH {JOBS_SQL} SELECT source, count(*) AS runs, round(100.0 * count(*) FILTER (WHERE outcome = 'valid') / count(*), 1) AS rate FROM jobs GROUP BY 1 HAVING count(*) >= 2")
+def s29(spark, sf):
+    """Rows out of a state document that holds a map of sources."""
+    doc = jobs(spark, sf).groupBy("source").agg(F.struct(F.count("*").alias("runs"), F.count_if(F.col("outcome") == "valid").alias("valid")).alias("s")).agg(F.map_from_entries(F.collect_list(F.struct("source", "s"))).alias("doc"))
+    rows = doc.select(F.explode("doc").alias("source", "s")).where("s.runs >= 2")
+    return rows.select("source", "s.runs", F.round(F.lit(100.0) * F.col("s.valid") / F.col("s.runs"), 1).alias("rate"))
+
+
+@register("s33_salvage", "SELECT * FROM " + values_sql([('{"a": 1}',), ('{"b": {"c": 2}}',)], "object"))
+def s33(spark, sf):
+    return feeds.salvage(values(spark, [('[{"a": 1}, {broken, {"b": {"c": 2}}',), (None,)], "text string"))
+
+
+@register("s25_unseen", f"WITH {JOBS_SQL} SELECT id FROM jobs j WHERE processed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 2 DAY AND NOT EXISTS (SELECT 1 FROM jobs o WHERE o.k = j.k AND o.company = j.company AND o.processed_at < TIMESTAMP '{AS_OF}' - INTERVAL 2 DAY AND o.processed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 9 DAY)")
+def s25(spark, sf):
+    """What a ledger of the last seven days doesn't hold."""
+    j, at = jobs(spark, sf), F.col("processed_at")
+    return j.where(at >= as_of(2)).join(j.where((at < as_of(2)) & (at >= as_of(9))).select("k", "company"), ["k", "company"], "left_anti").select("id")

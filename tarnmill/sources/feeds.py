@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Schemas of the payload of each kind of board; location is text or an object, so it is read as raw JSON.
@@ -13,6 +16,9 @@ BOARDS = {
     "greenhouse": "jobs array<struct<title:string,absolute_url:string,id:string,location:string>>",
     "lever": "array<struct<text:string,hostedUrl:string,applyUrl:string,id:string,categories:struct<location:string>>>",
     "ashby": "jobs array<struct<title:string,id:string,location:string,locationName:string>>",
+    "workday": "jobPostings array<struct<title:string,externalPath:string,locationsText:string,bulletFields:array<string>>>",
+    "workable": "results array<struct<title:string,shortcode:string,location:string>>",
+    "rippling": "array<struct<name:string,url:string,uuid:string,workLocation:struct<label:string>>>",
     "smartrecruiters": "content array<struct<name:string,id:string,location:struct<city:string,region:string,country:string>>>",
 }
 
@@ -25,13 +31,22 @@ def _named(x: Column) -> Column:
 def board(payloads: DataFrame, kind: str) -> DataFrame:
     """(company, title, location, url, job_id) of payloads (company, slug, body); broken payloads give no rows."""
     parsed = payloads.select("company", "slug", F.from_json("body", BOARDS[kind], {"mode": "PERMISSIVE"}).alias("p"))
-    rows = parsed.select("company", "slug", F.explode(F.col("p") if kind == "lever" else F.col("p")[BOARDS[kind].split()[0]]).alias("j"))
+    rows = parsed.select("company", "slug", F.explode(F.col("p") if BOARDS[kind].startswith("array") else F.col("p")[BOARDS[kind].split()[0]]).alias("j"))
     if kind == "greenhouse":
         return rows.select("company", "j.title", _named(F.col("j.location")).alias("location"), F.col("j.absolute_url").alias("url"), F.col("j.id").alias("job_id"))
     if kind == "lever":
         return rows.select("company", F.col("j.text").alias("title"), F.col("j.categories.location").alias("location"), F.coalesce(F.nullif("j.hostedUrl", F.lit("")), "j.applyUrl").alias("url"), F.col("j.id").alias("job_id"))
     if kind == "ashby":
         return rows.select("company", "j.title", F.coalesce("j.location", "j.locationName").alias("location"), F.concat_ws("/", F.lit("https://jobs.ashbyhq.com"), "slug", "j.id").alias("url"), F.col("j.id").alias("job_id"))
+    if kind == "workday":
+        ids = F.filter("j.bulletFields", lambda b: b.rlike("^[A-Z0-9_-]{4,20}$"))
+        found = rows.select("company", "j.title", F.col("j.locationsText").alias("location"), F.concat(F.lit("https://"), "slug", F.lit(".example.com"), "j.externalPath").alias("url"), F.coalesce(F.get(ids, 0), F.lit("N/A")).alias("job_id"))
+        return found.dropDuplicates(["company", "url"])  # several searches find one posting
+    if kind == "workable":
+        place = F.coalesce(F.nullif(F.concat_ws(", ", F.get_json_object("j.location", "$.city"), F.get_json_object("j.location", "$.region")), F.lit("")), "j.location")
+        return rows.select("company", "j.title", place.alias("location"), F.concat_ws("/", F.lit("https://apply.example.com"), "slug", "j.shortcode").alias("url"), F.col("j.shortcode").alias("job_id"))
+    if kind == "rippling":
+        return rows.select("company", F.col("j.name").alias("title"), F.col("j.workLocation.label").alias("location"), "j.url", F.col("j.uuid").alias("job_id"))
     place = F.nullif(F.concat_ws(", ", "j.location.city", "j.location.region"), F.lit(""))
     return rows.where(F.lower("j.location.country") == "us").select("company", F.col("j.name").alias("title"), F.coalesce(place, F.lit("Unknown")).alias("location"), F.concat_ws("/", F.lit("https://jobs.example.com"), "slug", "j.id").alias("url"), F.col("j.id").alias("job_id"))
 
@@ -91,6 +106,45 @@ def decode_row(cells: Column, layout: dict[str, int], defaults: dict[str, str])
     return {name: F.coalesce(F.nullif(F.trim(F.get(cells, F.lit(i))), F.lit("")), F.lit(defaults.get(name, ""))) for name, i in layout.items()}
 
 
+def backfill(tabs: dict[str, tuple[DataFrame, dict[str, int]]], defaults: dict[str, str]) -> DataFrame:
+    """Facts from the rows (seq, cells) of several tabs, each with its layout and its name for outcome; rows whose first
+    four cells are blank go."""
+    parts = []
+    for outcome, (tab, layout) in tabs.items():
+        rows = tab.where(F.exists(F.slice("cells", 1, 4), lambda c: F.trim(c) != ""))
+        parts.append(rows.select("seq", *[c.alias(n) for n, c in decode_row(F.col("cells"), layout, defaults).items()], F.lit(outcome).alias("outcome")))
+    return fan_in(parts)
+
+
+CORRECTIONS = "`from` string, `to` string, url string, ts string"
+
+
+def read_corrections(spark: SparkSession, path: str) -> DataFrame:
+    """A log of JSON lines; lines that can't be read are left out."""
+    return spark.read.schema(CORRECTIONS).option("mode", "DROPMALFORMED").json(path)
+
+
+def salvage(files: DataFrame) -> DataFrame:
+    """(object) JSON objects that can be read out of damaged files (text), one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = json.JSONDecoder()
+        for batch in batches:
+            out, texts = [], batch.column(0).to_pylist()
+            for text in texts:
+                at = (text or "").find("{")
+                while at >= 0:
+                    try:
+                        found, end = decoder.raw_decode(text, at)
+                        out.append(json.dumps(found, sort_keys=True))
+                    except ValueError:
+                        end = at + 1
+                    at = text.find("{", end)
+            yield pa.record_batch([pa.array(out, pa.string())], names=["object"])
+
+    return files.select("text").mapInArrow(run, "object string")
+
+
 def known_keys(tabs: list[DataFrame], keys: dict[str, Column]) -> dict[str, DataFrame]:
     """Distinct values of each key over all tabs."""
     rows = fan_in(tabs)

@@ -146,3 +146,11 @@ def test_incremental_run(spark, event_files, tmp_path):
     total = spark.read.parquet(event_files)
     assert spark.read.parquet(f"{tmp_path}/a").count() == total.where("value >= 2").count()
     assert spark.read.parquet(f"{tmp_path}/r").count() == total.where("value < 2").count()
+
+
+def test_correction_log_and_stage_configuration(spark, tmp_path):
+    (tmp_path / "log").write_text('{"from":"a","to":"b","url":"u","ts":"t"}\n{broken\n{"from":"c","to":"d"}\n')
+    assert [r.to for r in feeds.read_corrections(spark, f"file://{tmp_path}/log").orderBy("to").collect()] == ["b", "d"]
+    assert rules.from_config(["length", {"name": "toxic", "enabled": False}, {"name": "quality"}]) == ["length", "quality"]
+    with pytest.raises(ValueError):
+        rules.from_config(["length", "nonsense"])
