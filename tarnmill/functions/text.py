@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOPWORDS = ["the", "a", "an", "and", "or", "of", "in", "at", "for", "to", "is", "on", "with", "as", "by", "from", "this", "that", "it", "be", "are", "was", "been"]
+STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "been", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
 ACRONYMS = ["AI", "IBM", "API", "AWS", "HR", "IT", "ML", "QA", "SAP", "UX"]
 
 

@@ -68,13 +68,31 @@ RESTRICTIONS = [
     ("high school", r"high school (students|diploma only)"),
     ("undergraduate only", r"(undergraduates?|bachelor'?s students?) only|only undergraduate"),
     ("phd only", r"(phd|doctoral) (students?|candidates?) only|requires? a ph\.?d"),
+    ("degree field", r"degree in (nursing|accounting|law|mechanical|civil|chemical)[a-z ]*(is )?required"),
+    ("enrolled elsewhere", r"enrolled (at|in) a (university|college|school) in (canada|india|the uk|germany)"),
+    ("us person", r"\bu\.?s\.? persons? (only|status)|export control"),
     ("cpt/opt", r"(no|not accept(ing)?) (cpt|opt)\b"),
 ]
+#: What near a passage means that it isn't meant as a restriction.
+FLEXIBLE = {
+    "undergraduate only": r"graduate students? (are )?(also )?welcome|or (master|graduate|phd)|masters? students",
+    "phd only": r"(bachelor|master|bs|ms)('?s)?[ ,/]|or equivalent|preferred",
+    "degree field": r"computer science|or related|preferred",
+}
+CONTEXT = 500
+
+
+def meant(low: Column, pattern: str, flexible: str | None) -> Column:
+    """Whether a pattern occurs somewhere without a flexible wording within CONTEXT signs around it."""
+    if flexible is None:
+        return low.rlike(pattern)
+    around = F.regexp_extract_all(low, F.lit(f"(?s).{{0,{CONTEXT}}}?(?:{pattern}).{{0,{CONTEXT}}}"), F.lit(0))
+    return F.exists(around, lambda c: ~c.rlike(flexible))
 
 
 def restriction(page: Column) -> Column:
     low = F.lower(page)
-    return cascade([(name, low.rlike(pattern)) for name, pattern in RESTRICTIONS])
+    return cascade([(name, meant(low, pattern, FLEXIBLE.get(name))) for name, pattern in RESTRICTIONS])
 
 
 def sponsorship(page: Column) -> Column:

@@ -77,6 +77,10 @@ PAGES = [
     ("Graduation 2026 to graduate 2029. Sponsorship is available.", None, "Yes", 0, ""),
     ("PhD candidates only, no CPT.", "phd only", "Unknown", 0, ""),
     ("$500/hr and $0.5/hr are out of range", None, "Unknown", 0, ""),
+    ("Undergraduates only; graduate students are also welcome", None, "Unknown", 0, ""),
+    ("Requires a PhD or equivalent", None, "Unknown", 0, ""),
+    ("A degree in mechanical engineering is required. US persons only.", "degree field", "Unknown", 0, ""),
+    ("Subject to export control", "us person", "Unknown", 0, ""),
     (None, None, "Unknown", None, None),
 ]
 
