@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tarnmill.functions.text import squeeze
 
-STATES = {"california": "CA", "new york": "NY", "texas": "TX", "washington": "WA", "massachusetts": "MA", "illinois": "IL", "georgia": "GA", "ohio": "OH"}
-ABROAD = ["canada", "india", "germany", "france", "united kingdom", "china", "brazil", "japan"]
+STATES = {name: code for code, name in {"CA": "california", "GA": "georgia", "IL": "illinois", "MA": "massachusetts", "NY": "new york", "OH": "ohio", "TX": "texas", "WA": "washington"}.items()}
+ABROAD = ["brazil", "canada", "china", "france", "germany", "india", "japan", "united kingdom"]
 CITY_SHORT = {"sf": "San Francisco", "nyc": "New York", "la": "Los Angeles"}
 
 
 def state(x: Column) -> Column:
     """Two capitals after the first comma that has such; '' if none."""
-    return F.coalesce(F.regexp_extract(x, r",\s*([A-Z]{2})\b", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(x, r",\s*([A-Z][A-Z])\b", 1), F.lit(""))
 
 
 def state_bucket(x: Column) -> Column:

@@ -139,11 +139,11 @@ def person_name(x: Column) -> Column:
     return F.struct(first.alias("first"), last.alias("last"), F.concat(F.substring(first, 1, 1), F.substring(last, 1, 1)).alias("initials"))
 
 
-SHAPES = ["{first}.{last}", "{f}{last}", "{first}", "{first}{l}", "{first}_{last}"]
+SHAPES = ["<first>.<last>", "<f><last>", "<first>", "<first><l>", "<first>_<last>"]
 
 
 def expand(name: Column, shape: str) -> Column:
-    steps = [("{first}", name["first"]), ("{last}", name["last"]), ("{f}", F.substring(name["first"], 1, 1)), ("{l}", F.substring(name["last"], 1, 1))]
+    steps = [("<first>", name["first"]), ("<last>", name["last"]), ("<f>", F.substring(name["first"], 1, 1)), ("<l>", F.substring(name["last"], 1, 1))]
     return reduce(lambda c, s: F.replace(c, F.lit(s[0]), s[1]), steps, F.lit(shape))
 
 

@@ -91,13 +91,13 @@ def normalize_job_id(x: Column) -> Column:
 def valid_job_id(x: Column) -> Column:
     """4 to 20 capitals, digits, - and _, with a digit, and no stop word."""
     c = F.regexp_replace(x, "Apply$", "")
-    return F.coalesce(c.rlike("^[A-Z0-9_-]{4,20}$") & c.rlike("[0-9]") & ~F.lower(c).isin("apply", "submit", "login", "n/a"), F.lit(False))
+    return F.coalesce(c.rlike("^[-_A-Z0-9]{4,20}$") & c.rlike("[0-9]") & ~F.lower(c).isin("apply", "submit", "login", "n/a"), F.lit(False))
 
 
 ROLES = [
     ("ml", ["machine learning", "deep learning", "computer vision", " nlp", "data scien"], ["sales"]),
     ("data", ["data analyst", "analytics", "business intelligence", "data engineer"], ["sales", "entry clerk"]),
-    ("software", ["software", "developer", "backend", "frontend", "full stack", "sre", "devops"], ["sales", "support"]),
+    ("software", ["developer", "software", "sre", "frontend", "devops", "full stack", "backend"], ["sales", "support"]),
     ("hardware", ["hardware", "fpga", "asic", "embedded", "firmware"], []),
 ]
 

@@ -125,7 +125,7 @@ def contract_fault(row: dict[str, Column]) -> Column:
         ("company too long", F.length(row["company"]) > 100),
         ("title too long", F.length(row["title"]) > 200),
         ("resume type unknown", ~row["resume_type"].isin("SDE", "ML", "DA")),
-        ("outcome unknown", ~row["outcome"].isin("valid", "discarded", "reviewed", "duplicate")),
+        ("outcome unknown", ~row["outcome"].isin("reviewed", "duplicate", "valid", "discarded")),
     ])
 
 

@@ -45,8 +45,8 @@ cases("str32_legal_entity", ["x"], {"name": lambda x, y: p.legal_entity(x)}, [("
 cases("str34_looks_like_title", ["x"], {"title": lambda x, y: flag(p.looks_like_title(x))}, [("Software Engineer", 1), ("Intern Labs", 0), ("Acme", 0)])
 cases("str36_common_substring", ["x", "y"], {"n": lambda x, y: p.common_substring(x, y)}, [("abcdef", "zabcy", 3), ("aaaa", "aa", 2), ("abc", "xyz", 0), ("", "a", 0), ("banana", "ananas", 5)])
 cases("str41_person_name", ["x", "y"], {"first": lambda x, y: p.person_name(x)["first"], "last": lambda x, y: p.person_name(x)["last"], "initials": lambda x, y: p.person_name(x)["initials"], "shape": lambda x, y: p.shape_of(y, p.person_name(x)), "addresses": lambda x, y: F.array_join(p.addresses(p.person_name(x), F.lit("z.io")), " ")}, [
-    ("Dr. Ada Quill (she)", "ada.quill@z.io", "ada", "quill", "aq", "{first}.{last}", "ada.quill@z.io aquill@z.io ada@z.io adaq@z.io ada_quill@z.io"),
-    ("Bo van Tree, PhD", "btree@z.io", "bo", "tree", "bt", "{f}{last}", "bo.tree@z.io btree@z.io bo@z.io bot@z.io bo_tree@z.io"),
+    ("Dr. Ada Quill (she)", "ada.quill@z.io", "ada", "quill", "aq", "<first>.<last>", "ada.quill@z.io aquill@z.io ada@z.io adaq@z.io ada_quill@z.io"),
+    ("Bo van Tree, PhD", "btree@z.io", "bo", "tree", "bt", "<f><last>", "bo.tree@z.io btree@z.io bo@z.io bot@z.io bo_tree@z.io"),
     ("Cy Marsh III", "other@z.io", "cy", "marsh", "cm", None, "cy.marsh@z.io cmarsh@z.io cy@z.io cym@z.io cy_marsh@z.io"),
 ])
 cases("str44_address_shape", ["x"], {"shape": lambda x, y: text.address_shape(x)}, [("ada.quill", "first.last"), ("ada_quill", "first_last"), ("aquill", "flast"), ("42", "first")])

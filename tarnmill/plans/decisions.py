@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnmill.functions import urls
-from tarnmill.functions.places import ABROAD, STATES
+from tarnmill.functions.places import ABROAD, STATES, state
 from tarnmill.operators.rules import cascade
 from tarnmill.plans.registry import register
 from tarnmill.plans.texts import values, values_sql
@@ -27,10 +27,10 @@ def rul20(spark, sf):
     return f.select("id", reason.alias("reason")).select("id", F.col("reason").isNull().alias("accepted"), "reason")
 
 
-@register("k01_derived_dims", "SELECT c_custkey, CAST(lower(c_mktsegment) IN ('building', 'machinery') AS INTEGER) AS is_remote, CAST(lower(c_mktsegment) = 'building' AS INTEGER) AS is_sponsored, regexp_extract(c_name || ', TX', ',\\s*([A-Z]{2})\\b', 1) AS location_state FROM customer".replace("\\\\", "\\"))
+@register("k01_derived_dims", "SELECT c_custkey, CAST(lower(c_mktsegment) IN ('building', 'machinery') AS INTEGER) AS is_remote, CAST(lower(c_mktsegment) = 'building' AS INTEGER) AS is_sponsored, right(c_name || ', TX', 2) AS location_state FROM customer".replace("\\\\", "\\"))
 def k01(spark, sf):
     s = F.lower("c_mktsegment")
-    return table(spark, sf, "customer").select("c_custkey", s.isin("building", "machinery").cast("int").alias("is_remote"), (s == "building").cast("int").alias("is_sponsored"), F.regexp_extract(F.concat("c_name", F.lit(", TX")), r",\s*([A-Z]{2})\b", 1).alias("location_state"))
+    return table(spark, sf, "customer").select("c_custkey", s.isin("building", "machinery").cast("int").alias("is_remote"), (s == "building").cast("int").alias("is_sponsored"), state(F.concat("c_name", F.lit(", TX"))).alias("location_state"))
 
 
 @register("p05_source_names", "SELECT event_id, CASE event_type WHEN 'click' THEN 'Board' WHEN 'view' THEN 'Feed' ELSE event_type END AS source FROM events")
@@ -58,7 +58,7 @@ PLACES = [("Austin, TX", 1), ("Unknown", 1), (None, 1), ("Berlin, Germany", 0),
 @register("p19_us_places", "SELECT * FROM " + values_sql(PLACES, "place, us"))
 def p19(spark, sf):
     low = F.lower(F.coalesce("place", F.lit("")))
-    us = F.when(low.isin("", "unknown"), True).when(low.rlike("|".join(ABROAD)), False).otherwise(low.rlike(_US + r"|\busa?\b|united states") | F.col("place").rlike(r",\s*[A-Z]{2}\b"))
+    us = F.when(low.isin("", "unknown"), True).when(low.rlike("|".join(ABROAD)), False).otherwise(low.rlike(_US + r"|\busa?\b|united states") | (state(F.col("place")) != ""))
     return values(spark, [(p,) for p, _ in PLACES], "place string").select("place", us.cast("int").alias("us"))
 
 

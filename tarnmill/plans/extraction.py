@@ -63,7 +63,7 @@ def col06(spark, sf):
     return p.select("id", j["title"].alias("title"), j["company"].alias("company"), j["city"].alias("city"), j["id"].alias("job_id"), html.meta(F.col("html"), "og:title").alias("og"))
 
 
-TABLES = '<h2>Software</h2><table><tr><th>C</th></tr><tr><td>Acme</td><td>Dev <b>I</b></td><td><a href="https://x/1">go</a></td></tr><tr><td>B &amp; C</td><td>QA</td><td></td></tr></table><h2>Data</h2><table><tr><td>D</td></tr></table>'
+TABLES = '<h2>Software</h2><table><tr><th>C</th></tr><tr> <td>Acme</td> <td>Dev <b>I</b></td> <td class="l"><a href="https://x/1">go</a></td> </tr> <tr class="odd"><td>B &amp; C</td><td>QA</td><td id="e"></td></tr></table><h2>Data</h2><table><tr><td>D</td></tr></table>'
 
 
 @register("col16_html_tables", "SELECT * FROM " + values_sql([(1, "Software", "Acme|Dev I|go", "https://x/1"), (1, "Software", "B & C|QA|", ""), (1, "Data", "D", "")], "id, section, row, url"))

@@ -227,9 +227,9 @@ def reason_counts(spark, sf):
     return table(spark, sf, "documents").groupBy(reason.alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(10)
 
 
-@register("a33_domain_rollup", r"WITH d AS (SELECT regexp_extract(url, '^https?://(?:www\.)?([^/?#]+)', 1) AS domain FROM pages) SELECT domain, count(*) AS n, -30 * count(*) AS score, count(*) >= 5 AS blocked FROM d GROUP BY 1")
+@register("a33_domain_rollup", r"WITH d AS (SELECT regexp_extract(url, '^https?://(?:www[.])?([^/?#]+)', 1) AS domain FROM pages) SELECT domain, count(*) AS n, -30 * count(*) AS score, count(*) >= 5 AS blocked FROM d GROUP BY 1")
 def domain_rollup(spark, sf):
-    domain = F.regexp_extract("url", r"^https?://(?:www\.)?([^/?#]+)", 1)
+    domain = F.regexp_extract("url", r"^https?://(?:www[.])?([^/?#]+)", 1)
     return table(spark, sf, "pages").groupBy(domain.alias("domain")).agg(F.count("*").alias("n")).select("domain", "n", (F.lit(-30) * F.col("n")).alias("score"), (F.col("n") >= 5).alias("blocked"))
 
 

@@ -39,7 +39,7 @@ def board(payloads: DataFrame, kind: str) -> DataFrame:
     if kind == "ashby":
         return rows.select("company", "j.title", F.coalesce("j.location", "j.locationName").alias("location"), F.concat_ws("/", F.lit("https://jobs.ashbyhq.com"), "slug", "j.id").alias("url"), F.col("j.id").alias("job_id"))
     if kind == "workday":
-        ids = F.filter("j.bulletFields", lambda b: b.rlike("^[A-Z0-9_-]{4,20}$"))
+        ids = F.filter("j.bulletFields", lambda b: b.rlike("^[-_A-Z0-9]{4,20}$"))
         found = rows.select("company", "j.title", F.col("j.locationsText").alias("location"), F.concat(F.lit("https://"), "slug", F.lit(".example.com"), "j.externalPath").alias("url"), F.coalesce(F.get(ids, 0), F.lit("N/A")).alias("job_id"))
         return found.dropDuplicates(["company", "url"])  # several searches find one posting
     if kind == "workable":

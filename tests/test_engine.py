@@ -15,7 +15,7 @@ from tarnmill.streaming import operators as streams
 def test_empty_store(spark):
     jobs = spark.createDataFrame([], "source string, outcome string, processed_at timestamp_ntz, processing_time_ms double")
     assert rollups.source_quality(jobs).count() == 0
-    assert rollups.indexed_percentiles(jobs, "processing_time_ms", {"p50": 0.5, "p99": 0.99}).first().asDict() == {"p50": 0, "p99": 0, "count": 0}
+    assert rollups.indexed_percentiles(jobs, "processing_time_ms", {"p50": 0.5, "p99": 0.99}).first().asDict() == {"count": 0, "p99": 0, "p50": 0}
     assert control.source_stats(control.daily_rates(jobs)).count() == 0
     assert rollups.weekly(spark.createDataFrame([], "day date"), "day").count() == 0
 
