@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Bytes of text that a vectorised step handles at once; a longer text is handled alone.
 SLICE_BYTES = 1 << 20
+#: Bytes of a batch that JVM and Python exchange.
+BATCH_BYTES = 8 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -64,6 +66,15 @@ def drop_written(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lets an Arrow batch hold at most BATCH_BYTES (or one row): long texts else make batches of 64 MB, of which JVM
+    and Python hold several copies each. A lower setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name).rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def columns(df: DataFrame) -> list[Column]:
     """All columns of df, whatever signs are in their names."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

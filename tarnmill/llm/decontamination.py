@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnmill.llm.common import U64, Words, columns, ngram_hashes, slices, text_buffer
+from tarnmill.llm.common import U64, Words, bound_batches, columns, ngram_hashes, slices, text_buffer
 
 #: Tokens of a template window; an item with fewer has one window of all its tokens, and none with under LEAST.
 WINDOW = 8
@@ -318,6 +318,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows:
     doc_kind, item_kind = docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
     if words <= broadcast_windows:  # a window begins at a token of one character at least, and there are two variants
         rows = sorted(items.collect(), key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))
+        bound_batches(docs.sparkSession)
         find = _matcher(Benchmark([r["text"] for r in rows]))
         names = docs.sparkSession.createDataFrame([(i, r["item_id"]) for i, r in enumerate(rows)], T.StructType([T.StructField("item", T.IntegerType()), T.StructField("item_id", item_kind)]))
         found = docs.select("doc_id", F.explode(find(F.coalesce("text", F.lit("")))).alias("m")).select("doc_id", "m.*").join(F.broadcast(names), "item")
@@ -328,6 +329,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows:
 
 def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Window hashes of both sides joined by a shuffle; texts follow for the pairs found only."""
+    bound_batches(docs.sparkSession)
     kind = "key long, size int, window long"
     left = docs.where("text is not null").select(F.xxhash64("text").alias("key"), "text", F.array(*[F.lit(s) for s in range(LEAST, WINDOW + 1)]).alias("s"), F.lit(False).alias("own"))
     right = items.select(F.xxhash64("text").alias("key"), "text", F.array(*[F.lit(s) for s in range(LEAST, WINDOW + 1)]).alias("s"), F.lit(True).alias("own")).distinct()
@@ -355,6 +357,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows:
     text where the benchmark is too large to broadcast."""
     items = benchmark.select("text").where("text is not null")
     if (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= broadcast_windows:
+        bound_batches(docs.sparkSession)
         find = _matcher(Benchmark(sorted(r["text"] for r in items.collect())))
         return docs.where(F.size(find(F.coalesce(docs["text"], F.lit("")))) == 0)
     keyed = docs.withColumn("__tm_key", F.xxhash64("text"))

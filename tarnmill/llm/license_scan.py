@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import slices
+from tarnmill.llm.common import bound_batches, slices
 
 #: (name, wording). Wordings are compared in ASCII lower case.
 NOTICES = (
@@ -135,6 +135,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices:
                     owner, name, start, end, edits, passage = zip(*rows)
                     yield pa.record_batch([ids[a:b].take(pa.array(owner)), pa.array(name), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32()), pa.array(passage)], names=["k", "license", "start", "end", "edits", "passage"])
 
+    bound_batches(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
     return rows.mapInArrow(run, f"k {kind}, license string, start long, end long, edits int, passage string").withColumnRenamed("k", id_col)

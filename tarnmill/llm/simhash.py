@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import U64, Words, columns, drop_written, mix, slices, written
+from tarnmill.llm.common import U64, Words, bound_batches, columns, drop_written, mix, slices, written
 from tarnmill.llm.components import components
 
 BITS = 256
@@ -227,6 +227,7 @@ def groups(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES, bits: in
             sig = np.concatenate(parts) if parts else np.zeros((0, _LANES), U64)
             yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array(sig[:, i].view(np.int64)) for i in range(_LANES))], names=["doc_id", "h", "s0", "s1", "s2", "s3"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").alias("t"), F.xxhash64("text").alias("h"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     signed = written(rows.mapInArrow(sign, f"doc_id {kind}, h long, s0 long, s1 long, s2 long, s3 long").withColumn("node", F.xxhash64("s0", "s1", "s2", "s3")), "signed")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnmill.llm.common import U64, Words, _power, columns, drop_written, mix, ngram_hashes, slices, written
+from tarnmill.llm.common import U64, Words, _power, bound_batches, columns, drop_written, mix, ngram_hashes, slices, written
 
 #: A passage of so many words that occurred earlier is removed.
 LENGTH = 50
@@ -310,6 +310,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _spans(docs: DataFrame) -> DataFrame:
     """(d, h, start, end), merged."""
+    bound_batches(docs.sparkSession)
     rows = _keyed(docs).where("t is not null")
     found = written(rows.mapInArrow(_anchor_rows, _ANCHOR_ROWS), "anchors")
     own = found.where("anchor is null").select("d", "h", F.col("at").cast("long").alias("x"), (F.col("at") + F.col("right")).cast("long").alias("y"))

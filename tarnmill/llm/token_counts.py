@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnmill.llm.common import bound_batches
+
 #: Bytes of text that one encoding call gets, and beyond which a text is split.
 BATCH_BYTES = 256 << 10
 PIECE_CHARS = 32 << 10
@@ -85,7 +87,7 @@ def count_batch(texts: list[str | None], path: str, batch_bytes: int = BATCH_BYT
         for piece in split_safely(text, piece_chars, drop_space) if text else ():
             owners.append(i)
             batch.append(piece)
-            held += len(piece)
+            held += len(piece.encode())
             if held >= batch_bytes:
                 flush()
     if batch:
@@ -105,6 +107,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             counts = count_batch(batch.column(1).to_pylist(), path)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["k", "n_bytes", "n_tokens"])
 
+    bound_batches(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("t"), F.octet_length(F.col(f"`{text_col}`")).cast("long").alias("n_bytes"))
     kind = rows.schema["k"].dataType.simpleString()
     return rows.mapInArrow(count, f"k {kind}, n_bytes long, n_tokens long").withColumnRenamed("k", id_col)

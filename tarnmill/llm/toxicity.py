@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnmill.llm.common import U64, Words, slices
+from tarnmill.llm.common import U64, Words, bound_batches, slices
 
 #: Labelled rows that the classifier is fitted on, at most: the first in the order of a hash of their ids.
 SAMPLE = 8_000
@@ -212,6 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
 
 def score_columns(docs: DataFrame, model: Model) -> tuple[Column, Column]:
     """(score, threshold) as columns of docs."""
+    bound_batches(docs.sparkSession)
 
     @F.arrow_udf(T.DoubleType())
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
