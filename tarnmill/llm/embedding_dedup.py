@@ -142,7 +142,7 @@ def groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", co
     fine = F.coalesce((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     # + 0.0: -0.0 and 0.0 are equal numbers and must hash alike
     rows = written(rows.withColumn("v", F.when(fine, F.transform("v", lambda x: x + F.lit(0.0)))).withColumn("node", F.when(fine, F.xxhash64("v"))), "vectors")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.first("v").alias("v"))
+    nodes = written(rows.where("node is not null").groupBy("node").agg(F.first("v").alias("v")), "nodes")
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +172,7 @@ def groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", co
     close = (F.size("x") == F.size("y")) & (dot("x", "y") >= cosine * F.sqrt(dot("x", "x") * dot("y", "y")))
     verified = pairs.join(left, "a").join(right, "b").where(close).select("a", "b")
     roots = components(verified)
-    drop_written(found)
+    drop_written(found, nodes)
     least = rows.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     w = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last())
     grouped = least.where("root is not null").select("id", F.first("id").over(w).alias("group_id"), (F.row_number().over(w) > 1).alias("is_duplicate"))
