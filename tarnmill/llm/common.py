@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that a vectorised step handles at once; a longer text is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Bytes of a batch that JVM and Python exchange.
 BATCH_BYTES = 8 << 20
 
