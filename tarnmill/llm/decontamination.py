@@ -17,7 +17,8 @@ from tarnmill.llm.common import U64, Words, bound_batches, columns, ngram_hashes
 #: Tokens of a template window; an item with fewer has one window of all its tokens, and none with under LEAST.
 WINDOW = 8
 LEAST = 4
-#: Share of a window's tokens that must be literal, so that bare placeholders match nothing.
+#: Share of a window's tokens that must be literal, so that bare placeholders match nothing. Windows of RAW values match
+#: whatever their share.
 LITERAL = 0.5
 #: A document holds an item if its windows with consistent slots cover this share of the item's tokens, and RUN tokens
 #: or the whole item.
@@ -34,6 +35,9 @@ _UNITS = (
     " dollar dollars cent cents euro euros usd eur gbp percent degree degrees celsius fahrenheit mph kmh kph watt watts kw kwh volt volts byte bytes kb mb gb"
 )
 LITERAL_TOKEN, NUMBER, UNIT, NAME = 0, 1, 2, 3
+#: The variant in which every token is a literal.
+RAW = 2
+VARIANTS = (0, 1, RAW)
 _SLOT_HASH = np.array([0, 0xA5A5_0001, 0xA5A5_0002, 0xA5A5_0003], U64) * U64(0x9E3779B97F4A7C15)
 
 _CLASS = np.zeros(256, np.uint8)  # 1 letter, 2 digit
@@ -76,7 +80,8 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 class Templates:
     """Tokens of a slice of texts: words, which begin with a letter, and numbers (digits, with . , / between them), in
     lower case, each with a kind: a literal, a number (digits or a number word), a unit (a unit word after a number), or a name (capitalised,
-    not all in capitals, inside a sentence). `variant` 1 takes capitalised words that begin a sentence for names too."""
+    not all in capitals, inside a sentence). `variant` 1 takes capitalised words that begin a sentence for names too; in
+    RAW all tokens are literals, so that text full of numbers, units and names still matches word for word."""
 
     def __init__(self, texts: pa.Array):
         data, off = text_buffer(texts)
@@ -131,6 +136,7 @@ class Templates:
             k[number], k[unit] = NUMBER, UNIT
             k[name & (~opening | bool(variant))] = NAME
             self.kinds.append(k)
+        self.kinds.append(np.zeros(len(self.start), np.uint8))
 
     def windows(self, variant: int, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
         """(first tokens, hashes) of the windows of `size` tokens that lie in one text and are literal enough."""
@@ -176,7 +182,7 @@ def compare(doc: Templates, item: Templates) -> Match | None:
     size = item_size(n)
     covered = np.zeros(n, bool)
     slot_pairs: dict[int, tuple[int, int]] = {}
-    for variant in (0, 1):
+    for variant in VARIANTS:
         p_at, p_hash = item.windows(variant, size)
         q_at, q_hash = doc.windows(variant, size)
         q_in = np.isin(q_hash, p_hash)
@@ -217,6 +223,9 @@ def compare(doc: Templates, item: Templates) -> Match | None:
                 for at, (k, x, y) in zip(slots.tolist(), pairs):
                     if covered[at]:
                         slot_pairs[at] = (x, y)
+                if variant == RAW:
+                    for at in fine[item.kinds[0][fine] != LITERAL_TOKEN].tolist():
+                        slot_pairs.setdefault(at, (item.value[at], item.value[at]))
     matched = int(covered.sum())
     if matched < COVERAGE * n or matched < min(n, RUN):
         return None
@@ -234,7 +243,7 @@ class Benchmark:
         for i, item in enumerate(self.items):
             size = item_size(len(item.value))
             if size >= LEAST:
-                for variant in (0, 1):
+                for variant in VARIANTS:
                     h = item.windows(variant, size)[1]
                     hashes.setdefault((variant, size), []).append(h)
                     owners.setdefault((variant, size), []).append(np.full(len(h), i))
@@ -293,13 +302,13 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = Templates(batch.column(1)[a:b])
             keys = batch.column(0)[a:b]
             for size in sorted({s for own in batch.column(2)[a:b].to_pylist() for s in own}):
-                for variant in (0, 1):
+                for variant in VARIANTS:
                     at, h = texts.windows(variant, size)
                     doc = np.searchsorted(texts.first, at, "right") - 1
                     full = np.diff(texts.first)[doc] == size
                     asked = np.array([size in s for s in batch.column(2)[a:b].to_pylist()])[doc]
                     keep = asked & (full | (size == WINDOW) | ~batch.column(3)[a:b].to_numpy(zero_copy_only=False)[doc])
-                    yield pa.record_batch([keys.take(pa.array(doc[keep])), pa.array(np.full(int(keep.sum()), 2 * size + variant, np.int32)), pa.array(h[keep].view(np.int64))], names=["key", "size", "window"])
+                    yield pa.record_batch([keys.take(pa.array(doc[keep])), pa.array(np.full(int(keep.sum()), len(VARIANTS) * size + variant, np.int32)), pa.array(h[keep].view(np.int64))], names=["key", "size", "window"])
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -307,7 +316,8 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows:
     item of the benchmark, word for word or with other numbers, names and units.
 
     Texts become templates: numbers, units after numbers and names turn into typed placeholders. Windows of 8 tokens,
-    at least half of them literal, are joined by hash, and slots are checked for consistency (see `compare`).
+    at least half of them literal, are joined by hash, and slots are checked for consistency (see `compare`). Windows
+    of the tokens as they are count whatever they hold, so a word-for-word copy of any item is found.
 
     A benchmark of up to `broadcast_windows` windows goes to every task and documents aren't shuffled; a larger one is
     joined by a shuffle of window hashes, with the same result. Null or empty texts and items of under 4 tokens:
@@ -316,7 +326,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows:
     items = benchmark.select("item_id", "text").where("text is not null")
     words = items.agg(F.sum(F.length("text"))).first()[0] or 0
     doc_kind, item_kind = docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
-    if words <= broadcast_windows:  # a window begins at a token of one character at least, and there are two variants
+    if words <= broadcast_windows:  # a window begins at a token of one character at least, and there are three variants
         rows = sorted(items.collect(), key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))
         bound_batches(docs.sparkSession)
         find = _matcher(Benchmark([r["text"] for r in rows]))

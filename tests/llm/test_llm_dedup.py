@@ -311,6 +311,27 @@ def test_changed_slots_are_counted_and_must_agree():
     assert match(short.replace("3", "7"), short) and match("now add 1 and 4 then take 9 and 2 off again from 5 at once", short) is None
 
 
+DENSE = {
+    1: "Compute 12 * 34 + 56 - 78 / 9",
+    2: "Tom Bob Jane Mary Alice Peter Paul Susan Henry Clara Oscar Nina Hugo Ida",
+    3: "The Quick Brown Fox Jumps Over The Lazy Dog While The Old Grey Cat Sleeps Under A Broken Chair",
+    4: "mix 3 kg 4 g 5 ml 6 cups 7 lbs 8 oz 9 cups 10 ml 11 g 12 kg",
+}
+
+
+@pytest.mark.parametrize("limit", [10**9, 0])
+def test_copies_of_items_dense_in_slots_are_found(spark, make, limit):
+    bench = spark.createDataFrame(list(DENSE.items()), "item_id long, text string")
+    rows = [(i, f"{words(30, i)}. {t} {words(30, 9 + i)}") for i, t in DENSE.items()] + [(10 + i, t) for i, t in DENSE.items()]
+    # placeholders alone still match nothing
+    rows += [(20, "Compute 21 * 43 + 65 - 87 / 5"), (21, "Ann Ben Carl Dora Emil Fritz Gerd Hanna Inge Jan Karl Lena Max Olga"), (22, "mix 13 kg 14 g 15 ml 16 cups 17 lbs 18 oz 19 cups 20 ml 21 g 22 kg")]
+    docs = make(rows)
+    found = decontamination.find_contaminated(docs, bench, limit).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(k + i, i) for i in DENSE for k in (0, 10)}
+    assert all(r.coverage == 1 and r.slots_changed == 0 for r in found if r.doc_id > 10)
+    assert {r.doc_id for r in decontamination.drop_contaminated(docs, bench, limit).collect()} == {20, 21, 22}
+
+
 def test_contamination_against_plain_windows(spark, sf_dir):
     """Brute force over words for the benchmark as it is: every item that a document holds word for word."""
     tok = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
