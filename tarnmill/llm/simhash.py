@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,11 @@ BITS = 256
 #: Copies with a twentieth of their words changed differ in some 25 to 35 bits, other texts of one language in 100; the
 #: fewest pairs lie between 46 and 54.
 RADIUS = 46
-#: Blocks: documents that agree on BLOCK_BITS sampled bits of the signature are compared, in each of TABLES samples.
+#: Blocks: documents that agree on BLOCK_BITS sampled bits of the signature are compared, in each of as many samples as
+#: make two that differ in exactly the radius meet with probability RECALL (0.9 is wanted; the rest is for samples that
+#: overlap).
 BLOCK_BITS = 18
-TABLES = 32
+RECALL = 0.92
 #: Bit planes between looks at whether a whole block has left the radius.
 ABANDON_EVERY = 32
 #: Cells of a query and 64 members that are worked on at once.
@@ -57,6 +60,14 @@ def signatures(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def tables_for(radius: int = RADIUS, bits: int = BLOCK_BITS, recall: float = RECALL) -> int:
+    """Tables by which a pair that differs in `radius` bits meets in one at least with probability `recall`."""
+    return ceil(log(1 - recall) / log1p(-comb(BITS - radius, bits) / comb(BITS, bits)))
+
+
+TABLES = tables_for()
+
+
 def block_bits(tables: int = TABLES, bits: int = BLOCK_BITS, seed: int = 11) -> np.ndarray:
     r = np.random.default_rng(seed)
     return np.stack([r.choice(BITS, bits, replace=False) for _ in range(tables)])
@@ -254,8 +265,9 @@ def assign(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES, bits: in
 
     Groups are the connected components of pairs whose 256-bit signatures differ in at most `radius` bits. Pairs are
     sought in blocks: two signatures that differ in a share d of their bits meet in one of the tables with
-    probability 1 - (1 - (1 - d)^bits)^tables, 0.98 at d = 0.1; all members of a block are compared. Documents of
-    equal signatures are one node, so copies cost nothing here.
+    probability of some 1 - (1 - (1 - d)^bits)^tables, over 0.9 at the default radius itself and more below it; another
+    radius or other bits need the tables of `tables_for`. All members of a block are compared. Documents of equal
+    signatures are one node, so copies cost nothing here.
 
     Texts without words (null or empty ones) are in groups of their own rows: group_id is their doc_id, none is a
     duplicate. Null doc_ids: they sort last, so that such a row stays only where no other does; repeated rows: one

@@ -116,6 +116,27 @@ def test_simhash_recall_on_the_documents(spark, sf_dir):
     assert all(want[ids.index(i)] == want[ids.index(g)] for i, g in group.items())
 
 
+def test_blocks_meet_at_every_distance_up_to_the_radius():
+    r = np.random.default_rng(5)
+    chosen = simhash.block_bits()
+    for distance in (20, 30, 35, 40, simhash.RADIUS):
+        flips = np.argsort(r.random((2000, simhash.BITS)), axis=1)[:, :distance]
+        bits = np.zeros((2000, simhash.BITS), np.uint8)
+        np.put_along_axis(bits, flips, 1, axis=1)
+        keys = simhash.block_keys(np.packbits(bits, axis=1, bitorder="little").view(np.uint64), chosen)
+        assert (keys == 0).any(axis=1).mean() >= 0.9, distance
+
+
+def test_simhash_recall_by_distance(make):
+    base = [words(150, 50_000 + i) for i in range(400)]
+    copies = [near_copy(t, 15 + i % 8, i) for i, t in enumerate(base)]
+    d = np.bitwise_count(simhash.signatures(pa.array(base)) ^ simhash.signatures(pa.array(copies))).sum(axis=1)
+    out = {r.doc_id: r.group_id for r in simhash.assign(make([*enumerate(base), *((1000 + i, t) for i, t in enumerate(copies))])).collect()}
+    for low, high in ((0, 38), (39, 42), (43, simhash.RADIUS)):
+        near = [i for i in range(400) if low <= d[i] <= high]
+        assert len(near) >= 20 and sum(out[1000 + i] == out[i] for i in near) >= 0.9 * len(near), (low, len(near))
+
+
 def test_simhash_cases(make, nasty):
     docs = make(nasty)
     out = simhash.assign(docs).collect()
