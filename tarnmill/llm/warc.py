@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tarnmill.llm.common import drop_written, shared_path, written
 
 SPLIT_BYTES = 16 << 20
-#: A header that doesn't end within so many bytes is no header.
+#: Bytes that are read beyond a split for the header of its last record; a longer header is read on to its end.
 HEADER_BYTES = 64 << 10
 YIELD_BYTES = 4 << 20
 MAGIC = b"WARC/1."
@@ -49,12 +49,12 @@ def open_file(path: str) -> pa.NativeFile:
 
 def header_at(data: bytes, at: int) -> tuple[int, int, dict[bytes, bytes]] | None:
     """(start of the payload, its length, fields) of the record that seems to begin at data[at], or None."""
-    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-    if end < 0 or not data.startswith(MAGIC, at):
+    if not data.startswith(MAGIC, at) or data[at + len(MAGIC) + 1 : at + len(MAGIC) + 3] != b"\r\n":
         return None
-    lines = data[at:end].split(b"\r\n")
-    if len(lines[0]) != len(MAGIC) + 1:
+    end = data.find(b"\r\n\r\n", at)
+    if end < 0:
         return None
+    lines = data[at:end].split(b"\r\n")
     fields = {}
     for line in lines[1:]:
         name, colon, value = line.partition(b": ")
@@ -67,14 +67,41 @@ def header_at(data: bytes, at: int) -> tuple[int, int, dict[bytes, bytes]] | Non
     return end + 4, int(length), fields
 
 
+def unfinished(data: bytes, at: int) -> bool:
+    """Whether data ends inside what may be a header that begins at data[at]."""
+    start = data[at : at + len(MAGIC) + 3]
+    if not start.startswith(MAGIC[: len(start)]) or data.find(b"\r\n\r\n", at) >= 0:
+        return False
+    if len(start) < len(MAGIC) + 3:
+        return True
+    return start.endswith(b"\r\n") and all(b": " in line for line in data[at:].split(b"\r\n")[1:-1])
+
+
+def read_on(file: pa.NativeFile, data: bytes, base: int, length: int, places: list[int]) -> bytes:
+    """data, the bytes of a file of that length from base on, longer until no header at one of the places in it is
+    unfinished, or to the end of the file."""
+    while base + len(data) < length and (places := [at for at in places if unfinished(data, at)]):
+        file.seek(base + len(data))
+        data += file.read(min(length - base - len(data), max(HEADER_BYTES, len(data))))
+    return data
+
+
+def magics(data: bytes, end: int) -> list[int]:
+    """Offsets before end at which the magic stands."""
+    found, at = [], data.find(MAGIC)
+    while 0 <= at < end:
+        found.append(at)
+        at = data.find(MAGIC, at + 1)
+    return found
+
+
 def candidates_in(data: bytes, start: int, end: int) -> dict[int, int]:
     """Offset -> successor offset of everything that looks like a record beginning in [start, end); data begins at
     start and runs some way beyond end."""
-    found, at = {}, data.find(MAGIC)
-    while 0 <= at < end - start:
+    found = {}
+    for at in magics(data, end - start):
         if head := header_at(data, at):
             found[start + at] = start + head[0] + head[1] + 4
-        at = data.find(MAGIC, at + 1)
     return found
 
 
@@ -92,6 +119,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with open_file(row["path"]) as file:
                 file.seek(row["start"])
                 data = file.read(min(row["end"] + HEADER_BYTES, row["length"]) - row["start"])
+                data = read_on(file, data, row["start"], row["length"], magics(data, row["end"] - row["start"]))
             out = exits(candidates_in(data, row["start"], row["end"]))
             if out:
                 n = len(out)
@@ -109,6 +137,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if at - base + HEADER_BYTES > len(data):
                         file.seek(at)
                         base, data = at, file.read(max(0, min(row["end"] + HEADER_BYTES, row["length"]) - at))
+                    data = read_on(file, data, base, row["length"], [at - base])
                     head = header_at(data, at - base)
                     if not head:
                         break  # the chain ends in something that is no record: the file is cut off or damaged

@@ -216,6 +216,15 @@ def make_pages(spark, rows):
     return spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, payload string, at long").repartition(2)
 
 
+@pytest.mark.parametrize("split", [16 << 20, 5000, 100_000])
+def test_warc_headers_of_any_length(spark, split):
+    rows = [(i, f"http://a/{i}", f"page {i} " * 50) for i in range(30)]
+    rows[10] = (10, "data:" + "x" * 200_000, "WARC/1.0\r\nnot: a header")
+    rows[20] = (20, "http://b/" + "y: " * 30_000, "WARC/1.0\r\n\r\nWARC/1.0 in a page")
+    out = warc.round_trip(make_pages(spark, rows).coalesce(1), split)
+    assert sorted(map(tuple, out.collect())) == rows
+
+
 def test_warc_cases(spark):
     fake = "WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
     rows = [(1, "http://a/", "<p>x</p>"), (1, "http://a/", "<p>x</p>"), (None, None, None), (2, None, ""), (3, "http://b/", None), (4, "http://c/", fake * 3 + "end"), (5, "u", "z" * 200_000), (6, "u", "é漢\r\n\r\nWARC/1.0\r\n\r\n"), (7, "u", "WARC/1.0")]
