@@ -17,9 +17,13 @@ from tarnmill.llm.common import U64, drop_written, written
 from tarnmill.llm.components import components
 
 COSINE = 0.95
+#: Passes, and neighbours that follow a vector in the order of a pass and are compared with it: at least so many, and as
+#: many more as a pair at the threshold needs to be met with probability RECALL (see `plan`).
 PASSES = 16
-#: Neighbours that follow a vector in the order of a pass and are compared with it.
 NEIGHBOURS = 16
+RECALL = 0.95
+#: Comparisons that cost as much as to sort a vector.
+SORT_COST = 64
 #: Random hyperplanes of the sort key of a pass, and of the sketch that screens pairs before vectors are fetched.
 KEY_BITS = 64
 SKETCH_BITS = 256
@@ -45,6 +49,53 @@ def radius(cosine: float) -> int:
     return int(np.ceil(SKETCH_BITS * p + SLACK * np.sqrt(SKETCH_BITS * p * (1 - p))))
 
 
+def plan(nodes: int, cosine: float, shared: float) -> tuple[int, int]:
+    """(passes, neighbours) of the least cost by which a pair at the threshold is met with probability RECALL.
+
+    shared: squared length of the mean of the unit vectors, which is their mean cosine; around that mean a pair is
+    at the cosine (cosine - shared) / (1 - shared). It is met in a pass if it shares the hyperplanes that leave as
+    many nodes as there are neighbours. Where the mean cosine itself is over the threshold, any neighbours chain."""
+    if shared >= cosine or nodes <= NEIGHBOURS:
+        return PASSES, NEIGHBOURS
+    same = 1 - np.arccos((cosine - shared) / (1 - shared)) / np.pi
+    best = None
+    reach = NEIGHBOURS
+    while reach < 2 * nodes:
+        met = same ** max(0.0, np.log2(nodes / reach))
+        passes = max(PASSES, int(np.ceil(np.log(1 - RECALL) / np.log1p(-met)))) if met < 1 else PASSES
+        if best is None or passes * (SORT_COST + reach) < best[0] * (SORT_COST + best[1]):
+            best = passes, reach
+        reach *= 2
+    return best
+
+
+def _units(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors scaled to a largest number of 1, unit vectors) of arrays of one length."""
+    x = vectors.flatten().to_numpy().reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x.astype(np.float32), x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, pa.Array]]:
+    """(length, nodes, vectors) of each length of a batch of (node, v)."""
+    size = np.asarray(pc.list_value_length(batch.column(1)))
+    for dim in np.unique(size).tolist():
+        here = pa.array(np.flatnonzero(size == dim))
+        yield dim, batch.column(0).take(here), batch.column(1).take(here)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(length, number, sum of the unit vectors) of a task's vectors."""
+    count: dict[int, int] = {}
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for dim, _, vectors in _by_length(batch):
+            count[dim] = count.get(dim, 0) + len(vectors)
+            total[dim] = total.get(dim, 0) + _units(vectors, dim)[1].sum(axis=0)
+    if count:
+        yield pa.record_batch([pa.array(list(count), pa.int32()), pa.array(list(count.values()), pa.int64()), pa.array([total[d].tolist() for d in count], pa.list_(pa.float64()))], names=["dim", "n", "total"])
+
+
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
     return get("pass").astype(np.int32), get("node"), np.stack([get(c) for c in _LANES], axis=1).view(U64)
@@ -125,15 +176,16 @@ def _across(most: int, reach: int):
     return run
 
 
-def groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, passes: int = PASSES, reach: int = NEIGHBOURS) -> DataFrame:
+def groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, passes: int | None = None, reach: int | None = None) -> DataFrame:
     """(id, group_id, is_duplicate) of every row: group_id is the least id of the connected component of pairs whose
     cosine is at least `cosine`.
 
-    Equal vectors are one node. In each pass nodes are sorted by the concatenated sides of random hyperplanes, and each
-    is compared with the next `reach`; the key alone, the node and a sketch are sorted, not the vector. Pairs whose
+    Equal vectors are one node. In each pass nodes are sorted by the concatenated sides of random hyperplanes through
+    the mean of the unit vectors, and each is compared with the next `reach`; the key alone, the node and a sketch are sorted, not the vector. Pairs whose
     sketches are near are united over all passes, then verified on the vectors themselves. A pair at angle t shares
-    the first j hyperplanes of a pass with probability (1 - t/pi)^j, so 16 passes find over 0.95 of pairs at 0.98
-    among 10^7 nodes; groups need only be connected, which takes far fewer.
+    (seen from the mean) the first j hyperplanes of a pass with probability (1 - t/pi)^j; unless given, `passes` and
+    `reach` follow from the number of nodes and their mean cosine, so that a pair at the threshold is met with
+    probability 0.95 (see `plan`).
 
     Null vectors, those with a null or a number that isn't finite, empty ones and zero vectors resemble nothing:
     group_id is their id. Vectors of different length are never compared as equal. Null ids sort last; a null id stays
@@ -144,18 +196,24 @@ def groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", co
     rows = written(rows.withColumn("v", F.when(fine, F.transform("v", lambda x: x + F.lit(0.0)))).withColumn("node", F.when(fine, F.xxhash64("v"))), "vectors")
     nodes = written(rows.where("node is not null").groupBy("node").agg(F.first("v").alias("v")), "nodes")
 
+    count: dict[int, int] = {}
+    total: dict[int, np.ndarray] = {}
+    for r in nodes.mapInArrow(_sums, "dim int, n long, total array<double>").collect():
+        count[r.dim] = count.get(r.dim, 0) + r.n
+        total[r.dim] = total.get(r.dim, 0) + np.array(r.total)
+    mean = {d: total[d] / count[d] for d in count}
+    plans = [plan(count[d], cosine, float(m @ m)) for d, m in mean.items()]
+    passes = passes or max((p for p, _ in plans), default=PASSES)
+    reach = reach or max((r for _, r in plans), default=NEIGHBOURS)
+
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column(1)
-            size = np.asarray(pc.list_value_length(vectors))
-            for dim in np.unique(size).tolist():
-                here = np.flatnonzero(size == dim)
-                node = batch.column(0).take(pa.array(here))
-                x = vectors.take(pa.array(here)).flatten().to_numpy().reshape(-1, dim)
-                x = (x / np.abs(x).max(axis=1, keepdims=True)).astype(np.float32)  # sides don't depend on length
+            for dim, node, vectors in _by_length(batch):
+                x, unit = _units(vectors, dim)  # sides don't depend on length
+                centred = (unit - mean[dim]).astype(np.float32)
                 sketch = [pa.array(c.view(np.int64)) for c in np.ascontiguousarray(signs(x, planes(dim, SKETCH_BITS, 1)).T)]
                 for t in range(passes):
-                    key = signs(x, planes(dim, KEY_BITS, 1000 + t))[:, 0] ^ U64(1 << 63)  # order of signed numbers
+                    key = signs(centred, planes(dim, KEY_BITS, 1000 + t))[:, 0] ^ U64(1 << 63)  # order of signed numbers
                     yield pa.record_batch([pa.array(np.full(len(x), t, np.int32)), pa.array(np.full(len(x), dim, np.int32)), pa.array(key.view(np.int64)), node, *sketch], names=["pass", "dim", "key", "node", *_LANES])
 
     lanes = ", ".join(f"{c} long" for c in _LANES)

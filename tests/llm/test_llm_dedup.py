@@ -168,6 +168,22 @@ def test_embedding_groups_are_those_of_brute_force(spark):
     assert all(want[i] == want[g] for i, g in got.items())
 
 
+def test_embedding_pairs_that_share_a_direction(spark, tmp_path):
+    r = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    shared, n, pairs, dim = 0.8, 20_000, 500, 64
+    rest, other = unit(r.normal(size=(n, dim))), unit(r.normal(size=(pairs, dim)))
+    near = (0.954 - shared) / (1 - shared)
+    rest = np.concatenate([rest, near * rest[:pairs] + np.sqrt(1 - near**2) * other])
+    x = unit(np.sqrt(shared) * unit(r.normal(size=dim)) + np.sqrt(1 - shared) * rest)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float64()))}), tmp_path / "e.parquet")
+    got = {q.vec_id: q.group_id for q in embedding_dedup.groups(spark.read.parquet(str(tmp_path / "e.parquet"))).collect()}
+    close = [i for i in range(pairs) if x[i] @ x[n + i] >= embedding_dedup.COSINE]
+    met = sum(got[i] == got[n + i] for i in close)
+    print("met", met, "of", len(close))
+    assert len(close) >= 100 and met >= 0.93 * len(close)
+
+
 def test_embedding_cases(spark):
     inf = float("inf")
     v = [1.0, 2.0, 3.0]
