@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnmill.llm.common import U64, Words, bound_batches, slices
+from tarnmill.llm.common import SLICE_BYTES, SLICE_WORDS, U64, Words, bound_batches, pieces, slices, text_buffer, text_of
 
-#: Labelled rows that the classifier is fitted on, at most: the first in the order of a hash of their ids.
+#: Labelled documents that the classifier is fitted on, at most: the first in the order of a hash of their ids. Of these
+#: no text of more bytes than SAMPLE_BYTES is used for fitting, so that the driver's share is bounded too.
 SAMPLE = 8_000
+SAMPLE_BYTES = 64 << 10
 HELD_OUT = 0.3
 BUCKETS_LOG2 = 16
 DIM = 8
@@ -33,17 +36,29 @@ _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 _SALTS = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93)]
 
 
+def _ids(words: Words) -> np.ndarray:
+    ids = np.empty((len(words.start), 1 + len(PREFIXES)), np.uint16)
+    with np.errstate(over="ignore"):
+        for j, n in enumerate([None, *PREFIXES]):
+            h = words.hashes() if n is None else words.hashes(words.start, np.minimum(words.start + n, words.end))
+            ids[:, j] = (h * _SALTS[j]) >> U64(64 - BUCKETS_LOG2)
+    return ids
+
+
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bucket ids, words x (1 + prefixes); first word of each text and the end). A word is a run of letters and
     digits in lower case; besides its own bucket it has one for each of its beginnings of 4, 5 and 6 bytes, so that
     inflected forms that were never seen share what their stems have learnt."""
     words = Words(pc.utf8_lower(texts), keep=_WORD)
-    ids = np.empty((len(words.start), 1 + len(PREFIXES)), np.int32)
-    with np.errstate(over="ignore"):
-        for j, n in enumerate([None, *PREFIXES]):
-            h = words.hashes() if n is None else words.hashes(words.start, np.minimum(words.start + n, words.end))
-            ids[:, j] = (h * _SALTS[j]) >> U64(64 - BUCKETS_LOG2)
-    return ids, words.first
+    return _ids(words), words.first
+
+
+def long_features(data: np.ndarray) -> Iterator[np.ndarray]:
+    """Bucket ids of one text of these bytes, in pieces of bounded size."""
+    for a, b in pieces(data):
+        ids = _ids(Words(pc.utf8_lower(text_of(data[a:b])), keep=_WORD))
+        for i in range(0, len(ids), SLICE_WORDS):
+            yield ids[i : i + SLICE_WORDS]
 
 
 @dataclass
@@ -96,16 +111,42 @@ class Model:
             out.append(h)
         return x, start, out
 
+    def pooled(self, ids: np.ndarray, first: np.ndarray, stop: int | None = None) -> np.ndarray:
+        """Greatest value of each filter over the windows of each text; of one text, over those that begin before word `stop`."""
+        _, start, maps = self.maps(ids, first)
+        if stop is not None:
+            maps = [h[:, :stop] for h in maps]
+        return np.concatenate([np.maximum.reduceat(h, start, axis=1) for h in maps])
+
     def logits(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         if len(first) < 2:
             return np.empty(0, np.float32)
-        _, start, maps = self.maps(ids, first)
-        pooled = np.concatenate([np.maximum.reduceat(h, start, axis=1) for h in maps])
-        return self.out @ pooled + self.bias
+        return self.out @ self.pooled(ids, first) + self.bias
+
+    def long_logits(self, parts: Iterator[np.ndarray]) -> np.ndarray:
+        """The logit of one text whose ids come in parts: max pooling over parts that overlap by what a window reaches
+        beyond its first word is max pooling over the whole."""
+        held, best = None, None
+        for ids in chain(parts, [None]):
+            if ids is not None:
+                held, ids = (ids if held is None else np.concatenate([held, ids])), held
+                if len(held) <= _PAD:
+                    continue
+                value = self.pooled(held, np.array([0, len(held)]), len(held) - _PAD)
+                held = held[-_PAD:]
+            else:
+                held = np.empty((0, 1 + len(PREFIXES)), np.uint16) if held is None else held
+                value = self.pooled(held, np.array([0, len(held)]))
+            best = value if best is None else np.maximum(best, value)
+        return self.out @ best + self.bias
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Probabilities; of whole texts, in slices of bounded bytes."""
-        parts = [self.logits(*features(texts[a:b])) for a, b in slices(texts)]
+        parts = []
+        for a, b in slices(texts):
+            data, _ = text_buffer(texts[a:b])
+            long = b - a == 1 and len(data) > SLICE_BYTES
+            parts.append(self.long_logits(long_features(data)) if long else self.logits(*features(texts[a:b])))
         return 1 / (1 + np.exp(-np.concatenate(parts).astype(np.float64))) if parts else np.empty(0)
 
     def step(self, ids: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray, memory: dict, rate: float) -> None:
@@ -169,8 +210,13 @@ def best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(texts: list[str], toxic: np.ndarray, langs: list[str | None], epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """A model from labelled texts, with thresholds calibrated on the part held out: one for each language that has
-    toxic rows enough there, one for the rest. Without two classes nothing counts as toxic."""
+    """`fit_features` of texts."""
+    return fit_features([features(pa.array([t]))[0] for t in texts], toxic, langs, epochs, seed)
+
+
+def fit_features(seen: list[np.ndarray], toxic: np.ndarray, langs: list[str | None], epochs: int = EPOCHS, seed: int = 7) -> Model:
+    """A model from the bucket ids of labelled texts, with thresholds calibrated on the part held out: one for each
+    language that has toxic rows enough there, one for the rest. Without two classes nothing counts as toxic."""
     model = Model.fresh(seed)
     y = np.asarray(toxic, np.float32)
     if not len(y) or y.min() == y.max():
@@ -180,16 +226,15 @@ def fit(texts: list[str], toxic: np.ndarray, langs: list[str | None], epochs: in
     for value in (0, 1):  # both classes in both parts
         rows = r.permutation(np.flatnonzero(y == value))
         held[rows[: int(len(rows) * HELD_OUT)]] = True
-    seen = [features(pa.array([t])) for t in texts]
     train = np.flatnonzero(~held)
     weight = np.where(y == 1, min(10.0, np.sqrt((y == 0).sum() / y.sum())), 1.0)
     memory: dict = {}
     for epoch in range(epochs):
         for batch in np.array_split(r.permutation(train), max(1, len(train) // BATCH)):
-            first = np.cumsum([0, *(len(seen[i][0]) for i in batch)])
-            model.step(np.concatenate([seen[i][0] for i in batch]), first, y[batch], weight[batch], memory, 0.1 if epoch < epochs // 2 else 0.05)
+            first = np.cumsum([0, *(len(seen[i]) for i in batch)])
+            model.step(np.concatenate([seen[i] for i in batch]), first, y[batch], weight[batch], memory, 0.1 if epoch < epochs // 2 else 0.05)
     rows = np.flatnonzero(held) if held.any() and y[held].any() else np.arange(len(y))
-    scores = np.concatenate([1 / (1 + np.exp(-model.logits(seen[i][0], np.array([0, len(seen[i][0])])).astype(np.float64))) for i in rows])
+    scores = np.concatenate([1 / (1 + np.exp(-model.logits(seen[i], np.array([0, len(seen[i])])).astype(np.float64))) for i in rows])
     model.default = best_threshold(scores, y[rows])
     lang = np.array([x or "" for x in langs])[rows]
     for name in sorted({x for x in langs if x}):
@@ -199,15 +244,35 @@ def fit(texts: list[str], toxic: np.ndarray, langs: list[str | None], epochs: in
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "toxic") -> Model:
-    """Fits on at most `sample` labelled rows of docs (documented bound), chosen by a hash of their ids. Labels that
-    are null, or whose document is missing or has a null text, are left out."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
+@F.arrow_udf(T.BinaryType())
+def _packed_features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        out = []
+        for a, b in slices(texts):
+            ids, first = features(texts[a:b])
+            out += [ids[x:y].tobytes() for x, y in zip(first[:-1], first[1:])]
+        yield pa.array(out, pa.binary())
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "toxic", sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fits on at most `sample` labelled documents of at most `sample_bytes` bytes each (documented bounds), chosen by a
+    hash of their ids.
+
+    One label an id: the greatest of its labels that aren't null. One text an id: of several rows of an id the one
+    whose text has the least hash. Labels whose document is missing are left out, and of those chosen the ones whose
+    text is null or longer. Texts are read once; words are hashed where they are, and the driver gets bucket numbers."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
+    usable = F.octet_length("text").between(0, sample_bytes)
+    there = docs.select("doc_id").join(known, "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"))
+    chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most `sample` narrow rows, so broadcast whatever the size of the labels
-    rows = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda x: (x["doc_id"], x["text"], x["y"]))
-    return fit([x["text"] for x in rows], np.array([x["y"] for x in rows]), [x["lang"] for x in rows])
+    rows = docs.where(usable).select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
+    ones = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text"), "text", "lang")).alias("d"))
+    bound_batches(docs.sparkSession)
+    got = ones.select("doc_id", "y", "d.lang", _packed_features("d.text").alias("ids")).collect()
+    got.sort(key=lambda x: x["doc_id"])
+    seen = [np.frombuffer(x["ids"], np.uint16).reshape(-1, 1 + len(PREFIXES)) for x in got]
+    return fit_features(seen, np.array([x["y"] for x in got]), [x["lang"] for x in got])
 
 
 def score_columns(docs: DataFrame, model: Model) -> tuple[Column, Column]:
@@ -229,15 +294,19 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """(doc_id, lang, score, threshold, toxic) of every row.
 
     Null and empty text: the score of a text without words. Null or unseen language: the threshold of all languages.
-    Repeated rows: a row each, with equal scores. Very long texts are scored whole. No toxic labels: threshold
-    infinite, nothing toxic. Empty table: empty result. Other columns are not read. No shuffle of docs."""
+    Repeated rows: a row each, with equal scores. Very long texts are scored whole, in pieces whose windows overlap.
+    No toxic labels: threshold infinite, nothing toxic. Labels that are null, contradict each other or lack a document:
+    see `train`. Empty table: empty result. Other columns are not read. Only rows of labelled ids are shuffled."""
     score, threshold = score_columns(docs, train(docs, labels, sample))
     scored = docs.select("doc_id", "lang", score.alias("score"), threshold.alias("threshold"))
     return scored.withColumn("toxic", F.col("score") >= F.col("threshold"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs without the rows that `classify` calls toxic; all columns stay as they are."""
+    """docs without the rows that `classify` calls toxic; all columns stay as they are, whatever their names.
+
+    Null and empty texts stay unless a text without words scores as toxic; null languages, repeated rows, very long
+    texts and labels as in `classify`. Empty table: empty result; without toxic labels all rows stay."""
     score, threshold = score_columns(docs, train(docs, labels, sample))
     return docs.where(score < threshold)
 
