@@ -7,11 +7,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnmill.llm.common import U64, Words, _power, bound_batches, columns, drop_written, mix, ngram_hashes, slices, written
+from tarnmill.llm.common import SLICE_WORDS, U64, Words, _power, bound_batches, columns, drop_written, mix, ngram_hashes, pieces, slices, text_of, word_hashes, written
 
 #: A passage of so many words that occurred earlier is removed.
 LENGTH = 50
@@ -20,9 +20,8 @@ LENGTH = 50
 ANCHOR = 20
 REACH = LENGTH - ANCHOR
 _LAST = np.int64(2**63 - 1)  # stands for a null doc_id: after all others
-#: Fragments whose suffixes are sorted together, unless one document has more of one anchor.
+#: Fragments whose suffixes are sorted together.
 FRAGMENTS = 2_048
-_U64_MAX = U64(2**64 - 1)
 
 
 def sliding(values: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
@@ -55,44 +54,61 @@ def _span_hash(sums: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarr
         return mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(U64))
 
 
+def _word_slices(n: int, texts: int) -> Iterator[tuple[int, int]]:
+    """Ranges of words that are handled at once: all words of several texts, SLICE_WORDS of one."""
+    step = SLICE_WORDS if texts == 1 else max(n, 1)
+    for at in range(0, n, step):
+        yield at, min(at + step, n)
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """An anchor row (kind 0) for the first of equal fragments of each text; a span (kind 1) for the later ones."""
+    """An anchor row for the first of equal fragments of each text; a span (anchor null) for the later ones."""
     for batch in batches:
         for lo, hi in slices(batch.column(2)):
-            words = Words(batch.column(2)[lo:hi])
-            h = words.hashes()
-            at = anchors(h, words.first)
-            if not len(at):
-                continue
-            doc = words.doc[at]
-            begin, end = words.first[doc], words.first[doc + 1]
-            a, b = np.maximum(at - REACH, begin), np.minimum(at + LENGTH, end)
-            power, inverse = _power(len(h))
-            with np.errstate(over="ignore"):
-                sums = np.zeros(len(h) + 1, U64)
-                np.cumsum(h * power[: len(h)], dtype=U64, out=sums[1:])
-                fragment = mix(_span_hash(sums, inverse, a, b) + (at - a).astype(U64))
-            anchor = _span_hash(sums, inverse, at, at + ANCHOR)
-            order = np.lexsort((at, fragment, doc))
-            again = np.zeros(len(at), bool)
-            x, y = order[1:], order[:-1]
-            again[x] = (fragment[x] == fragment[y]) & (doc[x] == doc[y])
-            new = ~again
-            d = batch.column(0)[lo:hi].to_numpy()[doc]
-            key = batch.column(1)[lo:hi].to_numpy()[doc]
-            yield pa.record_batch(
-                [pa.array(anchor[new].view(np.int64)), pa.array(fragment[new].view(np.int64)), pa.array(d[new]), pa.array(key[new]), pa.array((at - begin)[new].astype(np.int32)), pa.array((at - a)[new].astype(np.int32)), pa.array((b - at)[new].astype(np.int32))],
-                names=_ANCHOR_NAMES,
-            )
-            if again.any():  # anchor null: spans of one text
-                d, key, a, b = merge_spans(d[again], key[again], (a - begin)[again], (b - begin)[again])
-                n = len(d)
-                yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(d), pa.array(key), pa.array(a.astype(np.int32)), pa.array(np.zeros(n, np.int32)), pa.array((b - a).astype(np.int32))], names=_ANCHOR_NAMES)
+            all_h, all_first = word_hashes(batch.column(2)[lo:hi])
+            seen = np.empty(0, U64)  # fragments of earlier stretches of the one text
+            for w0, w1 in _word_slices(len(all_h), hi - lo):
+                # a stretch with what anchors in it need on both sides
+                c0, c1 = max(0, w0 - LENGTH - REACH), min(len(all_h), w1 + LENGTH + REACH)
+                h, first = all_h[c0:c1], np.clip(all_first - c0, 0, c1 - c0)
+                at = anchors(h, first)
+                at = at[(at >= w0 - c0) & (at < w1 - c0)]
+                if not len(at):
+                    continue
+                doc = np.searchsorted(first, at, "right") - 1
+                begin, end = first[doc], first[doc + 1]
+                a, b = np.maximum(at - REACH, begin), np.minimum(at + LENGTH, end)
+                power, inverse = _power(len(h))
+                with np.errstate(over="ignore"):
+                    sums = np.zeros(len(h) + 1, U64)
+                    np.cumsum(h * power[: len(h)], dtype=U64, out=sums[1:])
+                    fragment = mix(_span_hash(sums, inverse, a, b) + (at - a).astype(U64))
+                anchor = _span_hash(sums, inverse, at, at + ANCHOR)
+                order = np.lexsort((at, fragment, doc))
+                again = np.zeros(len(at), bool)
+                x, y = order[1:], order[:-1]
+                again[x] = (fragment[x] == fragment[y]) & (doc[x] == doc[y])
+                if hi - lo == 1 and len(all_h) > w1 - w0:
+                    again |= np.isin(fragment, seen)
+                    seen = np.union1d(seen, fragment)
+                new = ~again
+                d = batch.column(0)[lo:hi].to_numpy()[doc]
+                key = batch.column(1)[lo:hi].to_numpy()[doc]
+                origin = begin - (c0 if hi - lo == 1 else 0)  # places count from the first word of the text
+                yield pa.record_batch(
+                    [pa.array(anchor[new].view(np.int64)), pa.array(fragment[new].view(np.int64)), pa.array(d[new]), pa.array(key[new]), pa.array((at - origin)[new].astype(np.int32)), pa.array((at - a)[new].astype(np.int32)), pa.array((b - at)[new].astype(np.int32))],
+                    names=_ANCHOR_NAMES,
+                )
+                if again.any():
+                    d, key, a, b = merge_spans(d[again], key[again], (a - origin)[again], (b - origin)[again])
+                    n = len(d)
+                    yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(d), pa.array(key), pa.array(a.astype(np.int32)), pa.array(np.zeros(n, np.int32)), pa.array((b - a).astype(np.int32))], names=_ANCHOR_NAMES)
 
 
 _ANCHOR_NAMES = ["anchor", "fragment", "d", "h", "at", "left", "right"]
 _ANCHOR_ROWS = "anchor long, fragment long, d long, h long, at int, left int, right int"
-_FOUND = "kind int, d long, h long, x long, y long"
+_FOUND = "kind int, d long, h long, x long, y long, z long"
+_NAMES = ["kind", "d", "h", "x", "y", "z"]
 
 
 def merge_spans(d: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -110,63 +126,67 @@ def merge_spans(d: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> t
     return d[first], h[first], a[first], (np.append(reach[first[1:] - 1], reach[-1]) - base[first])
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], least: int = 1) -> Iterator[list[np.ndarray]]:
-    """Columns of rows sorted by the first column, cut only between its values, of at least `least` rows if there are."""
-    held: list[list[np.ndarray]] = []
-    rows = 0
+def _found(kind: int, d: np.ndarray, h: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray | None = None) -> pa.RecordBatch:
+    z = np.zeros(len(d), np.int64) if z is None else z
+    return pa.record_batch([pa.array(np.full(len(d), kind, np.int32)), *(pa.array(c.astype(np.int64)) for c in (d, h, x, y, z))], names=_NAMES)
+
+
+def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (anchor, fragment, d, h, at): a span for all but the first of equal fragments (kind 0), and
+    the first ones of an anchor that has several fragments (kind 1: place, anchor, block), whose words have to be
+    compared. The fragments of an anchor are dealt into blocks of FRAGMENTS; block -1 says that there is one only.
+
+    Rows stream through: what is kept is the first row of a fragment that goes on, and up to FRAGMENTS rows of an
+    anchor that goes on."""
+    last: tuple | None = None
+    held = [np.empty(0, np.int64)] * 4
+    before = 0  # fragments of the anchor that goes on which have left
     for batch in chain(batches, [None]):
         if batch is not None:
             if not batch.num_rows:
                 continue
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held.append(columns)
-            rows += batch.num_rows
-            if rows < least or columns[0][-1] == held[0][0][0]:
-                continue
-        if not held:
+            anchor, fragment, d, h, at, left, right = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            new = np.append(last is None or (anchor[0], fragment[0]) != last[:2], (anchor[1:] != anchor[:-1]) | (fragment[1:] != fragment[:-1]))
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+            of = [np.where(first >= 0, c[first], 0 if last is None else last[2 + i]) for i, c in enumerate((d, h, at))]
+            later = ~new & ((d != of[0]) | (h != of[1]) | (at != of[2]))
+            if later.any():
+                yield _found(0, *merge_spans(d[later], h[later], (at - left)[later], (at + right)[later]))
+            last = (anchor[-1], fragment[-1], of[0][-1], of[1][-1], of[2][-1])
+            held = [np.concatenate([x, y[new].astype(np.int64)]) for x, y in zip(held, (anchor, d, h, at))]
+        anchor = held[0]
+        if not len(anchor):
             continue
-        columns = [np.concatenate(c) for c in zip(*held)]
-        last = rows if batch is None else int(np.searchsorted(columns[0], columns[0][-1]))
-        held = [] if batch is None else [[c[last:] for c in columns]]
-        rows -= last
-        if last:
-            yield [c[:last] for c in columns]
-
-
-def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (anchor, fragment, d, h, at): a span for all but the first of equal fragments (kind 0), and
-    the first ones of an anchor that has several fragments (kind 1), whose words have to be compared."""
-    for anchor, fragment, d, h, at, left, right in whole_groups(batches):
-        new_anchor = np.append(True, anchor[1:] != anchor[:-1])
-        new_fragment = new_anchor | np.append(True, fragment[1:] != fragment[:-1])
-        first = np.flatnonzero(new_fragment)
-        own = first[np.cumsum(new_fragment) - 1]
-        later = ~new_fragment & ((d != d[own]) | (h != h[own]) | (at != at[own]))
-        group = np.cumsum(new_anchor) - 1
-        several = np.bincount(group, weights=new_fragment)[group] > 1
-        compare = new_fragment & several
-        parts = []
-        if later.any():
-            dd, hh, a, b = merge_spans(d[later], h[later], (at - left)[later], (at + right)[later])
-            parts.append((np.zeros(len(dd), np.int32), dd, hh, a, b))
-        if compare.any():
-            parts.append((np.ones(int(compare.sum()), np.int32), d[compare], h[compare], at[compare].astype(np.int64), anchor[compare]))
-        for part in parts:
-            yield pa.record_batch([pa.array(c) for c in part], names=["kind", "d", "h", "x", "y"])
+        start = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        size = np.diff(np.append(start, len(anchor)))
+        gone = np.zeros(len(start), np.int64)  # of each anchor, the fragments that have left
+        if before and anchor[0] == going:
+            gone[0] = before
+        group = np.repeat(np.arange(len(start)), size)
+        rank = np.arange(len(anchor)) - start[group] + gone[group]
+        block = np.where((gone + size > FRAGMENTS)[group], rank // FRAGMENTS, -1)
+        ready = (gone + size > 1)[group]
+        stays = batch is not None and gone[-1] + size[-1] <= FRAGMENTS  # the last anchor may go on
+        if stays:
+            ready[start[-1] :] = False
+        if ready.any():
+            yield _found(1, *(c[ready] for c in held[1:]), anchor[ready], block[ready])
+        going, before = anchor[-1], 0 if stays else int(gone[-1] + size[-1])
+        held = [c[start[-1] :] if stays else c[:0] for c in held]
 
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, d, h, at of the fragment's first word, words as 32-bit hashes) of the anchors asked for in each text."""
+    """(anchor, block, d, h, fragment's first word, words as 32-bit hashes) of the anchors asked for in each text."""
     for batch in batches:
         for lo, hi in slices(batch.column(2)):
-            words = Words(batch.column(2)[lo:hi])
-            short = words.hashes().astype(np.uint32)
+            hashes, first = word_hashes(batch.column(2)[lo:hi])
+            short = hashes.astype(np.uint32)
             asked = batch.column(3)[lo:hi]
             count = np.diff(np.frombuffer(asked.buffers()[1], np.int32)[asked.offset : asked.offset + len(asked) + 1])
             flat = asked.flatten()
-            anchor, at = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            anchor, at, block = flat.field(0).to_numpy(), flat.field(1).to_numpy(), flat.field(2).to_numpy()
             row = np.repeat(np.arange(hi - lo), count)
-            begin, end = words.first[row], words.first[row + 1]
+            begin, end = first[row], first[row + 1]
             a, b = np.maximum(begin + at - REACH, begin), np.minimum(begin + at + LENGTH, end)
             d, h = batch.column(0)[lo:hi].to_numpy()[row], batch.column(1)[lo:hi].to_numpy()[row]
             for i in range(0, len(at), FRAGMENTS):
@@ -174,7 +194,7 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 offsets = np.concatenate([[0], np.cumsum((b - a)[s])])
                 index = np.arange(offsets[-1]) + np.repeat(a[s] - offsets[:-1], (b - a)[s])
                 data = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(short[index]))])
-                yield pa.record_batch([pa.array(anchor[s]), pa.array(d[s]), pa.array(h[s]), pa.array((a - begin)[s]), data], names=["anchor", "d", "h", "a", "words"])
+                yield pa.record_batch([pa.array(anchor[s]), pa.array(block[s]), pa.array(d[s]), pa.array(h[s]), pa.array((a - begin)[s]), data], names=["anchor", "block", "d", "h", "a", "words"])
 
 
 def suffix_ranks(text: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
@@ -234,42 +254,39 @@ def longest_previous_factors(text: np.ndarray, where: np.ndarray, depth: int) ->
     return best
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], bool]]:
-    """(columns, whether the first anchor began in the block before): about FRAGMENTS rows of those sorted by (anchor,
-    d, h), cut between documents, so that an anchor of any number of documents is handled in bounded memory."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by (anchor, block): some FRAGMENTS rows, cut between blocks only. A block has FRAGMENTS
+    rows at most."""
     held: list[list[np.ndarray]] = []
-    rows, before = 0, None
+    rows = 0
     for batch in chain(batches, [None]):
         if batch is not None:
             for i in range(0, batch.num_rows, FRAGMENTS):
                 held.append([c.to_numpy(zero_copy_only=False) for c in batch.slice(i, FRAGMENTS).columns])
                 rows += len(held[-1][0])
-                while rows >= FRAGMENTS:
-                    columns = [np.concatenate(c) for c in zip(*held)]
-                    change = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])) + 1
-                    if not len(change):
-                        held = [columns]
-                        break  # one document so far
+                if rows < FRAGMENTS:
+                    continue
+                columns = [np.concatenate(c) for c in zip(*held)]
+                held = [columns]
+                change = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])) + 1
+                if len(change):
                     cut = int(change[-1])
-                    yield [c[:cut] for c in columns], columns[0][0] == before
-                    before = columns[0][cut - 1]
+                    yield [c[:cut] for c in columns]
                     held = [[c[cut:] for c in columns]]
                     rows -= cut
         elif rows:
-            columns = [np.concatenate(c) for c in zip(*held)]
-            yield columns, columns[0][0] == before
+            yield [np.concatenate(c) for c in zip(*held)]
 
 
 def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of repeated passages from fragments sorted by (anchor, d, h): a suffix array over each block, in which
-    only suffixes of one anchor share symbols, since the anchor's number is a part of every symbol. Of an anchor that
-    goes on in the next block, hashes of all passages are kept; a passage that is among those of earlier blocks, and
-    so of earlier documents, is a repeat."""
-    earlier = np.empty(0, U64)
-    for (anchor, d, h, a, words), goes_on in _blocks(batches):
+    """Spans of repeated passages (kind 0) from fragments sorted by (anchor, block, d, h): one suffix array over some
+    blocks, in which only suffixes of one block share symbols, since the block's number is a part of every symbol. Of
+    an anchor with several blocks, every whole passage that is no repeat in its block (kind 2: place and a hash of anchor
+    and passage), to be met by those of the other blocks."""
+    for anchor, block, d, h, a, words in _blocks(batches):
         size = np.array([len(w) for w in words]) // 4
         symbols = np.frombuffer(b"".join(words), np.uint32).astype(U64)
-        group = np.cumsum(np.append(False, anchor[1:] != anchor[:-1]))
+        group = np.cumsum(np.append(False, (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1])))
         owner = np.repeat(np.arange(len(anchor)), size)
         start = np.cumsum(size) - size
         word = np.arange(len(symbols)) - start[owner] + a[owner]
@@ -286,47 +303,48 @@ def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = np.full(len(full), np.iinfo(np.int64).max)
         where[at] = dense
         lpf = longest_previous_factors(full, where, LENGTH)[at]
-        if not goes_on:
-            earlier = earlier[:0]
-        # passages of the first anchor, which may have begun before, and of the last, which may go on
-        for g in {0, int(group[-1])}:
-            one = slice(*np.searchsorted(group[owner], [g, g + 1]))
-            passages = ngram_hashes(symbols[one], LENGTH)
-            whole = owner[one][: len(passages)] == owner[one][LENGTH - 1 :]
-            if g == 0 and len(earlier):
-                found = np.flatnonzero(np.isin(passages, earlier) & whole)
-                lpf[one.start + found] = np.maximum(lpf[one.start + found], LENGTH)
-            if g == group[-1]:
-                earlier = np.union1d(earlier if g == 0 else earlier[:0], passages[whole])
         hit = np.flatnonzero(lpf >= LENGTH)
         if len(hit):
-            out = merge_spans(d[owner][hit], h[owner][hit], word[hit], word[hit] + lpf[hit])
-            yield pa.record_batch([pa.array(np.zeros(len(out[0]), np.int32)), *(pa.array(c) for c in out)], names=["kind", "d", "h", "x", "y"])
+            yield _found(0, *merge_spans(d[owner][hit], h[owner][hit], word[hit], word[hit] + lpf[hit]))
+        if (block >= 0).any():
+            passages = ngram_hashes(symbols, LENGTH)
+            n = len(passages)
+            own = np.flatnonzero((owner[:n] == owner[LENGTH - 1 :]) & (block[owner[:n]] >= 0) & (lpf[:n] < LENGTH))
+            with np.errstate(over="ignore"):
+                key = mix(passages[own] + anchor[owner[own]].view(U64))
+            yield _found(2, d[owner[own]], h[owner[own]], word[own], key.view(np.int64))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))).alias("d"), F.xxhash64("text").alias("h"), F.col("text").alias("t"))
+def _place(docs: DataFrame) -> Column:
+    """The number by which documents are ordered."""
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    number = F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    return F.coalesce(number, F.lit(int(_LAST)))
 
 
 def _spans(docs: DataFrame) -> DataFrame:
     """(d, h, start, end), merged."""
     bound_batches(docs.sparkSession)
-    rows = _keyed(docs).where("t is not null")
+    rows = docs.select(_place(docs).alias("d"), F.xxhash64("text").alias("h"), F.col("text").alias("t")).where("t is not null")
     found = written(rows.mapInArrow(_anchor_rows, _ANCHOR_ROWS), "anchors")
     own = found.where("anchor is null").select("d", "h", F.col("at").cast("long").alias("x"), (F.col("at") + F.col("right")).cast("long").alias("y"))
     sort = ["anchor", "fragment", "d", "h", "at"]
     shared = found.where("anchor is not null").repartition("anchor").sortWithinPartitions(*sort).mapInArrow(_share, _FOUND)
     shared = written(shared, "shared")
-    asked = shared.where("kind = 1").groupBy("d", "h").agg(F.collect_list(F.struct(F.col("y").alias("anchor"), F.col("x").alias("at"))).alias("asked"))
-    fragments = rows.join(asked.hint("shuffle_hash"), ["d", "h"]).select("d", "h", "t", "asked").mapInArrow(_fragments, "anchor long, d long, h long, a long, words binary")
-    factors = fragments.repartition("anchor").sortWithinPartitions("anchor", "d", "h").mapInArrow(_factors, _FOUND)
-    spans = shared.where("kind = 0").select("d", "h", "x", "y").unionByName(own).unionByName(factors.select("d", "h", "x", "y"))
+    asked = shared.where("kind = 1").groupBy("d", "h").agg(F.collect_list(F.struct(F.col("y").alias("anchor"), F.col("x").alias("at"), F.col("z").alias("block"))).alias("asked"))
+    fragments = rows.join(asked.hint("shuffle_hash"), ["d", "h"]).select("d", "h", "t", "asked").mapInArrow(_fragments, "anchor long, block long, d long, h long, a long, words binary")
+    factors = written(fragments.repartition("anchor", "block").sortWithinPartitions("anchor", "block", "d", "h").mapInArrow(_factors, _FOUND), "factors")
+    # passages of different blocks of one anchor: all but the first occurrence
+    place = F.struct("d", "h", "x")
+    met = factors.where("kind = 2").withColumn("first", F.first(place).over(Window.partitionBy("y").orderBy("d", "h", "x")))
+    across = met.where(F.col("first") != place).select("d", "h", "x", (F.col("x") + LENGTH).alias("y"))
+    spans = shared.where("kind = 0").select("d", "h", "x", "y").unionByName(own).unionByName(factors.where("kind = 0").select("d", "h", "x", "y")).unionByName(across)
     ordered = Window.partitionBy("d", "h").orderBy("x", "y")
     before = F.max("y").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("new", F.when(before >= F.col("x"), 0).otherwise(1)).withColumn("run", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     merged = runs.groupBy("d", "h", "run").agg(F.min("x").alias("start"), F.max("y").alias("end")).drop("run")
     out = written(merged, "spans")
-    drop_written(found, shared)
+    drop_written(found, shared, factors)
     return out
 
 
@@ -337,13 +355,33 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     The first occurrence of a passage stays.
 
     A document of equal text under another id is a later copy; rows of equal id and text are one document. Null,
-    empty and shorter texts: no rows. Very long texts are handled whole. Empty table: empty result. Other columns
-    are not read. doc_id must be a whole number.
+    empty and shorter texts: no rows. Very long texts are handled whole, in stretches that overlap. Empty table: empty
+    result. Other columns are not read. Ids that are no whole numbers come in the order of their xxhash64 instead; the
+    id 2^63 - 1 counts as null.
 
     Two equal passages share an anchor. Rows of anchors, not texts, are shuffled; equal surroundings of an anchor
-    need no comparison, and only of the others the words are fetched. Words are compared by 32 bits of their hashes
-    next to anchors that agree in 64."""
-    return _spans(docs).select(F.when(F.col("d") != int(_LAST), F.col("d")).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"))
+    need no comparison, and only of the others the words are fetched. The fragments of an anchor are dealt into blocks
+    of a bounded size; each block gets a suffix array and longest previous factors, and passages that are new to
+    their block are met with those of the anchor's other blocks by hash, so that an anchor of any number of documents
+    makes many small tasks. Words are compared by 32 bits of their hashes next to anchors that agree in 64."""
+    spans = _spans(docs)
+    start, end = F.col("start").alias("start_word"), F.col("end").alias("end_word")
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return spans.select(F.when(F.col("d") != int(_LAST), F.col("d")).cast(docs.schema["doc_id"].dataType).alias("doc_id"), start, end)
+    ids = docs.select("doc_id", _place(docs).alias("d"), F.xxhash64("text").alias("h")).distinct()
+    return spans.join(ids, ["d", "h"]).select("doc_id", start, end)
+
+
+def _word_offsets(data: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Bytes at which the words of these numbers (ascending) begin; the end of the text for a number beyond the last."""
+    out = np.full(len(wanted), len(data))
+    count = 0
+    for a, b in pieces(data):
+        start = Words(text_of(data[a:b])).start
+        here = slice(*np.searchsorted(wanted, [count, count + len(start)]))
+        out[here] = a + start[wanted[here] - count]
+        count += len(start)
+    return out
 
 
 @F.arrow_udf(T.StringType())
@@ -353,24 +391,27 @@ def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
         if not text.is_valid:
             out.append(None)
             continue
-        raw = text.as_py().encode()
-        words = Words(pa.array([raw]))
+        data = np.frombuffer(text.as_buffer(), np.uint8)
+        wanted = np.unique([x for s in own.as_py() for x in (s["start"], s["end"])])
+        offset = dict(zip(wanted.tolist(), _word_offsets(data, wanted).tolist()))
         kept, at = [], 0
         for s in sorted(own.as_py(), key=lambda s: s["start"]):
-            kept.append(raw[at : words.start[s["start"]]])
-            at = words.start[s["end"]] if s["end"] < len(words.start) else len(raw)
-        kept.append(raw[at:])
-        out.append(b"".join(kept).decode())
-    return pa.array(out, pa.string())
+            kept.append(data[at : offset[s["start"]]])
+            at = offset[s["end"]]
+        kept.append(data[at:])
+        out.append(b"".join(kept))
+    return pa.array(out, pa.binary()).cast(pa.string())
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """docs without the spans of `repeated_spans`: text from the first to before the next word that stays goes, and
     n_chars, if there, is counted anew. A document of which nothing but white space is left goes; all others stay,
-    untouched ones as they are."""
+    untouched ones (null, empty and blank texts among them) as they are. Rows of equal id and text are cut alike, since
+    they are one document. Null ids come last; very long texts are cut whole. Empty table: empty result. Extra
+    columns may have any name that doesn't begin with __tm_."""
     spans = _spans(docs).groupBy("d", "h").agg(F.collect_list(F.struct("start", "end")).alias("__tm_spans"))
     spans = spans.withColumnsRenamed({"d": "__tm_d", "h": "__tm_h"})
-    keyed = docs.withColumns({"__tm_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))), "__tm_h": F.xxhash64("text")})
+    keyed = docs.withColumns({"__tm_d": _place(docs), "__tm_h": F.xxhash64("text")})
     # shuffled at every size: texts are moved once, and spans, which grow with them, are never broadcast
     joined = keyed.join(spans.hint("shuffle_hash"), ["__tm_d", "__tm_h"], "left")
     hit = F.col("__tm_spans").isNotNull()
