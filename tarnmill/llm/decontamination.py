@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnmill.llm.common import U64, Words, bound_batches, columns, ngram_hashes, slices, text_buffer
+from tarnmill.llm.common import SLICE_BYTES, SLICE_WORDS, U64, Words, bit_table, bound_batches, columns, mix, ngram_hashes, pieces, slices, text_buffer, text_of, written
 
-#: Tokens of a template window; an item with fewer has one window of all its tokens, and none with under LEAST.
+#: Tokens of a template window; an item with fewer has one window of all its tokens. An item of under LEAST tokens says too
+#: little to be sought inside texts: it is held by texts that are nothing but these tokens.
 WINDOW = 8
 LEAST = 4
 #: Share of a window's tokens that must be literal, so that bare placeholders match nothing. Windows of RAW values match
@@ -24,19 +27,25 @@ LITERAL = 0.5
 #: or the whole item.
 COVERAGE = 0.5
 RUN = 13
-#: Windows of the benchmark that are sent to every task; beyond, windows are joined by a shuffle.
-BROADCAST_WINDOWS = 2_000_000
-
-_NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half third quarter dozen"
+# number words from two up (those for one are articles in most languages), English, French, German, Spanish
+_NUMBERS = (
+    "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half third quarter dozen one"
+    " deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cents mille millions milliard milliards demi tiers quart douzaine"
+    " zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend millionen milliarde milliarden halb drittel viertel dutzend"
+    " cero dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil millón millones mitad tercio cuarto docena"
+)
 _UNITS = (
     "mm cm m km kms millimeter millimeters centimeter centimeters meter meters metre metres kilometer kilometers kilometre kilometres inch inches foot feet yard yards mile miles"
     " mg g kg gram grams kilogram kilograms ton tons tonne tonnes ounce ounces oz pound pounds lb lbs ml l liter liters litre litres gallon gallons cup cups"
     " second seconds sec minute minutes min hour hours hr hrs day days week weeks month months year years"
     " dollar dollars cent cents euro euros usd eur gbp percent degree degrees celsius fahrenheit mph kmh kph watt watts kw kwh volt volts byte bytes kb mb gb"
+    " millimètre millimètres centimètre centimètres mètre mètres kilomètre kilomètres pouce pouces pied pieds gramme grammes kilo kilos kilogramme kilogrammes seconde secondes heure heures jour jours semaine semaines mois an ans année années degré degrés pourcent tasse tasses livre livres"
+    " zentimeter zoll fuß meile meilen gramm kilogramm tonnen unze unzen pfund sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad tasse tassen"
+    " milímetro milímetros centímetro centímetros metro metros kilómetro kilómetros pulgada pulgadas pie pies milla millas gramo gramos kilogramo kilogramos tonelada toneladas onza onzas libra libras litro litros taza tazas segundo segundos minuto minutos hora horas día días semana semanas mes meses año años dólar dólares grado grados"
 )
 LITERAL_TOKEN, NUMBER, UNIT, NAME = 0, 1, 2, 3
-#: The variant in which every token is a literal.
-RAW = 2
+#: The variant in which every token is a literal, and that of whole texts of under LEAST tokens.
+RAW, WHOLE = 2, 3
 VARIANTS = (0, 1, RAW)
 _SLOT_HASH = np.array([0, 0xA5A5_0001, 0xA5A5_0002, 0xA5A5_0003], U64) * U64(0x9E3779B97F4A7C15)
 
@@ -49,6 +58,11 @@ _JOINS = np.zeros(256, bool)
 _JOINS[[ord(c) for c in ".,/"]] = True
 
 
+def _key(h: np.ndarray, variant: int, size: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(h + U64((4 * size + variant) * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64)
+
+
 def _lower(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(lower case of ASCII and Latin-1 letters with lengths kept, whether a capital begins at each byte)."""
     low = data.copy()
@@ -150,19 +164,53 @@ class Templates:
         fine = (at + size <= stop[: len(h)]) & (literal[size:] - literal[:-size] >= LITERAL * size)
         return at[fine], h[fine]
 
-    def part(self, i: int) -> Templates:
-        """The tokens of text i alone."""
-        a, b = self.first[i], self.first[i + 1]
+    def part(self, a: int, b: int) -> Templates:
+        """The tokens [a, b), of one text, alone."""
         out = Templates.__new__(Templates)
         out.value, out.kinds, out.first = self.value[a:b], [k[a:b] for k in self.kinds], np.array([0, b - a])
         return out
 
+    @classmethod
+    def of(cls, texts: pa.Array) -> Templates:
+        """Of a slice of texts; one long text is worked through in pieces that begin with the last token before them,
+        on which the kind of the first one depends."""
+        data, _ = text_buffer(texts)
+        if len(texts) != 1 or len(data) <= SLICE_BYTES:
+            return cls(texts)
+        parts, last = [], None
+        for a, b in pieces(data):
+            begin = a if last is None else last
+            t = cls(text_of(data[begin:b]))
+            skip = int(last is not None)
+            parts.append((t.value[skip:], [k[skip:] for k in t.kinds]))
+            if len(t.start):
+                last = begin + int(t.start[-1])
+        out = cls.__new__(cls)
+        out.value = np.concatenate([v for v, _ in parts])
+        out.kinds = [np.concatenate(k) for k in zip(*(k for _, k in parts))]
+        out.first = np.array([0, len(out.value)])
+        return out
 
-_PLAIN = Words(pa.array(["x"]))._table
+    def found(self, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(variant, size, first tokens, keys) of all windows of these sizes; a key stands for hash, size and variant."""
+        n = len(self.value)
+        step = SLICE_WORDS if len(self.first) == 2 else max(n, 1)
+        for size in sizes:
+            if size < LEAST:
+                at = self.first[:-1][np.diff(self.first) == size]
+                if len(at):
+                    h = ngram_hashes(self.value, size)[at]
+                    yield WHOLE, size, at, _key(h, WHOLE, size)
+                continue
+            for base in range(0, n, step):
+                part = self if step >= n else self.part(base, min(n, base + step + size - 1))
+                for variant in VARIANTS:
+                    at, h = part.windows(variant, size)
+                    if len(at):
+                        yield variant, size, at + base, _key(h, variant, size)
 
 
-def item_size(tokens: int) -> int:
-    return min(tokens, WINDOW)
+_PLAIN = Words(pa.array(["x"]))._table
 
 
 @dataclass
@@ -173,206 +221,188 @@ class Match:
     changed: int
 
 
-def compare(doc: Templates, item: Templates) -> Match | None:
-    """How much of an item (tokens of one text each) a document holds; None if too little.
-
-    Equal windows are put together by alignment. In an alignment every slot value of the item should stand for one
-    value in the document and the other way round, by majority; a window with a slot that breaks this doesn't count."""
-    n = len(item.value)
-    size = item_size(n)
-    covered = np.zeros(n, bool)
-    slot_pairs: dict[int, tuple[int, int]] = {}
-    for variant in VARIANTS:
-        p_at, p_hash = item.windows(variant, size)
-        q_at, q_hash = doc.windows(variant, size)
-        q_in = np.isin(q_hash, p_hash)
-        q_at, q_hash = q_at[q_in], q_hash[q_in]
-        if not len(q_at):
-            continue
-        order = np.argsort(p_hash, kind="stable")
-        lo, hi = np.searchsorted(p_hash[order], q_hash, "left"), np.searchsorted(p_hash[order], q_hash, "right")
-        q = np.repeat(q_at, hi - lo)
-        p = p_at[order[np.arange(len(q)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]]
-        by = np.argsort(q - p, kind="stable")
-        p, shift = p[by], (q - p)[by]
-        kinds, values = item.kinds[variant], item.value
-        for own in np.split(np.arange(len(p)), np.flatnonzero(np.diff(shift)) + 1):
-            s = int(shift[own[0]])
-            inside = np.unique(p[own][:, None] + np.arange(size))
-            slots = inside[kinds[inside] != LITERAL_TOKEN]
-            good = np.ones(n, bool)
-            pairs = list(zip(kinds[slots].tolist(), values[slots].tolist(), doc.value[slots + s].tolist()))
-            there: dict = {}
-            back: dict = {}
-            for k, x, y in pairs:
-                there.setdefault((k, x), Counter())[y] += 1
-                back.setdefault((k, y), Counter())[x] += 1
-            for at, (k, x, y) in zip(slots.tolist(), pairs):
-                a, b = there[k, x], back[k, y]
-                good[at] = a[y] == max(a.values()) and b[x] == max(b.values())
-            # ties: no value of a slot stands for two
-            for at, (k, x, y) in zip(slots.tolist(), pairs):
-                a, b = there[k, x], back[k, y]
-                if good[at] and ((len(a) > 1 and y != a.most_common(1)[0][0]) or (len(b) > 1 and x != b.most_common(1)[0][0])):
-                    good[at] = False
-            bad = np.append(0, np.cumsum(~good))
-            starts = p[own][bad[p[own] + size] == bad[p[own]]]
-            if len(starts):
-                fine = np.unique(starts[:, None] + np.arange(size))
-                covered[fine] = True
-                for at, (k, x, y) in zip(slots.tolist(), pairs):
-                    if covered[at]:
-                        slot_pairs[at] = (x, y)
-                if variant == RAW:
-                    for at in fine[item.kinds[0][fine] != LITERAL_TOKEN].tolist():
-                        slot_pairs.setdefault(at, (item.value[at], item.value[at]))
-    matched = int(covered.sum())
-    if matched < COVERAGE * n or matched < min(n, RUN):
-        return None
-    return Match(matched, n, len(slot_pairs), sum(x != y for x, y in slot_pairs.values()))
-
-
-class Benchmark:
-    """Items with the windows of all of them, ready to be looked up."""
-
-    def __init__(self, texts: list[str | None]):
-        all_ = Templates(pa.array([t or "" for t in texts], pa.string()))
-        self.items = [all_.part(i) for i in range(len(texts))]
-        hashes: dict[tuple[int, int], list[np.ndarray]] = {}
-        owners: dict[tuple[int, int], list[np.ndarray]] = {}
-        for i, item in enumerate(self.items):
-            size = item_size(len(item.value))
-            if size >= LEAST:
-                for variant in VARIANTS:
-                    h = item.windows(variant, size)[1]
-                    hashes.setdefault((variant, size), []).append(h)
-                    owners.setdefault((variant, size), []).append(np.full(len(h), i))
-        self.tables = {}
-        for key, parts in hashes.items():
-            h, owner = np.concatenate(parts), np.concatenate(owners[key])
-            order = np.argsort(h, kind="stable")
-            seen = np.zeros(1 << 20, bool)
-            seen[(h & U64(0xFFFFF)).astype(np.int64)] = True
-            self.tables[key] = h[order], owner[order], seen
-
-    def candidates(self, docs: Templates) -> dict[int, set[int]]:
-        """Text -> items with which it shares a window."""
-        out: dict[int, set[int]] = {}
-        for (variant, size), (h, owner, seen) in self.tables.items():
-            at, own = docs.windows(variant, size)
-            some = seen[(own & U64(0xFFFFF)).astype(np.int64)]
-            at, own = at[some], own[some]
-            lo, hi = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
-            for j in np.flatnonzero(hi > lo).tolist():
-                doc = int(np.searchsorted(docs.first, at[j], "right")) - 1
-                out.setdefault(doc, set()).update(owner[lo[j] : hi[j]].tolist())
-        return out
-
-    def matches(self, texts: pa.Array) -> Iterator[tuple[int, int, Match]]:
-        """(index of a text, index of an item, match)."""
-        for a, b in slices(texts):
-            docs = Templates(texts[a:b])
-            for doc, items in sorted(self.candidates(docs).items()):
-                part = docs.part(doc)
-                for i in sorted(items):
-                    if m := compare(part, self.items[i]):
-                        yield a + doc, i, m
+@dataclass
+class Pair:
+    """What a document holds of an item of `tokens` tokens, gathered alignment by alignment."""
 
+    tokens: int
+    covered: np.ndarray = field(init=False)
+    slots: dict[int, tuple[int, int]] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.covered = np.zeros(self.tokens, bool)
+
+    def add(self, variant: int, p: np.ndarray, kinds: np.ndarray, base: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+        """Equal windows of one variant and one alignment: first tokens in the item, and for each window and token the
+        kind, the kind in variant 0, the item's value and the document's.
+
+        In an alignment every slot value of the item should stand for one value in the document and the other way
+        round, by majority, and among equals the first in the item; a window with a slot that breaks this doesn't count."""
+        size = kinds.shape[1]
+        at, once = np.unique((p[:, None] + np.arange(size)).ravel(), return_index=True)
+        if variant >= RAW:
+            self.covered[at] = True
+            for i, j in zip(at.tolist(), once.tolist()):
+                if base.flat[j] != LITERAL_TOKEN:
+                    self.slots.setdefault(i, (int(x.flat[j]), int(x.flat[j])))
+            return
+        kind, mine, other = kinds.flat[once], x.flat[once], y.flat[once]
+        slots = np.flatnonzero(kind != LITERAL_TOKEN).tolist()
+        pairs = list(zip(kind[slots].tolist(), mine[slots].tolist(), other[slots].tolist()))
+        there: dict = {}
+        back: dict = {}
+        for k, a, b in pairs:
+            there.setdefault((k, a), Counter())[b] += 1
+            back.setdefault((k, b), Counter())[a] += 1
+        good = np.ones(self.tokens, bool)
+        for i, (k, a, b) in zip(slots, pairs):  # most_common keeps the order of the item among equals
+            good[at[i]] = there[k, a].most_common(1)[0][0] == b and back[k, b].most_common(1)[0][0] == a
+        bad = np.append(0, np.cumsum(~good))
+        starts = p[bad[p + size] == bad[p]]
+        self.covered[np.unique(starts[:, None] + np.arange(size))] = True
+        for i, (_, a, b) in zip(slots, pairs):
+            if self.covered[at[i]]:
+                self.slots[int(at[i])] = (a, b)
+
+    def match(self) -> Match | None:
+        matched = int(self.covered.sum())
+        if matched < COVERAGE * self.tokens or matched < min(self.tokens, RUN):
+            return None
+        return Match(matched, self.tokens, len(self.slots), sum(a != b for a, b in self.slots.values()))
 
-_MATCH = T.ArrayType(T.StructType([T.StructField("item", T.IntegerType()), T.StructField("matched", T.IntegerType()), T.StructField("tokens", T.IntegerType()), T.StructField("slots", T.IntegerType()), T.StructField("changed", T.IntegerType())]))
-_ARROW_MATCH = pa.list_(pa.struct([(f, pa.int32()) for f in ("item", "matched", "tokens", "slots", "changed")]))
 
+def item_size(tokens: int) -> int:
+    return min(tokens, WINDOW)
 
-def _matcher(bench: Benchmark):
-    @F.arrow_udf(_MATCH)
-    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            out: list[list] = [[] for _ in range(len(texts))]
-            for doc, item, m in bench.matches(texts):
-                out[doc].append({"item": item, "matched": m.matched, "tokens": m.tokens, "slots": m.slots, "changed": m.changed})
-            yield pa.array(out, _ARROW_MATCH)
 
-    return find
+def _row_numbers() -> Iterator[int]:
+    """Numbers that no two rows of a job share: the partition and the place in it."""
+    return count(TaskContext.get().partitionId() << 33)
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, size, window) of every window of the sizes asked for in each row."""
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (item_id, text): a row for each window of each item, with the values and kinds of its tokens."""
+    number = _row_numbers()
     for batch in batches:
-        for a, b in slices(batch.column(1)):
-            texts = Templates(batch.column(1)[a:b])
-            keys = batch.column(0)[a:b]
-            for size in sorted({s for own in batch.column(2)[a:b].to_pylist() for s in own}):
-                for variant in VARIANTS:
-                    at, h = texts.windows(variant, size)
+        for i in range(batch.num_rows):
+            item = next(number)
+            text = Templates.of(batch.column(1)[i : i + 1])
+            n = len(text.value)
+            for variant, size, at, key in text.found([item_size(n)] if n else []):
+                inside = at[:, None] + np.arange(size)
+                m = len(at)
+                yield pa.record_batch(
+                    [pa.array(key), pa.array(np.full(m, item)), batch.column(0)[i : i + 1].take(pa.array(np.zeros(m, np.int64))), *(pa.array(np.full(m, v, np.int32)) for v in (n, size, variant)), pa.array(at.astype(np.int32)),
+                     *(pa.array([r.tobytes() for r in rows], pa.binary()) for rows in (text.kinds[variant if variant < RAW else RAW][inside], text.kinds[0][inside], text.value[inside]))],
+                    names=["window", "item", "item_id", "tokens", "size", "variant", "p", "kinds", "base", "x"],
+                )
+
+
+def _document_windows(bits, sizes: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of (doc_id, text): the windows that pass the filter, with the values of their tokens."""
+        table = bits.value
+        mask = len(table) * 8 - 1
+        number = _row_numbers()
+        for batch in batches:
+            rows = np.array([next(number) for _ in range(batch.num_rows)], np.int64)
+            for a, b in slices(batch.column(1)):
+                texts = Templates.of(batch.column(1)[a:b])
+                for _, size, at, key in texts.found(sizes):
+                    bit = key & mask
+                    some = np.flatnonzero(table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                    if not len(some):
+                        continue
+                    at, key = at[some], key[some]
                     doc = np.searchsorted(texts.first, at, "right") - 1
-                    full = np.diff(texts.first)[doc] == size
-                    asked = np.array([size in s for s in batch.column(2)[a:b].to_pylist()])[doc]
-                    keep = asked & (full | (size == WINDOW) | ~batch.column(3)[a:b].to_numpy(zero_copy_only=False)[doc])
-                    yield pa.record_batch([keys.take(pa.array(doc[keep])), pa.array(np.full(int(keep.sum()), len(VARIANTS) * size + variant, np.int32)), pa.array(h[keep].view(np.int64))], names=["key", "size", "window"])
-
-
-def find_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+                    values = texts.value[at[:, None] + np.arange(size)]
+                    yield pa.record_batch(
+                        [pa.array(key), pa.array(rows[a:b][doc]), batch.column(0)[a:b].take(pa.array(doc)), pa.array((at - texts.first[doc]).astype(np.int32)), pa.array([r.tobytes() for r in values], pa.binary())],
+                        names=["window", "doc", "doc_id", "q", "y"],
+                    )
+
+    return run
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches from joined windows sorted by (doc, item, variant, shift, p); no more than an alignment, which has an
+    item's windows at most, is held besides a batch."""
+    pair, own = None, None  # the pair that goes on, and a row of it
+    held: pa.RecordBatch | None = None
+    for batch in chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([x for x in (held, batch) if x is not None]).combine_chunks() if batch is not None or held is not None else None
+        out = []
+        if rows is not None:
+            keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("doc", "item", "variant", "shift")])
+            change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            bounds = [0, *change.tolist()] + ([] if batch is not None else [rows.num_rows])
+            columns = [rows.column(c) for c in ("kinds", "base", "x", "y")]
+            tokens, sizes, p = (rows.column(c).to_numpy() for c in ("tokens", "size", "p"))
+            for f, l in zip(bounds, bounds[1:]):
+                if own is None or (keys[0, f], keys[1, f]) != own[0]:
+                    if own is not None and (m := pair.match()):
+                        out.append((own, m))
+                    pair, own = Pair(int(tokens[f])), ((keys[0, f], keys[1, f]), rows.column("doc_id")[f], rows.column("item_id")[f])
+                size = int(sizes[f])
+                kinds, base, x, y = (np.frombuffer(b"".join(c[f:l].to_pylist()), t).reshape(-1, size) for c, t in zip(columns, (np.uint8, np.uint8, np.int64, np.int64)))
+                pair.add(int(keys[2, f]), p[f:l].astype(np.int64), kinds, base, x, y)
+            held = rows.slice(bounds[-1]).combine_chunks().to_batches()[0] if batch is not None else None
+        if batch is None and own is not None and (m := pair.match()):
+            out.append((own, m))
+        if out:
+            kinds = rows.schema
+            yield pa.record_batch(
+                [pa.array([o[1].as_py() for o, _ in out], kinds.field("doc_id").type), pa.array([o[2].as_py() for o, _ in out], kinds.field("item_id").type), *(pa.array([getattr(m, c) for _, m in out], pa.int32()) for c in ("matched", "tokens", "slots", "changed"))],
+                names=["doc_id", "item_id", "matched", "tokens", "slots", "changed"],
+            )
+
+
+def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, matched, tokens, slots, changed) for (doc_id, text) and (item_id, text)."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    windows = items.where("text is not null").mapInArrow(_item_windows, f"window long, item long, item_id {item_kind}, tokens int, size int, variant int, p int, kinds binary, base binary, x binary")
+    windows = written(windows, "windows")
+    sizes = {r["size"]: r["count"] for r in windows.groupBy("size").count().collect()}
+    bits = spark.sparkContext.broadcast(bit_table(windows, "window", sum(sizes.values())))
+    hits = docs.where("text is not null").mapInArrow(_document_windows(bits, sorted(sizes)), f"window long, doc long, doc_id {doc_kind}, q int, y binary")
+    joined = hits.join(windows, "window").withColumn("shift", F.col("q") - F.col("p"))
+    parts = joined.repartition("doc").sortWithinPartitions("doc", "item", "variant", "shift", "p")
+    return parts.mapInArrow(_judge, f"doc_id {doc_kind}, item_id {item_kind}, matched int, tokens int, slots int, changed int")
+
+
+def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched_tokens, item_tokens, coverage, slots, slots_changed) of every document that holds an
     item of the benchmark, word for word or with other numbers, names and units.
 
     Texts become templates: numbers, units after numbers and names turn into typed placeholders. Windows of 8 tokens,
-    at least half of them literal, are joined by hash, and slots are checked for consistency (see `compare`). Windows
-    of the tokens as they are count whatever they hold, so a word-for-word copy of any item is found.
-
-    A benchmark of up to `broadcast_windows` windows goes to every task and documents aren't shuffled; a larger one is
-    joined by a shuffle of window hashes, with the same result. Null or empty texts and items of under 4 tokens:
-    no rows. Repeated rows of either side: their rows each. Null ids pass through. Very long texts are handled whole.
-    Empty tables: empty result. Columns other than doc_id, item_id and the texts are not read."""
-    items = benchmark.select("item_id", "text").where("text is not null")
-    words = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    doc_kind, item_kind = docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
-    if words <= broadcast_windows:  # a window begins at a token of one character at least, and there are three variants
-        rows = sorted(items.collect(), key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))
-        bound_batches(docs.sparkSession)
-        find = _matcher(Benchmark([r["text"] for r in rows]))
-        names = docs.sparkSession.createDataFrame([(i, r["item_id"]) for i, r in enumerate(rows)], T.StructType([T.StructField("item", T.IntegerType()), T.StructField("item_id", item_kind)]))
-        found = docs.select("doc_id", F.explode(find(F.coalesce("text", F.lit("")))).alias("m")).select("doc_id", "m.*").join(F.broadcast(names), "item")
-    else:
-        found = _by_shuffle(docs, items)
-    return found.select(F.col("doc_id").cast(doc_kind), "item_id", F.col("matched").alias("matched_tokens"), F.col("tokens").alias("item_tokens"), (F.col("matched") / F.col("tokens")).alias("coverage"), "slots", F.col("changed").alias("slots_changed"))
-
-
-def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Window hashes of both sides joined by a shuffle; texts follow for the pairs found only."""
-    bound_batches(docs.sparkSession)
-    kind = "key long, size int, window long"
-    left = docs.where("text is not null").select(F.xxhash64("text").alias("key"), "text", F.array(*[F.lit(s) for s in range(LEAST, WINDOW + 1)]).alias("s"), F.lit(False).alias("own"))
-    right = items.select(F.xxhash64("text").alias("key"), "text", F.array(*[F.lit(s) for s in range(LEAST, WINDOW + 1)]).alias("s"), F.lit(True).alias("own")).distinct()
-    a = left.mapInArrow(_window_rows, kind).withColumnRenamed("key", "doc").distinct()
-    b = right.mapInArrow(_window_rows, kind).withColumnRenamed("key", "item")
-    pairs = a.join(b.hint("merge"), ["size", "window"]).select("doc", "item").distinct()
-    texts = pairs.join(left.select(F.col("key").alias("doc"), F.col("text").alias("x")).distinct(), "doc").join(right.select(F.col("key").alias("item"), F.col("text").alias("y")), "item")
-
-    @F.arrow_udf(_MATCH)
-    def check(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for doc, item in zip(x, y):
-            t = Templates(pa.array([doc.as_py(), item.as_py()]))
-            m = compare(t.part(0), t.part(1))
-            out.append([{"item": 0, "matched": m.matched, "tokens": m.tokens, "slots": m.slots, "changed": m.changed}] if m else [])
-        return pa.array(out, _ARROW_MATCH)
-
-    hits = texts.select("doc", "item", F.explode(check("x", "y")).alias("m")).select("doc", F.col("item").alias("item_key"), "m.matched", "m.tokens", "m.slots", "m.changed")
-    found = hits.join(docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("doc")), "doc")
-    return found.join(items.select("item_id", F.xxhash64("text").alias("item_key")), "item_key")
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """docs without those that `find_contaminated` reports; all columns as they are. Rows are told apart by doc_id and
-    text where the benchmark is too large to broadcast."""
-    items = benchmark.select("text").where("text is not null")
-    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= broadcast_windows:
-        bound_batches(docs.sparkSession)
-        find = _matcher(Benchmark(sorted(r["text"] for r in items.collect())))
-        return docs.where(F.size(find(F.coalesce(docs["text"], F.lit("")))) == 0)
-    keyed = docs.withColumn("__tm_key", F.xxhash64("text"))
-    bad = _by_shuffle(docs.select(F.lit(0).alias("doc_id"), "text").distinct().withColumn("doc_id", F.xxhash64("text")), benchmark.select("item_id", "text").where("text is not null")).select(F.col("doc_id").alias("__tm_key")).distinct()
-    return keyed.join(bad, "__tm_key", "left_anti").select(*columns(docs))
+    at least half of them literal, are joined by hash, and slots are checked for consistency (see `Pair.add`). Windows
+    of the tokens as they are count whatever they hold, so a word-for-word copy of any item is found. Items of 4 to 7
+    tokens have one window of all; items of 1 to 3 are held by texts of just these tokens.
+
+    One plan for every size: the windows of the benchmark set bits in a filter of at most 32 MB that all tasks get; only
+    windows of documents that pass it are joined with those of the benchmark, with the values of their tokens, so
+    texts are read once and never shuffled. A filter that is too small lets more pass, and changes no result.
+
+    Null texts and texts without tokens: no rows. Repeated rows of either side: their rows each. Null ids pass through.
+    Items that share windows are judged apart, each for itself. Very long texts are handled whole, in pieces. Empty
+    tables: empty result. Columns other than doc_id, item_id and the texts are not read."""
+    found = _matches(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
+    return found.select("doc_id", "item_id", F.col("matched").alias("matched_tokens"), F.col("tokens").alias("item_tokens"), (F.col("matched") / F.col("tokens")).alias("coverage"), "slots", F.col("changed").alias("slots_changed"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without those that `find_contaminated` reports; all columns as they are. Texts are told apart by two 64-bit
+    hashes. Null, empty and repeated rows, null ids, very long texts, ties and empty tables as there: what holds no item
+    stays. Extra columns may have any name that doesn't begin with __tm_."""
+    one, two = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    bad = _matches(docs.select(F.struct(one.alias("__tm_1"), two.alias("__tm_2")).alias("doc_id"), "text"), benchmark.select("item_id", "text"))
+    # written, so that its size is known when Spark chooses how to join
+    bad = written(bad.select("doc_id.*").distinct(), "contaminated")
+    return docs.withColumns({"__tm_1": one, "__tm_2": two}).join(bad, ["__tm_1", "__tm_2"], "left_anti").select(*columns(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
