@@ -20,13 +20,21 @@ _RECORDS = "page_id string, uri string, is_null boolean, payload binary"
 
 
 def _line(name: str, value: Column) -> Column:
-    clean = F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    return F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"{name}: "), clean, F.lit("\r\n")))
+    """A header field, none for a null; where line ends would break the header, they and % are escaped, and a field of
+    its own says so."""
+    escaped = F.replace(F.replace(F.replace(value, F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    broken = F.contains(value, F.lit("\r")) | F.contains(value, F.lit("\n"))
+    field = F.when(broken, F.concat(escaped, F.lit(f"\r\nX-Escaped: {name}"))).otherwise(value)
+    return F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"{name}: "), field, F.lit("\r\n")))
+
+
+def _unescaped(value: bytes) -> bytes:
+    return value.replace(b"%0A", b"\n").replace(b"%0D", b"\r").replace(b"%25", b"%")
 
 
 def write_warc(pages: DataFrame, path: str) -> None:
-    """A file for each partition, through Spark's committer: no file of a lost or repeated task stays. Carriage
-    returns and line feeds in a URL are stored as %0D and %0A."""
+    """A file for each partition, through Spark's committer: no file of a lost or repeated task stays. A URL with
+    carriage returns or line feeds is stored escaped and read back as it was."""
     html = F.coalesce(F.col("html"), F.lit(""))
     head = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: resource\r\n"),
@@ -51,16 +59,16 @@ def header_at(data: bytes, at: int) -> tuple[int, int, dict[bytes, bytes]] | Non
     """(start of the payload, its length, fields) of the record that seems to begin at data[at], or None."""
     if not data.startswith(MAGIC, at) or data[at + len(MAGIC) + 1 : at + len(MAGIC) + 3] != b"\r\n":
         return None
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
-        return None
-    lines = data[at:end].split(b"\r\n")
     fields = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(b": ")
-        if not colon:
+    start = at + len(MAGIC) + 3
+    while not data.startswith(b"\r\n", start):  # line by line, so that what is no header is left at its first line
+        stop = data.find(b"\r\n", start)
+        colon = data.find(b": ", start, stop) if stop >= 0 else -1
+        if colon < 0:
             return None
-        fields[name.lower()] = value
+        fields[data[start:colon].lower()] = data[colon + 2 : stop]
+        start = stop + 2
+    end = start - 2
     length = fields.get(b"content-length", b"")
     if not length.isdigit():
         return None
@@ -70,11 +78,18 @@ def header_at(data: bytes, at: int) -> tuple[int, int, dict[bytes, bytes]] | Non
 def unfinished(data: bytes, at: int) -> bool:
     """Whether data ends inside what may be a header that begins at data[at]."""
     start = data[at : at + len(MAGIC) + 3]
-    if not start.startswith(MAGIC[: len(start)]) or data.find(b"\r\n\r\n", at) >= 0:
+    if not start.startswith(MAGIC[: len(start)]):
         return False
     if len(start) < len(MAGIC) + 3:
         return True
-    return start.endswith(b"\r\n") and all(b": " in line for line in data[at:].split(b"\r\n")[1:-1])
+    if not start.endswith(b"\r\n"):
+        return False
+    at += len(start)
+    while (stop := data.find(b"\r\n", at)) >= 0:
+        if stop == at or data.find(b": ", at, stop) < 0:
+            return False  # the header's end, or no header
+        at = stop + 2
+    return True
 
 
 def read_on(file: pa.NativeFile, data: bytes, base: int, length: int, places: list[int]) -> bytes:
@@ -150,6 +165,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             break
                     page = fields.get(b"warc-record-id")
                     uri = fields.get(b"warc-target-uri")
+                    if uri and fields.get(b"x-escaped") == b"WARC-Target-URI":
+                        uri = _unescaped(uri)
                     rows.append((page and page[10:-1].decode(errors="replace"), uri and uri.decode(errors="replace"), fields.get(b"x-payload") == b"null", payload))
                     held += length + 200
                     at = begin + length + 4
