@@ -58,6 +58,34 @@ def lower(text: str) -> str:
     return text.encode().lower().decode()
 
 
+#: White space that is no single blank, with the comment marks of a line that begins after it: counts as one blank.
+_GAP = regex.compile(r"\s*\n\s*(?:(?:[*#;%!]+|//+|--+|/\*+|<!--)(?=\s)\s*)*|[^\S \n]\s*|\s{2,}")
+#: What follows an SPDX tag: names and operators.
+_SPDX = regex.compile(r"[ \t]*(\(*[A-Za-z0-9][A-Za-z0-9.+:\-]*\)*(?: (?:AND|OR|WITH) \(*[A-Za-z0-9][A-Za-z0-9.+:\-]*\)*)*)")
+
+
+def fold(text: str) -> tuple[str, list[int], list[int]]:
+    """(text with each gap as one blank, ends of the gaps in it, characters that had gone by each of them)."""
+    parts, ends, gone = [], [], []
+    at = size = lost = 0
+    for m in _GAP.finditer(text):
+        parts += [text[at : m.start()], " "]
+        size += m.start() - at + 1
+        lost += m.end() - m.start() - 1
+        at = m.end()
+        ends.append(size)
+        gone.append(lost)
+    if not parts:
+        return text, ends, gone
+    return "".join([*parts, text[at:]]), ends, gone
+
+
+def unfold(at: int, ends: list[int], gone: list[int]) -> int:
+    """Place in the text itself of a place in the folded one."""
+    i = bisect.bisect_right(ends, at)
+    return at + (gone[i - 1] if i else 0)
+
+
 @functools.lru_cache(maxsize=4)
 def _compiled(notices: Notices) -> tuple[ahocorasick.Automaton, list[regex.Pattern]]:
     where: dict[str, list[tuple[int, int]]] = {}
@@ -100,28 +128,33 @@ def matches(low: str, notices: Notices, found: set[tuple[int, int]], base: int =
     return sorted(kept, key=lambda v: v[1])
 
 
-def scan_texts(texts: list[str | None], notices: Notices = NOTICES) -> list[tuple[int, str, int, int, int, str]]:
-    """(index of the text, name, start, end, edits, the passage)."""
-    joined = "\0".join(t or "" for t in texts)  # no seed holds \0, so none crosses texts
+def scan_texts(texts: list[str | None], notices: Notices = NOTICES) -> list[tuple[int, str, int, int, int, str, str | None]]:
+    """(index of the text, name, start, end, edits, the passage, identifier after an SPDX tag)."""
+    folded = [fold(t or "") for t in texts]
+    joined = "\0".join(f[0] for f in folded)  # no seed holds \0, so none crosses texts
     low = lower(joined)
     starts = [0]
-    for t in texts:
-        starts.append(starts[-1] + len(t or "") + 1)
+    for f in folded:
+        starts.append(starts[-1] + len(f[0]) + 1)
     by_text: dict[int, set[tuple[int, int]]] = {}
     for seed, i, begin in candidates(low, notices):
         by_text.setdefault(bisect.bisect_right(starts, seed) - 1, set()).add((i, begin))
     rows = []
     for owner in sorted(by_text):
-        base, text = starts[owner], texts[owner]
-        for i, a, b, edits in matches(low, notices, by_text[owner], base, base + len(text)):
-            rows.append((owner, notices[i][0], a - base, b - base, edits, text[a - base : b - base]))
+        base, text, (flat, ends, gone) = starts[owner], texts[owner], folded[owner]
+        for i, a, b, edits in matches(low, notices, by_text[owner], base, base + len(flat)):
+            x, y = unfold(a - base, ends, gone), unfold(b - base - 1, ends, gone) + 1
+            tag = _SPDX.match(text, y) if notices[i][0] == "SPDX" else None
+            rows.append((owner, notices[i][0], x, y, edits, text[x:y], tag[1] if tag else None))
     return rows
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: Notices = NOTICES) -> DataFrame:
-    """(id, license, start, end, edits, passage): every stretch of a text that is a notice but for a bounded number
-    of edits (one for each 10 characters of the wording), in characters of the text, upper case counted as lower.
-    Where verified stretches overlap, the one with the fewest edits counts, then the longer, then the earlier.
+    """(id, license, start, end, edits, passage, identifier): every stretch of a text that is a notice but for a bounded
+    number of edits (one for each 10 characters of the wording), in characters of the text, upper case counted as lower.
+    White space of any length counts as one blank, comment marks at the beginning of a line included, so that wrapped
+    notices are found; they cost no edits. Where verified stretches overlap, the one with the fewest edits counts, then
+    the longer, then the earlier. `identifier` is the expression after an SPDX tag, null for other notices.
 
     Null or empty text: no rows. Repeated rows: their rows each. Very long texts are searched whole. Empty table:
     empty result. Columns other than the two are not read. No shuffle; texts without a seed cost one automaton pass."""
@@ -132,13 +165,13 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices:
             for a, b in slices(texts):
                 rows = scan_texts(texts[a:b].to_pylist(), notices)
                 if rows:
-                    owner, name, start, end, edits, passage = zip(*rows)
-                    yield pa.record_batch([ids[a:b].take(pa.array(owner)), pa.array(name), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32()), pa.array(passage)], names=["k", "license", "start", "end", "edits", "passage"])
+                    owner, name, start, end, edits, passage, tag = zip(*rows)
+                    yield pa.record_batch([ids[a:b].take(pa.array(owner)), pa.array(name), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32()), pa.array(passage), pa.array(tag, pa.string())], names=["k", "license", "start", "end", "edits", "passage", "identifier"])
 
     bound_batches(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(run, f"k {kind}, license string, start long, end long, edits int, passage string").withColumnRenamed("k", id_col)
+    return rows.mapInArrow(run, f"k {kind}, license string, start long, end long, edits int, passage string, identifier string").withColumnRenamed("k", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

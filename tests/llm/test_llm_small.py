@@ -142,6 +142,47 @@ def test_plan_uses_the_histogram_up(seed):
     assert -(-tokens // 32) <= packs <= len(bins) * 1.05 + 2
 
 
+@pytest.mark.parametrize("low,high,window", [(1, 50, 2048), (1, 2, 2048), (1, 2048, 2048), (600, 1100, 2048), (1, 64, 64)])
+def test_packing_is_as_tight_as_first_fit_decreasing(low, high, window):
+    r = np.random.default_rng(high)
+    lengths = r.integers(low, high + 1, 4000)
+    patterns = packing.plan(np.bincount(lengths, minlength=window + 1)[1:])
+    packs = sum(n for n, _ in patterns)
+    assert max(sum(x * c for x, c in p.items()) for _, p in patterns) <= window
+    rooms = np.zeros(0, int)
+    for x in sorted(lengths.tolist(), reverse=True):
+        fits = np.flatnonzero(rooms >= x)
+        if len(fits):
+            rooms[fits[0]] -= x
+        else:
+            rooms = np.append(rooms, window - x)
+    assert packs <= len(rooms) * 1.02 + 1
+
+
+def test_windows_hold_what_the_plan_says(spark):
+    """Places by brute force: windows filled one after the other as the patterns say."""
+    r = random.Random(4)
+    rows = [(i, r.choice([0, 1, 3, 17, 40, 64, 65, 200, r.randrange(64)])) for i in range(700)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, n long").repartition(3), length=F.col("n"), window=64, bins=16).collect()
+    lengths = Counter(min(64, n - a) for _, n in rows for a in range(0, n, 64))
+    windows = [sorted((x for x, c in p.items() for _ in range(c)), reverse=True) for n, p in packing.plan(np.array([lengths[i + 1] for i in range(64)]), bins=16) for _ in range(n)]
+    got = {}
+    for x in out:
+        if x.pack_id is not None:
+            got.setdefault(x.pack_id, []).append((x.position, x.n_tokens))
+    want = {i: [(sum(w[:j]), x) for j, x in enumerate(w)] for i, w in enumerate(windows)}
+    assert {i: sorted(w) for i, w in got.items()} == want
+
+
+def test_packing_counts_tokens(make, nasty):
+    want, got = Counter(), Counter()
+    for x in token_counts.token_counts(make(nasty)).collect():
+        want[x.doc_id] += x.n_tokens or 0
+    for x in packing.pack_texts(make(nasty)).collect():
+        got[x.doc_id] += x.n_tokens
+    assert got == want and packing.pack_texts(make([])).count() == 0
+
+
 def test_packing_cases(make, nasty):
     rows = packing.pack(make(nasty), window=64, bins=16).collect()
     want = Counter()
@@ -203,6 +244,24 @@ def test_license_spans():
         assert texts[r[0]][r[2] : r[3]] == r[5]
 
 
+def test_wrapped_notices_and_identifiers():
+    texts = [
+        "/*\n * Licensed under the\n * Apache License,   Version 2.0\n */ x", "# Released\n#   under the\t MIT\r\n# license", "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\nint x;",
+        "SPDX-License-Identifier:\n", "a  b\n\nreleased under the mit license\n  c", "released - under the * mit license",
+    ]
+    rows = license_scan.scan_texts(texts)
+    assert [(r[0], r[1], r[4], r[6]) for r in rows if r[0] < 5] == [(0, "Apache-2.0", 0, None), (1, "MIT", 0, None), (2, "SPDX", 0, "(MIT OR Apache-2.0) AND BSD-3-Clause"), (3, "SPDX", 0, None), (4, "MIT", 0, None)]
+    for r in rows:
+        assert texts[r[0]][r[2] : r[3]] == r[5] and r[5] == r[5].strip()
+    assert rows[0][5].startswith("Licensed under the\n") and rows[1][5].endswith("license")
+    r = random.Random(3)
+    for _ in range(200):
+        text = "".join(r.choice(["a", " ", "  ", "\n", "\t", "# ", "* ", "b"]) for _ in range(30))
+        flat, ends, gone = license_scan.fold(text)
+        assert all(text[license_scan.unfold(i, ends, gone)] == c for i, c in enumerate(flat) if c != " ")
+        assert regex.sub(r"\s", "", flat) in regex.sub(r"\s", "", text) or "#" in text or "*" in text
+
+
 def test_license_cases(make, nasty):
     notice = "Released under the MIT License."
     rows = [*nasty, (20, notice), (20, notice), (None, notice), (21, words(30_000, 9) + " " + notice + " " + words(10, 8))]
@@ -233,8 +292,19 @@ def test_warc_cases(spark):
         out = warc.round_trip(make_pages(spark, rows), split)
         assert Counter(map(tuple, out.select("page_id", "url", "html").collect())) == Counter(rows)
     assert warc.round_trip(make_pages(spark, [])).count() == 0
-    line = warc.round_trip(make_pages(spark, [(1, "http://a/\r\nX: y", "h")])).first()
-    assert line.url == "http://a/%0D%0AX: y" and line.html == "h"
+    rows = [(1, "http://a/\r\nX: y%0D%25", "h"), (2, "http://a/%0D%0A%25", "h"), (3, "\r\n\r\nWARC/1.0\r\n%", "")]
+    assert sorted(map(tuple, warc.round_trip(make_pages(spark, rows)).collect())) == rows
+
+
+def test_payloads_full_of_magic_take_linear_time():
+    import time
+
+    data = (b"WARC/1.0\r\n" * 100_000)[:1_000_000]
+    began = time.perf_counter()
+    assert warc.candidates_in(data, 0, len(data)) == {}
+    many = b"WARC/1.0\r\nA: b\r\n" * 50_000
+    assert warc.candidates_in(many, 0, len(many)) == {}
+    assert time.perf_counter() - began < 5
 
 
 def test_a_damaged_file_gives_what_its_chain_reaches(spark, tmp_path):
