@@ -7,28 +7,33 @@ from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import U64, Words, bound_batches, columns, drop_written, mix, slices, written
+from tarnmill.llm.common import U64, bound_batches, columns, drop_written, mix, slices, word_hashes, written
 from tarnmill.llm.components import components
 
 BITS = 256
 #: Copies with a twentieth of their words changed differ in some 25 to 35 bits, other texts of one language in 100; the
 #: fewest pairs lie between 46 and 54.
 RADIUS = 46
-#: Blocks: documents that agree on BLOCK_BITS sampled bits of the signature are compared, in each of as many samples as
+#: Blocks: documents that agree on so many sampled bits of the signature are compared, in each of as many samples as
 #: make two that differ in exactly the radius meet with probability RECALL (0.9 is wanted; the rest is for samples that
-#: overlap).
+#: overlap). Fewer bits need fewer samples, but make larger blocks: `plan` weighs that by the blocks there are.
 BLOCK_BITS = 18
 RECALL = 0.92
+BLOCK_CHOICES = (8, 10, 12, 15, 18, 21, 24, 27, 30, 33, 36, 39)
+PROBES = 2
+#: Comparisons of two members of a block that cost as much as to move a signature to a block.
+ROW_COST = 250
 #: Bit planes between looks at whether a whole block has left the radius.
 ABANDON_EVERY = 32
 #: Cells of a query and 64 members that are worked on at once.
 CELLS = 1 << 14
 #: Blocks of so few members aren't sliced.
 SMALL = 12
+#: Words whose bits are counted at once.
+ROWS = 1 << 16
 
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -40,23 +45,31 @@ def signatures(texts: pa.Array) -> np.ndarray:
     bit of the word's 256-bit hash. A text without words has all bits 0."""
     n = len(texts)
     out = np.zeros((n, _LANES), U64)
-    words = Words(pc.utf8_lower(texts), keep=_LETTER)
-    if not len(words.start):
+    h, first = word_hashes(texts, keep=_LETTER, lower=True)
+    if not len(h):
         return out
-    h = words.hashes()
-    # distinct words of each text: sort by (text, hash)
-    order = np.lexsort((h, words.doc))
-    h, doc = h[order], words.doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[new], doc[new]
-    there, first = np.unique(doc, return_index=True)
-    size = np.diff(np.append(first, len(doc)))
+    # distinct words of each text
+    if n == 1:
+        h = np.unique(h)
+        doc = np.zeros(len(h), np.int64)
+    else:
+        doc = np.repeat(np.arange(n), np.diff(first))
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        h, doc = h[new], doc[new]
+    ones = np.zeros((_LANES, n, 64), np.int32)
+    for at in range(0, len(h), ROWS):
+        hh, dd = h[at : at + ROWS], doc[at : at + ROWS]
+        begin = np.flatnonzero(np.append(True, dd[1:] != dd[:-1]))
+        for lane in range(_LANES):
+            bits = np.unpackbits(mix(hh + U64(lane * 0x9E3779B97F4A7C15 % 2**64)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            # one cumulative sum would need wide numbers; reduceat over the rows of each text keeps them small
+            ones[lane, dd[begin]] += np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+    size = np.bincount(doc, minlength=n)
     for lane in range(_LANES):
-        bits = np.unpackbits(mix(h + U64(lane * 0x9E3779B97F4A7C15 % 2**64)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        # one cumulative sum would need wide numbers; reduceat over the rows of each text keeps them small
-        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        out[there, lane] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(U64).ravel()
+        out[:, lane] = np.packbits(2 * ones[lane] > size[:, None], axis=1, bitorder="little").view(U64).ravel()
     return out
 
 
@@ -228,7 +241,36 @@ def _compare(radius: int):
     return run
 
 
-def groups(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES, bits: int = BLOCK_BITS) -> tuple[DataFrame, DataFrame]:
+def _spread(chosen: np.ndarray):
+    """(key, node, signature) of each node for each sample of bits; a key's lowest bits are the sample's first."""
+    bits = chosen.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(_LANES)], axis=1).view(U64)
+            keys = block_keys(sig, chosen)
+            for t in range(len(chosen)):
+                yield pa.record_batch([pa.array(keys[:, t] | t << bits), *batch.columns], names=["key", "node", "s0", "s1", "s2", "s3"])
+
+    return run
+
+
+_BLOCKS = "key long, node long, s0 long, s1 long, s2 long, s3 long"
+
+
+def plan(nodes: DataFrame, radius: int = RADIUS) -> int:
+    """The number of block bits of least cost: moving each node to `tables_for` blocks and comparing it with half of
+    each. Block sizes are counted over all nodes, in PROBES samples, for each of BLOCK_CHOICES."""
+    choices = [b for b in BLOCK_CHOICES if b <= BITS - radius]
+    probe = max(choices)
+    keys = nodes.mapInArrow(_spread(block_bits(PROBES, probe, seed=12)), _BLOCKS)
+    cut = F.explode(F.array(*[F.struct(F.lit(b).alias("bits"), F.shiftright("key", probe).alias("probe"), F.col("key").bitwiseAND(F.lit((1 << b) - 1)).alias("block")) for b in choices])).alias("c")
+    sizes = keys.select(cut).groupBy("c.bits", "c.probe", "c.block").agg(F.count("*").cast("double").alias("n"))
+    mean = {r["bits"]: r["squares"] / r["n"] for r in sizes.groupBy("bits").agg(F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum("n").alias("n")).collect()}
+    return min(mean, key=lambda b: tables_for(radius, b) * (ROW_COST + mean[b] / 2), default=BLOCK_BITS)
+
+
+def groups(docs: DataFrame, radius: int = RADIUS, tables: int | None = None, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(signed, roots). signed: (row columns of docs' id, s0..s3, node) of every row; roots: (node, root) of the nodes
     that have a neighbour."""
 
@@ -244,30 +286,26 @@ def groups(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES, bits: in
     signed = written(rows.mapInArrow(sign, f"doc_id {kind}, h long, s0 long, s1 long, s2 long, s3 long").withColumn("node", F.xxhash64("s0", "s1", "s2", "s3")), "signed")
     # equal signatures are one node, whatever their number; texts without words are no copies of each other
     nodes = signed.where("(s0 | s1 | s2 | s3) <> 0").select("node", "s0", "s1", "s2", "s3").distinct()
-    chosen = block_bits(tables, bits)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(_LANES)], axis=1).view(U64)
-            keys = block_keys(sig, chosen)
-            for t in range(len(chosen)):
-                yield pa.record_batch([pa.array(keys[:, t] | t << bits), *batch.columns], names=["key", "node", "s0", "s1", "s2", "s3"])
-
-    blocks = nodes.mapInArrow(spread, "key long, node long, s0 long, s1 long, s2 long, s3 long")
+    nodes = written(nodes, "nodes")
+    bits = plan(nodes, radius) if bits is None else bits
+    tables = tables_for(radius, bits) if tables is None else tables
+    blocks = nodes.mapInArrow(_spread(block_bits(tables, bits)), _BLOCKS)
     parts = blocks.repartition("key").sortWithinPartitions("key")
     edges = parts.mapInArrow(_compare(radius), "a long, b long")
-    return signed, components(edges)
+    roots = components(edges)
+    drop_written(nodes)
+    return signed, roots
 
 
-def assign(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES, bits: int = BLOCK_BITS) -> DataFrame:
+def assign(docs: DataFrame, radius: int = RADIUS, tables: int | None = None, bits: int | None = None) -> DataFrame:
     """(doc_id, group_id, is_duplicate) of every row: group_id is the least doc_id of its group of near copies, which
     is the one that stays.
 
     Groups are the connected components of pairs whose 256-bit signatures differ in at most `radius` bits. Pairs are
     sought in blocks: two signatures that differ in a share d of their bits meet in one of the tables with
-    probability of some 1 - (1 - (1 - d)^bits)^tables, over 0.9 at the default radius itself and more below it; another
-    radius or other bits need the tables of `tables_for`. All members of a block are compared. Documents of equal
-    signatures are one node, so copies cost nothing here.
+    probability of some 1 - (1 - (1 - d)^bits)^tables, over 0.9 at the radius itself and more below it, since unless
+    given `tables` is what `tables_for` says for `bits`, and `bits` what `plan` finds cheapest for these documents. All
+    members of a block are compared. Documents of equal signatures are one node, so copies cost nothing here.
 
     Texts without words (null or empty ones) are in groups of their own rows: group_id is their doc_id, none is a
     duplicate. Null doc_ids: they sort last, so that such a row stays only where no other does; repeated rows: one
@@ -284,8 +322,10 @@ def _ranked(signed: DataFrame, roots: DataFrame) -> DataFrame:
     return ranked.unionByName(rest)
 
 
-def drop_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES, bits: int = BLOCK_BITS) -> DataFrame:
-    """docs with the one row of each group that `assign` keeps, all columns as they are; texts without words all stay.
+def drop_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int | None = None, bits: int | None = None) -> DataFrame:
+    """docs with the one row of each group that `assign` keeps, all columns as they are; texts without words (null or
+    empty ones among them) all stay. Null ids and repeated rows as in `assign`; empty table: empty result. Extra columns
+    may have any name that doesn't begin with __tm_.
 
     Rows are told apart by doc_id and a hash of the text. Only what a group loses is joined back: an anti-join for
     rows all of whose kind go; where one of several rows of the same id and text stays, the lowest by a hash of all
