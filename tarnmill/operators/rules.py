@@ -60,55 +60,6 @@ def completeness(present: dict[str, Column]) -> dict[str, Column]:
     return {"score": score, "grade": grade, "missing": F.array_compact(F.array(*[F.when(missing[k], k) for k in present]))}
 
 
-#: Restrictions of a posting's text, in order; wordings are our own and cover common phrasings.
-RESTRICTIONS = [
-    ("clearance", r"(active|current|obtain)\s+(a\s+)?(security|secret|ts/sci)\s+clearance|clearance (is )?required"),
-    ("citizenship", r"(must|only)\s+(be\s+)?(a\s+)?(us|u\.s\.|united states)\s+citizens?|citizenship (is )?required"),
-    ("permanent authorization", r"permanent(ly)?\s+(work\s+)?authori[sz]"),
-    ("high school", r"high school (students|diploma only)"),
-    ("undergraduate only", r"(undergraduates?|bachelor'?s students?) only|only undergraduate"),
-    ("phd only", r"(phd|doctoral) (students?|candidates?) only|requires? a ph\.?d"),
-    ("degree field", r"degree in (nursing|accounting|law|mechanical|civil|chemical)[a-z ]*(is )?required"),
-    ("enrolled elsewhere", r"enrolled (at|in) a (university|college|school) in (canada|india|the uk|germany)"),
-    ("us person", r"\bu\.?s\.? persons? (only|status)|export control"),
-    ("cpt/opt", r"(no|not accept(ing)?) (cpt|opt)\b"),
-]
-#: What near a passage means that it isn't meant as a restriction.
-FLEXIBLE = {
-    "undergraduate only": r"graduate students? (are )?(also )?welcome|or (master|graduate|phd)|masters? students",
-    "phd only": r"(bachelor|master|bs|ms)('?s)?[ ,/]|or equivalent|preferred",
-    "degree field": r"computer science|or related|preferred",
-}
-CONTEXT = 500
-
-
-def meant(low: Column, pattern: str, flexible: str | None) -> Column:
-    """Whether a pattern occurs somewhere without a flexible wording within CONTEXT signs around it."""
-    if flexible is None:
-        return low.rlike(pattern)
-    around = F.regexp_extract_all(low, F.lit(f"(?s).{{0,{CONTEXT}}}?(?:{pattern}).{{0,{CONTEXT}}}"), F.lit(0))
-    return F.exists(around, lambda c: ~c.rlike(flexible))
-
-
-def restriction(page: Column) -> Column:
-    low = F.lower(page)
-    return cascade([(name, meant(low, pattern, FLEXIBLE.get(name))) for name, pattern in RESTRICTIONS])
-
-
-def sponsorship(page: Column) -> Column:
-    """No before Yes, unless the text says that sponsorship is available."""
-    low = F.lower(page)
-    no = low.rlike(r"(no|not|unable to|cannot) (offer |provide )?(visa )?sponsor|without sponsorship")
-    yes = low.rlike(r"sponsorship (is )?available|(will|can) sponsor|visa sponsorship provided")
-    return F.when(no, "No").when(yes, "Yes").otherwise("Unknown")
-
-
-def graduation_year(page: Column, latest: int = 2027) -> Column:
-    """True if years after 'graduat' are named and all are after `latest`."""
-    years = F.transform(F.regexp_extract_all(F.lower(page), F.lit(r"graduat[a-z]*[^.0-9]{0,40}(20[23]\d)"), F.lit(1)), lambda y: y.cast("int"))
-    return (F.size(years) > 0) & (F.array_min(years) > latest)
-
-
 def hourly_pay(page: Column) -> Column:
     """Numbers between 1 and 200 that are written as pay an hour."""
     found = F.regexp_extract_all(F.lower(page), F.lit(r"\$(\d{1,3}(?:\.\d{1,2})?)\s*(?:/|per|an)\s*h(?:ou)?r"), F.lit(1))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tarnmill.operators import restrictions as t
 from tarnmill.operators import rules as r
 from tarnmill.plans.registry import register
-from tarnmill.plans.texts import values, values_sql
+from tarnmill.plans.texts import seeded, seeded_sql
 from tarnmill.sources.tables import AS_OF, JOBS_SQL, POSTINGS_SQL, as_of, jobs, postings, table
 
 
@@ -69,27 +70,57 @@ def a12_missing(spark, sf):
     return _scored(spark, sf).select(F.explode("missing").alias("field")).groupBy("field").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "field")
 
 
+#: (sentence, restriction, sponsorship, whether the graduation year is too late, pay an hour)
 PAGES = [
     ("Must be a US citizen. Pay is $45/hr.", "citizenship", "Unknown", 0, "45"),
     ("You will obtain a security clearance; we will sponsor visas.", "clearance", "Yes", 0, ""),
     ("We are unable to sponsor. Undergraduates only.", "undergraduate only", "No", 0, ""),
-    ("Graduating in December 2028 or spring 2029. Earn $22.50 per hour or $30 an hour.", None, "Unknown", 1, "22.5,30"),
-    ("Graduation 2026 to graduate 2029. Sponsorship is available.", None, "Yes", 0, ""),
+    ("Graduating in December 2028 or spring 2029. Earn $22.50 per hour or $30 an hour.", "graduation year", "Unknown", 1, "22.5,30"),
+    ("Graduation 2026 to graduate 2029. Sponsorship is available.", None, "No", 0, ""),
     ("PhD candidates only, no CPT.", "phd only", "Unknown", 0, ""),
     ("$500/hr and $0.5/hr are out of range", None, "Unknown", 0, ""),
     ("Undergraduates only; graduate students are also welcome", None, "Unknown", 0, ""),
     ("Requires a PhD or equivalent", None, "Unknown", 0, ""),
     ("A degree in mechanical engineering is required. US persons only.", "degree field", "Unknown", 0, ""),
     ("Subject to export control", "us person", "Unknown", 0, ""),
+    ("Candidates graduate by December 2026 at the latest", "graduation date", "Unknown", 0, ""),
+    ("Permanent work authorization is a must", "permanent authorization", "Unknown", 0, ""),
+    ("A programme for high school students", "high school", "Unknown", 0, ""),
+    ("Currently enrolled in a Bachelor's degree program", "undergraduate only", "Unknown", 0, ""),
+    ("You are a rising junior or senior", "undergraduate only", "Unknown", 0, ""),
+    ("Pursuing an undergraduate or Master's degree", None, "Unknown", 0, ""),
+    ("Preferred majors: mechanical or electrical engineering.", "preferred degree", "Unknown", 0, ""),
+    ("Preferred majors: mechanical engineering, computer science.", None, "Unknown", 0, ""),
+    ("Students at a university in Canada", "enrolled elsewhere", "Unknown", 0, ""),
+    ("Students at a university in the United States", None, "Unknown", 0, ""),
+    ("We do not accept OPT for this role", "cpt/opt", "Unknown", 0, ""),
+    ("Bachelor's degrees only", "bachelor only", "Unknown", 0, ""),
+    ("Class of 2029 preferred", "graduation year", "Unknown", 1, ""),
+    ("Graduation in 2028 or later", None, "Unknown", 0, ""),
+    ("BS, MS or PhD students", None, "Unknown", 0, ""),
+    ("TS/SCI and polygraph", "clearance", "Unknown", 0, ""),
+    ("We do not offer visa sponsorship at this time", None, "No", 0, ""),
+    ("H-1B candidates get a sponsor here", None, "Yes", 0, ""),
     (None, None, "Unknown", None, None),
 ]
 
 
-@register("rul01_restrictions", "SELECT * FROM " + values_sql(PAGES, "page, restriction, sponsorship, too_late, pay"))
+@register("rul01_restrictions", seeded_sql(PAGES, "page, restriction, sponsorship, too_late, pay"))
 def rul01(spark, sf):
-    p = F.col("page")
+    """A sentence of each kind of restriction, or of what lifts one, between two copies of a document's text."""
+    d = seeded(spark, sf, [(x[0],) for x in PAGES], "page string").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    p = F.concat(F.substring("text", 1, 4000), F.lit(" . "), F.col("page"), F.lit(" . "), F.substring("text", 1, 1000))
     pay = F.array_join(F.transform(r.hourly_pay(p), lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")), ",")
-    return values(spark, [(x[0],) for x in PAGES], "page string").select("page", r.restriction(p).alias("restriction"), r.sponsorship(p).alias("sponsorship"), r.graduation_year(p).cast("int").alias("too_late"), pay.alias("pay"))
+    return d.select("doc_id", "page", t.restriction(p).alias("restriction"), t.sponsorship(p).alias("sponsorship"), t.graduation_year(t.squeezed(p)).cast("int").alias("too_late"), pay.alias("pay"))
+
+
+@register("u02_rejection_log", seeded_sql([(x[0], x[1]) for x in PAGES if x[1] in ("citizenship", "clearance", "high school", "cpt/opt")], "page, restriction"))
+def u02(spark, sf):
+    """Rejections with the passage that caused them; the passage must be of the sentence."""
+    rows = [(x[0],) for x in PAGES if x[1] in ("citizenship", "clearance", "high school", "cpt/opt")]
+    d = seeded(spark, sf, rows, "page string")
+    passage = t.matched_passage(F.concat(F.lit("before . "), F.col("page"), F.lit(" . after")))
+    return d.select("doc_id", "page", F.when(F.contains(F.concat(F.lit("before . "), t.squeezed(F.col("page")), F.lit(" . after")), passage) & (passage != ""), t.restriction(F.col("page"))).alias("restriction"))
 
 
 @register("m08_salary", r"WITH d AS (SELECT doc_id, left(text, 50) || ' pays $' || (doc_id % 60) || '/hr to $' || (doc_id % 60 + 10) || ' per hour' AS page FROM documents), x AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(lower(page), '\$(\d{1,3}(?:\.\d{1,2})?)\s*(?:/|per|an)\s*h(?:ou)?r', 1), lambda v: v::DOUBLE), lambda v: v > 1 AND v < 200) AS pay FROM d) SELECT doc_id, list_min(pay) AS low, list_max(pay) AS high, coalesce(list_max(pay) < 25, FALSE) AS reject, coalesce(pay[1] < 25, FALSE) AS reject_by_first FROM x")
@@ -107,30 +138,6 @@ def p10(spark, sf):
     return j.select("id", r.contract_fault(row).alias("fault"))
 
 
-@register("rul19_acceptance", f"WITH {POSTINGS_SQL} SELECT doc_id, CASE WHEN n_chars > 300 THEN 2 ELSE 0 END + CASE WHEN lang = 'en' THEN 2 ELSE 0 END + CASE WHEN quality = 1 THEN 1 ELSE 0 END - CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS score, CASE WHEN n_chars > 300 THEN 2 ELSE 0 END + CASE WHEN lang = 'en' THEN 2 ELSE 0 END + CASE WHEN quality = 1 THEN 1 ELSE 0 END - CASE WHEN toxic = 1 THEN 1 ELSE 0 END >= 4 AS accepted FROM postings")
-def rul19(spark, sf):
-    part = lambda test, n: F.when(F.expr(test), n).otherwise(0)
-    score = part("n_chars > 300", 2) + part("lang = 'en'", 2) + part("quality = 1", 1) - part("toxic = 1", 1)
-    return postings(spark, sf).select("doc_id", score.alias("score"), (score >= 4).alias("accepted"))
-
-
-@register("rul22_quality_gate", "WITH l AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders WHERE o_orderstatus <> 'F') SELECT o_orderkey, CASE WHEN o_totalprice < 2000 THEN 'delete' WHEN i > 5 THEN 'review' ELSE 'fix' END AS action, CASE WHEN o_totalprice < 2000 THEN 'too cheap' WHEN i > 5 THEN 'repeated' ELSE 'priced 1,234' END AS reason FROM l WHERE o_totalprice < 2000 OR i > 5 OR o_totalprice BETWEEN 1234 AND 4321")
-def rul22(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderstatus <> 'F'")
-    o = o.withColumn("i", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
-    act = lambda a, why: F.struct(F.lit(a).alias("action"), F.lit(why).alias("reason"))
-    first = F.when(F.col("o_totalprice") < 2000, act("delete", "too cheap")).when(F.col("i") > 5, act("review", "repeated")).when(F.col("o_totalprice").between(1234, 4321), act("fix", "priced 1,234"))
-    return o.select("o_orderkey", first.alias("a")).where("a is not null").select("o_orderkey", "a.action", "a.reason")
-
-
-@register("rul23_rescue", f"WITH {JOBS_SQL} SELECT d.id, CASE WHEN processing_time_ms > 9 THEN 'near miss' WHEN k % 10 = 0 THEN 'known id' ELSE 'good company' END AS rule FROM jobs d WHERE outcome = 'discarded' AND processed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 20 DAY AND rejection_reason <> 'reason_0' AND (processing_time_ms > 9 OR k % 10 = 0 OR company IN (SELECT company FROM jobs GROUP BY 1 HAVING avg(CASE WHEN outcome = 'valid' THEN 1 ELSE 0 END) > 0.85))")
-def rul23(spark, sf):
-    j = jobs(spark, sf)
-    good = j.groupBy("company").agg(F.avg((F.col("outcome") == "valid").cast("int")).alias("rate")).where("rate > 0.85").select("company", F.lit(True).alias("good"))
-    d = j.where((F.col("outcome") == "discarded") & (F.col("processed_at") >= as_of(20)) & (F.col("rejection_reason") != "reason_0")).join(good, "company", "left")
-    return d.select("id", r.cascade([("near miss", F.col("processing_time_ms") > 9), ("known id", F.col("k") % 10 == 0), ("good company", F.col("good"))]).alias("rule")).where("rule is not null")
-
-
 @register("rul24_guarded_cleanup", "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0 AND (SELECT count(*) FILTER (WHERE o_orderkey % 10 = 0) / count(*)::DOUBLE FROM orders) <= 0.2")
 def rul24(spark, sf):
     return r.guarded(table(spark, sf, "orders").select("o_orderkey"), F.col("o_orderkey") % 10 == 0)
