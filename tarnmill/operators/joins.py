@@ -19,7 +19,7 @@ def dimension(df: DataFrame, rows: int = DIMENSION_ROWS) -> DataFrame:
 def first_duplicate_reason(rows: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:
     """rows with `duplicate_of`: the first of the keys, in order, whose value history holds; null keys never match.
 
-    One pass over the history for all keys: (key name, value) pairs are made distinct and joined once."""
+    The history is reduced to distinct (key, value) pairs; rows are joined with them once for each key."""
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(k).cast("string").alias("v")) for i, k in enumerate(keys)])).alias("p")
     known = history.select(pairs).select("p.*").where("v is not null").distinct()
     names = F.create_map(*[x for i, k in enumerate(keys) for x in (F.lit(i), F.lit(k))])
@@ -60,15 +60,54 @@ def prioritised(rows: DataFrame, facts: DataFrame, ways: list[tuple[str, str]],
     return out.select(*rows.columns, values.alias(value), by.alias("matched_by"))
 
 
-def nearest_string(rows: DataFrame, names: DataFrame, value: str, name: str, order: str, most: Column) -> DataFrame:
-    """rows with `nearest` and `edits`: the name of the fewest edits, at most `most`, ties to the first listed."""
-    near = rows.join(dimension(names), F.levenshtein(F.lower(value), F.lower(name)) <= most, "left")
-    best = F.min(F.when(F.col(name).isNotNull(), F.struct(F.levenshtein(F.lower(value), F.lower(name)).alias("e"), F.col(order).alias("o"), F.col(name).alias("n"))))
-    return near.groupBy(*[F.col(c) for c in rows.columns]).agg(best.alias("b")).select(*rows.columns, F.col("b.n").alias("nearest"), F.col("b.e").alias("edits"))
+def nearest_string(rows: DataFrame, names: DataFrame, value: str, name: str, order: str, most: Column, on: list[str] | None = None) -> DataFrame:
+    """rows with `nearest` and `edits`: the name of the fewest edits, at most `most`, ties to the first listed; with `on`,
+    of the names that are equal there. Each distinct value is resolved once and rows are joined to what came of it, so
+    repeated rows stay."""
+    on = on or []
+    wanted = rows.select(value, *on).where(F.col(value).isNotNull()).distinct()
+    edits = F.levenshtein(F.lower(value), F.lower(name))
+    listed = names.select(order, name, *on)
+    pairs = wanted.join(F.broadcast(listed) if listed.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS else listed, on) if on else wanted.crossJoin(dimension(listed))
+    best = pairs.where(edits <= most).groupBy(value, *on).agg(F.min(F.struct(edits.alias("e"), F.col(order).alias("o"), F.col(name).alias("n"))).alias("b"))
+    return rows.join(best, [value, *on], "left").select(*rows.columns, F.col("b.n").alias("nearest"), F.col("b.e").alias("edits"))
+
+
+def whole_words(a: Column, b: Column) -> Column:
+    """Whether two names are equal or one stands in the other as whole words, whatever their case."""
+    quoted = lambda x: F.regexp_replace(F.lower(x), r"([^\w\s])", r"\\$1")
+    inside = lambda x, y: F.regexp_like(F.lower(x), F.concat(F.lit(r"(?<![\w])"), quoted(y), F.lit(r"(?![\w])")))
+    return (F.lower(a) == F.lower(b)) | inside(a, b) | inside(b, a)
+
+
+def listed(rows: DataFrame, names: DataFrame, value: str, name: str, flag: str, least: int = 3) -> DataFrame:
+    """rows with a flag: whether their value equals a name in lower case, or begins or ends with one of over `least`
+    signs as words. The beginnings and ends of a value at its blanks are joined by equality: no product with the list."""
+    words = F.split(F.lower(F.trim(value)), r"\s+")
+    n = F.size(words)
+    cut = lambda a, k: F.array_join(F.slice(words, a, k), " ")
+    # parts of the value that begin or end it
+    parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda k: F.array(cut(F.lit(1), k), cut(n - k + 1, k)))))
+    wanted = rows.select(value).where(F.col(value).isNotNull()).distinct()
+    keyed = wanted.select(value, F.explode(parts).alias("__part"))
+    hits = keyed.join(names.select(F.lower(F.trim(name)).alias("__part")).distinct(), "__part").where((F.length("__part") > least) | (F.col("__part") == F.lower(F.trim(value)))).select(value).distinct()
+    return rows.join(hits.withColumn(flag, F.lit(True)), value, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def word_overlap(left: DataFrame, right: DataFrame, block: str, words: str, share: float = 0.5, least: int = 2) -> DataFrame:
-    """Pairs (left id, right id, shared) of one block with at least max(least, share * left words) words in common."""
-    joined = left.alias("l").join(right.alias("r"), block)
-    n = F.size(F.array_intersect(f"l.{words}", f"r.{words}"))
-    return joined.select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), n.alias("shared"), F.size(F.array_distinct(f"l.{words}")).alias("size")).where((F.col("shared") >= least) & (F.col("shared") >= share * F.col("size"))).drop("size")
+    """Pairs (left id, right id, shared) of one block with at least max(least, share * left words) words in common.
+
+    A left text of n words of which m have to be shared shares one of its n - m + 1 rarest with each partner: only these
+    are joined, and a pair counts where the first of them that is shared meets."""
+    df = right.select(F.explode(F.array_distinct(words)).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    each = left.select("id", block, F.explode(F.array_distinct(words)).alias("w")).join(df, "w")
+    ordered = each.groupBy("id", block).agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("ws"))
+    n = F.size("ws")
+    # words of the left that no right text has were dropped by the join and can't be shared; the share is of all words
+    total = left.select("id", F.size(F.array_distinct(words)).alias("size"))
+    a = ordered.join(total, "id").withColumn("need", F.greatest(F.lit(least), F.ceil(F.col("size") * share).cast("int"))).where(n >= F.col("need"))
+    a = a.withColumn("prefix", F.slice("ws", 1, n - F.col("need") + 1)).withColumn("w", F.explode("prefix"))
+    b = right.select(F.col("id").alias("right_id"), F.col(block).alias("b_block"), F.array_distinct(words).alias("b_ws")).withColumn("b_w", F.explode("b_ws"))
+    met = a.join(b, (F.col(block) == F.col("b_block")) & (F.col("w") == F.col("b_w"))).where(F.get(F.array_intersect("prefix", "b_ws"), 0) == F.col("w"))
+    shared = F.size(F.array_intersect("ws", "b_ws"))
+    return met.select(F.col("id").alias("left_id"), "right_id", shared.alias("shared"), "need").where(F.col("shared") >= F.col("need")).drop("need")

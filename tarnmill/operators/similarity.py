@@ -2,43 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnmill.functions.text import tokenize
 
 
-def term_weights(docs: DataFrame, id_col: str, text_col: str, extra: list[str] | None = None) -> DataFrame:
-    """(id, extra, term, weight): tf * (ln((n + 1) / (df + 1)) + 1), scaled to unit length, of texts with tokens."""
+def vectors(docs: DataFrame, id_col: str, text_col: str, extra: list[str] | None = None) -> DataFrame:
+    """(id, extra, v) of texts with tokens; v: structs (df, term, weight) from rare to common terms, of unit length, by
+    tf * (ln((n + 1) / (df + 1)) + 1). Terms are counted inside each text, so that the one shuffle of terms is for df."""
     keep = extra or []
     tokens = docs.select(F.col(id_col).alias("id"), *keep, tokenize(F.col(text_col)).alias("tokens")).where(F.size("tokens") > 0)
-    terms = tokens.select("id", *keep, F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    tf = terms.groupBy("id", *keep, "len", "term").agg(F.count("*").alias("c"))
-    n = tokens.agg(F.count("*").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    raw = tf.join(idf, "term").withColumn("x", F.col("c") / F.col("len") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))
-    return raw.select("id", *keep, "term", (F.col("x") / norm).alias("weight"))
-
-
-def similar_pairs(weights: DataFrame, least: float, block: str) -> DataFrame:
-    """(left_id, right_id, score) with left_id < right_id in one block and score >= least.
-
-    By prefix filtering: terms of a text are sorted from rare to common; two texts whose score reaches `least` share a
-    term before the point from which the squares of what is left sum to under least squared. So only rare terms are
-    joined for candidates, and a common term makes no product."""
-    docs = weights.groupBy("id", block).agg(F.sort_array(F.collect_list(F.struct("weight", "term")), asc=False).alias("v"))
-    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"])
-    docs = docs.withColumn("total", total)
-    # order common to all texts: by df, rarest first
-    df = weights.groupBy("term").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("id").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rest = F.sum(F.col("weight") * F.col("weight")).over(w)
-    prefix = weights.join(df, "term").withColumn("rest", rest).where(F.col("rest") >= least * least * (1 - 1e-9)).select("id", block, "term")
-    pairs = prefix.alias("a").join(prefix.alias("b"), (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id")))
-    pairs = pairs.select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
-    vector = lambda name, id_: docs.select(F.col("id").alias(id_), F.map_from_entries(F.transform("v", lambda x: F.struct(x["term"], x["weight"]))).alias(name))
-    scored = pairs.join(vector("x", "left_id"), "left_id").join(vector("y", "right_id"), "right_id")
-    dot = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("y", e["key"]), F.lit(0.0)))
-    return scored.withColumn("score", F.round(dot, 4)).where(F.col("score") >= least).select("left_id", "right_id", "score")
+    share = lambda t: F.size(F.filter("tokens", lambda x: x == t)) / F.size("tokens")
+    terms = tokens.select("id", *keep, F.explode(F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), share(t).alias("tf")))).alias("t"))
+    df = terms.groupBy("t.term").agg(F.count("*").alias("df"))
+    n = F.broadcast(tokens.agg(F.count("*").alias("n")))
+    idf = df.crossJoin(n).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    raw = terms.select("id", *keep, F.col("t.term").alias("term"), F.col("t.tf").alias("tf")).join(idf, "term")
+    grouped = raw.groupBy("id", *keep).agg(F.sort_array(F.collect_list(F.struct("df", "term", (F.col("tf") * F.col("idf")).alias("x")))).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e["x"] * e["x"]))
+    scaled = grouped.withColumn("norm", norm)
+    return scaled.select("id", *keep, F.transform("v", lambda e: F.struct(e["df"].alias("df"), e["term"].alias("term"), (e["x"] / F.col("norm")).alias("weight"))).alias("v"))
+
+
+def term_weights(docs: DataFrame, id_col: str, text_col: str, extra: list[str] | None = None) -> DataFrame:
+    """(id, extra, term, weight) of `vectors`."""
+    v = vectors(docs, id_col, text_col, extra)
+    return v.select("id", *(extra or []), F.explode("v").alias("e")).select("id", *(extra or []), "e.term", "e.weight")
+
+
+def _prefix(v: DataFrame, block: str, least: float) -> DataFrame:
+    """A row for each term of each text before the point from which the squares of what is left sum to under least squared."""
+    square = lambda e: e["weight"] * e["weight"]
+    rest = lambda i: F.aggregate(F.slice("v", i + 1, F.size("v")), F.lit(0.0), lambda s, e: s + square(e))
+    first = F.filter(F.transform("v", lambda e, i: F.struct(e["term"].alias("term"), rest(i).alias("rest"))), lambda t: t["rest"] >= least * least * (1 - 1e-9))
+    return v.select("id", block, "v", F.transform(first, lambda t: t["term"]).alias("prefix")).withColumn("term", F.explode("prefix"))
+
+
+def similar_pairs(v: DataFrame, least: float, block: str, mine=None) -> DataFrame:
+    """(left_id, right_id, score) with left_id < right_id in one block and score >= least, of `vectors`; or, with a
+    condition `mine` on ids, of left ids that meet it against right ids that don't.
+
+    By prefix filtering: two texts whose score reaches `least` share a term of both their prefixes, so only rare terms
+    are joined and a common term makes no product. Short texts carry their vectors along: a pair is scored where its
+    first common prefix term meets, and nothing is joined again or made distinct."""
+    p = _prefix(v, block, least)
+    a, b = (p, p) if mine is None else (p.where(mine), p.where(~mine))
+    side = lambda d, s: d.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", block, "v", "prefix", "term")])
+    met = (F.col(f"a_{block}") == F.col(f"b_{block}")) & (F.col("a_term") == F.col("b_term"))
+    pairs = side(a, "a").join(side(b, "b"), met & (F.col("a_id") < F.col("b_id")) if mine is None else met)
+    pairs = pairs.where(F.get(F.array_intersect("a_prefix", "b_prefix"), 0) == F.col("a_term"))
+    other = F.map_from_entries(F.transform("b_v", lambda e: F.struct(e["term"], e["weight"])))
+    dot = F.aggregate("a_v", F.lit(0.0), lambda s, e: s + e["weight"] * F.coalesce(F.try_element_at("b_map", e["term"]), F.lit(0.0)))
+    scored = pairs.withColumn("b_map", other).select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), F.round(dot, 4).alias("score"))
+    return scored.where(F.col("score") >= least)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnmill.functions.text import alnum_key, tokenize
-from tarnmill.operators.similarity import similar_pairs, term_weights
+from tarnmill.operators.similarity import similar_pairs, term_weights, vectors
 from tarnmill.plans.registry import register
 from tarnmill.plans.texts import STOP
 from tarnmill.sources.tables import TITLES_SQL, titles
@@ -19,8 +19,8 @@ _TOKENS = rf"""{TITLES_SQL}, tok AS (SELECT doc_id AS id, company, list_filter(s
  pairs AS (SELECT a.id AS left_id, b.id AS right_id, round(sum(a.weight * b.weight), 4) AS score FROM w a JOIN w b ON a.company = b.company AND a.term = b.term AND a.id < b.id GROUP BY 1, 2)"""
 
 
-def _weights(spark, sf):
-    return term_weights(titles(spark, sf), "doc_id", "title", ["company"])
+def _vectors(spark, sf):
+    return vectors(titles(spark, sf), "doc_id", "title", ["company"])
 
 
 @register("k07_keep_first", rf"WITH {TITLES_SQL}, r AS (SELECT doc_id, row_number() OVER (PARTITION BY {_K.format('title')} ORDER BY doc_id) AS i FROM titles) SELECT doc_id FROM r WHERE i = 1")
@@ -42,18 +42,18 @@ def k09(spark, sf):
 
 @register("m05_term_weights", rf"WITH {_TOKENS} SELECT id, term, round(weight, 4) AS weight FROM w")
 def m05(spark, sf):
-    return _weights(spark, sf).select("id", "term", F.round("weight", 4).alias("weight"))
+    return term_weights(titles(spark, sf), "doc_id", "title").select("id", "term", F.round("weight", 4).alias("weight"))
 
 
 @register("u09_near_duplicates", rf"WITH {_TOKENS} SELECT * FROM pairs WHERE score >= 0.85")
 def u09(spark, sf):
-    return similar_pairs(_weights(spark, sf), 0.85, "company")
+    return similar_pairs(_vectors(spark, sf), 0.85, "company")
 
 
 @register("srt03_similar_titles", rf"WITH {_TOKENS}, r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS i FROM pairs WHERE score >= 0.4) SELECT left_id, right_id, score FROM r WHERE i <= 5")
 def srt03(spark, sf):
     w = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
-    return similar_pairs(_weights(spark, sf), 0.4, "company").withColumn("i", F.row_number().over(w)).where("i <= 5").drop("i")
+    return similar_pairs(_vectors(spark, sf), 0.4, "company").withColumn("i", F.row_number().over(w)).where("i <= 5").drop("i")
 
 
 @register("u10_similarity_stats", rf"WITH {_TOKENS} SELECT (SELECT count(*) FROM tok WHERE len(t) > 0) AS docs, (SELECT count(DISTINCT term) FROM terms) AS vocabulary, (SELECT round(avg(len(t)), 3) FROM tok WHERE len(t) > 0) AS mean_tokens")
