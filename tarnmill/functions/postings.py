@@ -66,6 +66,14 @@ def is_technical(title: Column) -> Column:
     return low.rlike(r"computer science|software engineer") | (count(TECH) > count(OTHER))
 
 
+def early_career(title: Column) -> Column:
+    """Whether a title is for beginners: interns and new graduates always, entry level unless a word of rank is there."""
+    low = F.lower(title)
+    always = low.rlike(r"\b(?:intern|interns|internship|co-?op|new grad\w*|university graduate)\b")
+    entry = low.rlike(r"\b(?:entry[- ]level|early career|junior|associate|graduate|apprentice|trainee)\b")
+    return always | (entry & ~low.rlike(r"\b(?:senior|sr|staff|principal|lead|manager|director|head)\b"))
+
+
 def internship_fault(title: Column, page: Column) -> Column:
     low, text = F.lower(title), F.lower(F.substring(F.coalesce(page, F.lit("")), 1, 2000))
     return (

@@ -96,3 +96,14 @@ def board_slug(url: Column) -> Column:
     tenant = F.regexp_extract(F.lower(url), r"^https?://([a-z0-9-]+)\.(?:wd\d+\.)?myworkdayjobs\.com", 1)
     in_path = F.regexp_extract(F.lower(url), r"^https?://(?:boards|jobs|apply)\.[^/]+/([a-z0-9-]+)", 1)
     return F.coalesce(F.nullif(tenant, F.lit("")), F.nullif(in_path, F.lit("")))
+
+
+BOARD_HOSTS = r"greenhouse|lever\.co|myworkdayjobs|ashbyhq|smartrecruiters|workable|icims|jobvite|bamboohr|rippling"
+
+
+def is_posting(url: Column) -> Column:
+    """Whether a salvaged URL is a posting on a known board: a path or token of jobs, and none of the pages about them."""
+    low = F.lower(F.coalesce(url, F.lit("")))
+    jobs = low.rlike(r"/(?:jobs?|external|embed|postings?)/|token=|gh_jid=")
+    other = low.rlike(r"/(?:about|accessibility|article|blog|canada|contact|diversity|inclusion|introduceyourself|news|press|privacy|rewards|wellness)(?:[/?#]|$)")
+    return low.startswith("http") & low.rlike(BOARD_HOSTS) & jobs & ~other

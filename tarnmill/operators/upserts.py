@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -65,3 +65,12 @@ def ensure_tables(spark: SparkSession, schemas: dict[str, str], base: str) -> No
     """Creates empty Parquet tables that don't exist; existing ones stay."""
     for name, kinds in schemas.items():
         spark.createDataFrame([], kinds).write.mode("ignore").parquet(f"{base}/{name}")
+
+
+def sheet_layout(rows: DataFrame, reason: Column) -> DataFrame:
+    """Fact rows as rows of a sheet's tab, with a reason and defaults for what they don't hold."""
+    unknown = F.lit("Unknown")
+    return rows.select(
+        F.col("id").alias("serial"), reason.alias("reason"), "company", F.col("source").alias("title"), F.date_format("processed_at", "yyyy-MM-dd").alias("applied_on"), F.lit("").alias("url"), F.concat(F.lit("R-"), F.col("k").cast("string")).alias("job_id"),
+        unknown.alias("job_type"), unknown.alias("location"), F.lit("SDE").alias("resume"), unknown.alias("remote"), F.date_format("processed_at", "dd MMM, yyyy").alias("entry_date"), "source", unknown.alias("sponsorship"),
+    )

@@ -6,27 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnmill.functions import urls
-from tarnmill.functions.places import ABROAD, STATES, state
+from tarnmill.functions.places import abroad, in_us, state
+from tarnmill.functions.postings import early_career
 from tarnmill.operators.rules import cascade
 from tarnmill.plans.registry import register
-from tarnmill.plans.texts import values, values_sql
+from tarnmill.plans.texts import seeded, seeded_sql
 from tarnmill.sources.tables import AS_OF, JOBS_SQL, as_of, jobs, table
 
 
-@register(
-    "rul20_row_decision",
-    f"""WITH {JOBS_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY company, k ORDER BY processed_at, id) AS nth FROM jobs), d AS (SELECT id, CASE WHEN company IN ('C3', 'C5') THEN 'blacklisted company' WHEN k % 97 = 0 THEN 'bad id' WHEN nth > 1 THEN 'duplicate'
-    WHEN processed_at < TIMESTAMP '{AS_OF}' - INTERVAL 25 DAY THEN 'too old' WHEN processing_time_ms < 2 THEN 'no page' WHEN processing_time_ms < 10 THEN 'low pay' END AS reason FROM f) SELECT id, reason IS NULL AS accepted, reason FROM d""",
-)
-def rul20(spark, sf):
-    """Gates, dedup of a run, age and page checks in order; the first that holds rejects."""
-    nth = F.row_number().over(Window.partitionBy("company", "k").orderBy("processed_at", "id"))
-    f = jobs(spark, sf).withColumn("nth", nth)
-    ms = F.col("processing_time_ms")
-    reason = cascade([("blacklisted company", F.col("company").isin("C3", "C5")), ("bad id", F.col("k") % 97 == 0), ("duplicate", F.col("nth") > 1), ("too old", F.col("processed_at") < as_of(25)), ("no page", ms < 2), ("low pay", ms < 10)])
-    return f.select("id", reason.alias("reason")).select("id", F.col("reason").isNull().alias("accepted"), "reason")
-
-
 @register("k01_derived_dims", "SELECT c_custkey, CAST(lower(c_mktsegment) IN ('building', 'machinery') AS INTEGER) AS is_remote, CAST(lower(c_mktsegment) = 'building' AS INTEGER) AS is_sponsored, right(c_name || ', TX', 2) AS location_state FROM customer".replace("\\\\", "\\"))
 def k01(spark, sf):
     s = F.lower("c_mktsegment")
@@ -44,32 +31,44 @@ def p07(spark, sf):
     return table(spark, sf, "events").where(F.col("ts").isNull() | (F.col("ts") <= F.lit("2024-01-15").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY"))).select("event_id")
 
 
-@register("p09_aliases", "SELECT * FROM " + values_sql([(1, "Acme", "Dev", "Remote"), (2, "Beta", "Unknown", "Unknown"), (3, "Unknown", "Ops", "Yes")], "id, company, title, remote"))
+@register("p09_aliases", seeded_sql([("{w}", "Dev", "Remote"), ("Beta {w}", "Unknown", "Unknown"), ("Unknown", "{w}", "Yes")], "company, title, remote"))
 def p09(spark, sf):
-    rows = values(spark, [(1, "Acme", None, None, "Dev", None, "Remote"), (2, None, " Beta ", None, None, "", None), (3, "", None, "Ops", "x", "Yes", None)], "id int, company string, co string, title string, ti string, remote string, remote_status string")
+    rows = seeded(spark, sf, [("{w}", None, None, "Dev", None, "Remote"), (None, " Beta {w} ", None, None, "", None), ("", None, "{w}", "x", "Yes", None)], "company string, co string, title string, ti string, remote string, remote_status string")
     pick = lambda *c: F.coalesce(*[F.nullif(F.trim(x), F.lit("")) for x in c], F.lit("Unknown"))
-    return rows.select("id", pick("company", "co").alias("company"), pick("title", "ti").alias("title"), pick("remote", "remote_status").alias("remote"))
+    return rows.select("doc_id", pick("company", "co").alias("company"), pick("title", "ti").alias("title"), pick("remote", "remote_status").alias("remote"))
 
 
-_US = "|".join(STATES)
-PLACES = [("Austin, TX", 1), ("Unknown", 1), (None, 1), ("Berlin, Germany", 0), ("ohio", 1), ("Mars", 0), ("Remote (USA)", 1), ("Toronto, Canada, ON", 0)]
+PLACES = [
+    ("Austin, TX {w}", 1), ("Unknown", 1), (None, 1), ("Berlin, Germany {w}", 0), ("{w}, Ohio", 1), ("{w}", 0), ("Remote (USA) {w}", 1), ("Toronto, Canada, ON", 0), ("Munich, DE", 0), ("Hyderabad, IN", 0), ("Dublin, CA", 1), ("Paris, TX", 1),
+    ("Vancouver, WA", 1), ("Vancouver, BC", 0), ("Wilmington, DE", 1), ("{w}, Colorado", 1), ("{w}, Wyoming", 1), ("{w}, Puerto Rico", 1), ("Sydney", 0), ("Singapore", 0), ("{w} Denver", 1), ("US-NM-{w}", 1), ("{w}, Quebec", 0), ("London", 0), ("London, KY", 1),
+]
 
 
-@register("p19_us_places", "SELECT * FROM " + values_sql(PLACES, "place, us"))
+@register("p19_us_places", seeded_sql(PLACES, "place, us"))
 def p19(spark, sf):
-    low = F.lower(F.coalesce("place", F.lit("")))
-    us = F.when(low.isin("", "unknown"), True).when(low.rlike("|".join(ABROAD)), False).otherwise(low.rlike(_US + r"|\busa?\b|united states") | (state(F.col("place")) != ""))
-    return values(spark, [(p,) for p, _ in PLACES], "place string").select("place", us.cast("int").alias("us"))
+    return seeded(spark, sf, [(p,) for p, _ in PLACES], "place string").select("doc_id", "place", in_us(F.col("place")).cast("int").alias("us"))
 
 
-TITLES = [("Software Intern", 1), ("Senior Intern Program", 1), ("Senior New Grad Lead", 0), ("New Grad Engineer", 1), ("Engineer", 0)]
+TITLES = [("Software Intern {w}", 1), ("Senior Intern Program {w}", 1), ("Senior Graduate Lead {w}", 0), ("New Grad {w} Engineer", 1), ("{w} Engineer", 0), ("Senior New Grad {w}", 1), ("Entry Level {w}", 1), ("Lead {w}, entry level", 0), ("Co-op {w}", 1), ("Internal {w}", 0)]
 
 
-@register("p20_intern_filter", "SELECT * FROM " + values_sql(TITLES, "title, kept"))
+@register("p20_intern_filter", seeded_sql(TITLES, "title, kept"))
 def p20(spark, sf):
-    low = F.lower("title")
-    kept = low.rlike(r"intern|new grad|co-?op") & (low.rlike(r"\bintern(ship)?\b") | ~low.rlike(r"senior|lead|staff"))
-    return values(spark, [(t,) for t, _ in TITLES], "title string").select("title", kept.cast("int").alias("kept"))
+    return seeded(spark, sf, [(t,) for t, _ in TITLES], "title string").select("doc_id", "title", early_career(F.col("title")).cast("int").alias("kept"))
+
+
+ABROAD_CASES = [
+    ("Toronto, ON, Canada", "{w}", "https://a.com/", "place: canada"), ("London", "{w}", "https://{l}.co.uk/jobs", "url: united kingdom"), ("Boston, MA", "{w}", "https://{l}.com/", None), ("Unknown", "Software Intern - Germany", "https://{l}.com/", "title: germany"), ("Munich, DE", "{w}", "https://{l}.com/", "place: germany"),
+    ("Dublin, OH", "{w}", "https://{l}.com/", None), ("Sydney, Australia", "{w}", "https://{l}.com/", "place: australia"), ("Singapore", "{w}", "https://{l}.com/", "place: singapore"), ("Vancouver, BC", "{w}", "https://{l}.com/", "place: canada"), ("Peterborough CAN", "{w}", "https://{l}.com/", "place: canada"),
+    ("{w}, Saskatchewan", "{w}", "https://{l}.com/", "place: canada"), ("Denver, Colorado", "{w}", "https://{l}.com/", None), ("Kraków", "{w}", "https://{l}.com/", "place: poland"), (None, "{w}", "https://{l}.com/", None), ("{w}", "Intern, Poland ({w})", "https://{l}.com/", "title: poland"), ("{w}", "{w}", "https://{l}.ca/jobs", "url: canada"), ("Wilmington, DE", "{w}", "https://{l}.com/", None),
+]
+
+
+@register("p21_abroad", seeded_sql(ABROAD_CASES, "place, title, url, reason"))
+def p21(spark, sf):
+    """Why a posting is abroad by title, site, and place."""
+    d = seeded(spark, sf, [x[:3] for x in ABROAD_CASES], "place string, title string, url string")
+    return d.select("doc_id", "place", "title", "url", abroad(F.col("place"), F.col("title"), F.col("url")).alias("reason"))
 
 
 @register("p25_learned_words", "WITH w AS (SELECT DISTINCT lower(split_part(p_name, ' ', 2)) AS w FROM part WHERE p_partkey % 400 = 1) SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM w WHERE w <> '' AND contains(lower(p_name), w))")
@@ -192,11 +191,3 @@ def stm15(spark, sf):
 def stm17(spark, sf):
     bounces = F.count_if(F.col("outcome") == "reviewed")
     return jobs(spark, sf).groupBy("company", "source").agg(bounces.alias("bounces"), F.max_by("outcome", F.struct("processed_at", "id")).alias("last_outcome"), (bounces < 2).alias("usable"))
-
-
-@register("rul25_address_verdict", f"WITH {JOBS_SQL} SELECT id, CASE WHEN k % 11 = 0 THEN 0 WHEN k % 7 = 0 THEN 95 WHEN k % 5 = 0 THEN 60 WHEN k % 3 = 0 THEN 40 ELSE 20 END AS confidence, CASE WHEN k % 11 = 0 THEN 'bounced before' WHEN k % 7 = 0 THEN 'confirmed' WHEN k % 5 = 0 THEN 'pattern' WHEN k % 3 = 0 THEN 'catch-all' ELSE 'guess' END AS status, k % 11 <> 0 AND (k % 7 = 0 OR k % 5 = 0) AS send_ok FROM jobs")
-def rul25(spark, sf):
-    k = F.col("k")
-    v = lambda c, s, ok: F.struct(F.lit(c).alias("confidence"), F.lit(s).alias("status"), F.lit(ok).alias("send_ok"))
-    verdict = F.when(k % 11 == 0, v(0, "bounced before", False)).when(k % 7 == 0, v(95, "confirmed", True)).when(k % 5 == 0, v(60, "pattern", True)).when(k % 3 == 0, v(40, "catch-all", False)).otherwise(v(20, "guess", False))
-    return jobs(spark, sf).select("id", verdict.alias("v")).select("id", "v.*")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnmill.functions import html, urls
 from tarnmill.functions.text import squeeze
 from tarnmill.plans.registry import register
-from tarnmill.plans.texts import values, values_sql
+from tarnmill.plans.texts import seeded, seeded_sql
 from tarnmill.sources.tables import table
 
 
@@ -53,23 +53,23 @@ def col01(spark, sf):
     return vote(c, "page_id")
 
 
-LD = '<html><meta property="og:title" content="Dev &amp; Ops"><script type="application/ld+json">{"title":"Dev","hiringOrganization":{"name":"Acme"},"jobLocation":{"address":{"addressLocality":"Reno"}},"identifier":{"value":"R-7"}}</script></html>'
+LD = '<html><meta property="og:title" content="{w} &amp; Ops"><script type="application/ld+json">{"title":"{w} dev","hiringOrganization":{"name":"{w}"},"jobLocation":{"address":{"addressLocality":"Reno"}},"identifier":{"value":"R-7"}}</script></html>'
 
 
-@register("col06_json_ld_meta", "SELECT * FROM " + values_sql([(1, "Dev", "Acme", "Reno", "R-7", "Dev &amp; Ops"), (2, None, None, None, None, None)], "id, title, company, city, job_id, og"))
+@register("col06_json_ld_meta", seeded_sql([("{w} dev", "{w}", "Reno", "R-7", "{w} &amp; Ops"), (None, None, None, None, None)], "title, company, city, job_id, og"))
 def col06(spark, sf):
-    p = values(spark, [(1, LD), (2, "<p>none</p>")], "id int, html string")
+    p = seeded(spark, sf, [(LD,), ("<p>{w}</p>",)], "html string")
     j = html.json_ld(F.col("html"))
-    return p.select("id", j["title"].alias("title"), j["company"].alias("company"), j["city"].alias("city"), j["id"].alias("job_id"), html.meta(F.col("html"), "og:title").alias("og"))
+    return p.select("doc_id", j["title"].alias("title"), j["company"].alias("company"), j["city"].alias("city"), j["id"].alias("job_id"), html.meta(F.col("html"), "og:title").alias("og"))
 
 
-TABLES = '<h2>Software</h2><table><tr><th>C</th></tr><tr> <td>Acme</td> <td>Dev <b>I</b></td> <td class="l"><a href="https://x/1">go</a></td> </tr> <tr class="odd"><td>B &amp; C</td><td>QA</td><td id="e"></td></tr></table><h2>Data</h2><table><tr><td>D</td></tr></table>'
+TABLES = '<h2>Software</h2><table><tr><th>C</th></tr><tr> <td>{w}</td> <td>Dev <b>{l}</b></td> <td class="l"><a href="https://x/1">go</a></td> </tr> <tr class="odd"><td>B &amp; C</td><td>QA</td><td id="e"></td></tr></table><h2>Data</h2><table><tr><td>D</td></tr></table>'
 
 
-@register("col16_html_tables", "SELECT * FROM " + values_sql([(1, "Software", "Acme|Dev I|go", "https://x/1"), (1, "Software", "B & C|QA|", ""), (1, "Data", "D", "")], "id, section, row, url"))
+@register("col16_html_tables", seeded_sql([("Software", "{w}|Dev {l}|go", "https://x/1"), ("Software", "B & C|QA|", ""), ("Data", "D", "")], "section, row, url", of=[0, 0, 0], n=2))
 def col16(spark, sf):
-    p = values(spark, [(1, TABLES), (2, None)], "id int, html string")
-    return html.table_rows(p, "id", "html").select("id", "section", F.array_join("cells", "|").alias("row"), "url")
+    p = seeded(spark, sf, [(TABLES,), (None,)], "html string")
+    return html.table_rows(p, "doc_id", "html").select("doc_id", "section", F.array_join("cells", "|").alias("row"), "url")
 
 
 @register("url05_reconcile", r"WITH p AS (SELECT page_id, split_part(regexp_extract(lower(url), '^https?://([^/:?#]+)', 1), '.', 1) AS co, 'h' || (page_id % 2) AS given FROM pages) SELECT page_id, co AS company, given AS was FROM p WHERE co <> given")
