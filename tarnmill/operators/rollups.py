@@ -32,29 +32,36 @@ def share_of(rows: DataFrame, key: str, whole: DataFrame, most: int | None = Non
     return out.orderBy(F.desc("count"), F.asc(key)).limit(most) if most else out
 
 
+#: Half the share of rows that a bracket around a rank holds, and rows up to which there is no bracket.
+BRACKET, FEW = 1e-4, 100_000
+
+
 def indexed_percentiles(rows: DataFrame, value: str, points: dict[str, float], small: int = 100) -> DataFrame:
     """One row with the element of rank int(n * p), counted from 0, for each point, and count. Points of 0.99 and
     above give the last element up to `small` rows. Zeros without rows.
 
-    Ranks are found by counts of distinct values, which are aggregated before the running sum, so that no task holds
-    more than the distinct values of a range; equal values need no order."""
+    A first aggregation brackets each rank by approximate quantiles, whose error is a tenth of the bracket; a second
+    counts what lies below each bracket and the distinct values in it, so that a few values in ten thousand are shuffled
+    and ordered, and the result is exact. Up to FEW rows all lie in the bracket."""
     from pyspark.sql import Window
 
-    counted = rows.where(F.col(value) > 0).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    # the running sum goes over ranges: sums of the ranges before, then a sum within each
-    # never null, so that no filter on it tells the two uses of the counts apart: their shuffle is reused
-    bucket = F.coalesce(F.floor(F.log2(F.col("v")) * 16), F.lit(-(10**6)).cast("long"))
-    counted = counted.withColumn("b", bucket)
-    sums = counted.groupBy("b").agg(F.sum("n").alias("s"))
-    before = sums.select("b", (F.sum("s").over(Window.orderBy("b")) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy(F.lit(0))).alias("all"))
-    ranked = counted.join(F.broadcast(before), "b").withColumn("upto", F.sum("n").over(Window.partitionBy("b").orderBy("v")) + F.col("before"))
+    valid = rows.where(F.col(value) > 0).select(F.col(value).alias("v"))
+    ends = [min(1.0, max(0.0, p + side)) for p in points.values() for side in (-BRACKET, BRACKET)]
+    around = F.broadcast(valid.agg(F.count("*").alias("all"), F.percentile_approx("v", ends, int(10 / BRACKET)).alias("q")))
+    both = valid.crossJoin(around)
+    place = lambda i: F.when(F.col("all") <= FEW, 0).when(F.col("v") < F.col("q")[2 * i], -1).when(F.col("v") > F.col("q")[2 * i + 1], 1).otherwise(0)
+    # below a bracket one row a point; inside one a row for each value; above nothing
+    parts = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), place(i).alias("at")) for i in range(len(points))]), lambda x: x["at"] <= 0)
+    each = both.select("v", "all", F.explode(parts).alias("p")).select("all", "p.i", F.when(F.col("p.at") == 0, F.col("v")).alias("v"))
+    counted = each.groupBy("i", "v", "all").agg(F.count("*").alias("n"))
+    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy(F.col("v").asc_nulls_first())))
     picks = []
-    for name, p in points.items():
+    for i, (name, p) in enumerate(points.items()):
         rank = F.floor(F.col("all") * F.lit(p))
         if p >= 0.99:
             rank = F.when(F.col("all") > small, rank).otherwise(F.col("all") - 1)
-        picks.append(F.coalesce(F.min(F.when(F.col("upto") > rank, F.col("v"))), F.lit(0.0)).alias(name))
-    return ranked.agg(*picks, F.coalesce(F.sum("n"), F.lit(0)).alias("count"))
+        picks.append(F.coalesce(F.min(F.when((F.col("i") == i) & (F.col("upto") > rank), F.col("v"))), F.lit(0.0)).alias(name))
+    return upto.agg(*picks, F.coalesce(F.max("all"), F.lit(0)).alias("count"))
 
 
 def weekly(rows: DataFrame, day: str) -> DataFrame:

@@ -2,34 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FAILURES_TO_OPEN, SECONDS_OPEN, SUCCESSES_TO_CLOSE = 5, 60, 2
 
 
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(key, whether a new key begins, columns) of stretches of one key in rows sorted by the first column."""
+    last, begun = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0)
+        text = np.array(key.cast(pa.string()).to_pylist(), object)
+        cuts = [0, *(np.flatnonzero(text[1:] != text[:-1]) + 1).tolist(), len(text)]
+        for f, l in zip(cuts, cuts[1:]):
+            yield key[f], not begun or text[f] != last, [c.slice(f, l - f) for c in batch.columns[1:]]
+            last, begun = text[f], True
+
+
 def breaker(events: DataFrame, key: str, at: str, ok: str, failures: int = FAILURES_TO_OPEN, seconds: float = SECONDS_OPEN, successes: int = SUCCESSES_TO_CLOSE) -> DataFrame:
     """(key, state, failures, trips): where a circuit breaker stands after all events of a key in order.
 
     closed -> open after `failures` failures in a row; open -> half open at the first event `seconds` later, which is
-    let through; half open -> closed after `successes` successes, -> open at a failure. Events while open are refused."""
-    seq = F.sort_array(F.collect_list(F.struct(F.col(at).cast("timestamp").cast("double").alias("t"), F.col(ok).cast("int").alias("ok"))))
-    start = F.struct(F.lit("closed").alias("s"), F.lit(0).alias("f"), F.lit(0).alias("n"), F.lit(0.0).alias("since"), F.lit(0).alias("trips"))
-
-    def make(s, f, n, since, trips):
-        return F.struct(s.alias("s"), f.alias("f"), n.alias("n"), since.alias("since"), trips.alias("trips"))
-
-    def step(a: Column, e: Column) -> Column:
-        state = F.when((a["s"] == "open") & (e["t"] - a["since"] >= seconds), "half").otherwise(a["s"])
-        zero, good = F.lit(0), e["ok"] == 1
-        opened = make(F.lit("open"), zero, zero, e["t"], a["trips"] + 1)
-        closed = F.when(good, make(F.lit("closed"), zero, zero, a["since"], a["trips"])).when(a["f"] + 1 >= failures, opened).otherwise(make(F.lit("closed"), a["f"] + 1, zero, a["since"], a["trips"]))
-        n = F.when(a["s"] == "half", a["n"]).otherwise(zero) + 1
-        half = F.when(~good, opened).when(n >= successes, make(F.lit("closed"), zero, zero, a["since"], a["trips"])).otherwise(make(F.lit("half"), zero, n, a["since"], a["trips"]))
-        return F.when(state == "open", a).when(state == "half", half).otherwise(closed)
-
-    out = events.groupBy(key).agg(seq.alias("seq")).select(key, F.aggregate("seq", start, step).alias("a"))
-    return out.select(key, F.col("a.s").alias("state"), F.col("a.f").alias("failures"), F.col("a.trips").alias("trips"))
+    let through; half open -> closed after `successes` successes, -> open at a failure. Events while open are refused.
+
+    A machine has to see its events in order, so the events of a key are one stream of a sorted partition; it is folded
+    batch by batch, and no more than a batch and the state are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, f, n, since, trips, own = "closed", 0, 0, 0.0, 0, None
+        out = lambda: pa.record_batch([pa.array([own.as_py()], own.type), pa.array([state]), pa.array([f], pa.int32()), pa.array([trips], pa.int32())], names=[key, "state", "failures", "trips"])
+        for name, new, (times, goods) in _streams(batches):
+            if new:
+                if own is not None:
+                    yield out()
+                state, f, n, since, trips, own = "closed", 0, 0, 0.0, 0, name
+            for t, good in zip(times.to_pylist(), goods.to_pylist()):
+                if state == "open":
+                    if t - since < seconds:
+                        continue
+                    state, n = "half", 0
+                if state == "closed":
+                    f = 0 if good else f + 1
+                    if f >= failures:
+                        state, f, since, trips = "open", 0, t, trips + 1
+                elif not good:
+                    state, n, since, trips = "open", 0, t, trips + 1
+                else:
+                    n += 1
+                    if n >= successes:
+                        state, n = "closed", 0
+        if own is not None:
+            yield out()
+
+    rows = events.where(F.col(key).isNotNull()).select(key, F.col(at).cast("timestamp").cast("double").alias("t"), F.col(ok).cast("boolean").alias("ok"))
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.repartition(key).sortWithinPartitions(key, "t", "ok").mapInArrow(run, f"{key} {kind}, state string, failures int, trips int")
 
 
 def failures_in_a_row(events: DataFrame, key: str, order: list[str], ok: Column) -> DataFrame:
@@ -50,10 +84,27 @@ def retry_due(queue: DataFrame, as_of: Column, hours: dict[str, int], other: int
 
 
 def cooled_down(alerts: DataFrame, key: str, at: str, hours: int) -> DataFrame:
-    """Alerts that are sent: each at least `hours` after the last one sent of its key."""
-    times = F.array_sort(F.collect_list(at))
-    kept = F.aggregate(times, F.array().cast(f"array<{alerts.schema[at].dataType.simpleString()}>"), lambda s, t: F.when((F.size(s) == 0) | (F.timestamp_diff("SECOND", F.try_element_at(s, F.lit(-1)), t) >= hours * 3600), F.array_append(s, t)).otherwise(s))
-    return alerts.groupBy(key).agg(kept.alias("t")).select(key, F.explode("t").alias(at))
+    """Alerts that are sent: each at least `hours` after the last one sent of its key. A stream of a sorted partition,
+    in which each step jumps to the next time that is late enough."""
+    gap = hours * 3_600_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for name, new, (times,) in _streams(batches):
+            t = times.cast(pa.int64()).to_numpy()
+            last = None if new else last
+            picked, i = [], 0
+            while i < len(t):
+                i = i if last is None else max(i, int(np.searchsorted(t, last + gap)))
+                if i < len(t):
+                    last = int(t[i])
+                    picked.append(i)
+                    i += 1
+            if picked:
+                yield pa.record_batch([pa.array([name.as_py()] * len(picked), name.type), times.take(pa.array(picked))], names=[key, at])
+
+    rows = alerts.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at)
+    return rows.repartition(key).sortWithinPartitions(key, at).mapInArrow(run, rows.schema)
 
 
 def within_ttl(rows: DataFrame, at: str, as_of: Column, days: int) -> DataFrame:

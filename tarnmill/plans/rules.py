@@ -151,7 +151,7 @@ def p29(spark, sf):
     return j.where("outcome = 'reviewed'").join(kept, "company", "left_anti").select("id", age.alias("age")).where("age >= 2")
 
 
-@register("rul26_confidence", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, CASE WHEN l_quantity * 2 >= 75 THEN 'High' WHEN l_quantity * 2 >= 50 THEN 'Medium' ELSE 'Low' END AS label FROM lineitem WHERE l_orderkey % 50 = 0")
+@register("rul26_confidence", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, CASE WHEN l_quantity * 2 >= 75 THEN 'High' WHEN l_quantity * 2 >= 50 THEN 'Medium' ELSE 'Low' END AS label FROM lineitem")
 def rul26(spark, sf):
     n = F.col("l_quantity") * 2
-    return table(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.when(n >= 75, "High").when(n >= 50, "Medium").otherwise("Low").alias("label"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.when(n >= 75, "High").when(n >= 50, "Medium").otherwise("Low").alias("label"))

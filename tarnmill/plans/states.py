@@ -8,19 +8,19 @@ from tarnmill.operators import state as s
 from tarnmill.plans.registry import register
 from tarnmill.sources.tables import AS_OF, JOBS_SQL, as_of, jobs, table
 
-_BREAKER = f"""WITH RECURSIVE {JOBS_SQL}, e AS (SELECT source, epoch_us(processed_at) / 1e6 AS t, (processing_time_ms >= 30)::INT AS ok, row_number() OVER (PARTITION BY source ORDER BY processed_at, (processing_time_ms >= 30)::INT) AS i FROM jobs WHERE id % 5 = 0),
- f AS (SELECT source, 0::BIGINT AS i, 'closed' AS s, 0 AS f, 0 AS n, 0.0::DOUBLE AS since, 0 AS trips FROM (SELECT DISTINCT source FROM e)
- UNION ALL SELECT source, i, CASE WHEN st = 'open' THEN s WHEN st = 'half' THEN CASE WHEN ok = 0 THEN 'open' WHEN hn >= 2 THEN 'closed' ELSE 'half' END ELSE CASE WHEN ok = 1 THEN 'closed' WHEN f + 1 >= 5 THEN 'open' ELSE 'closed' END END,
+_BREAKER = f"""WITH RECURSIVE {JOBS_SQL}, e AS (SELECT company, epoch_us(processed_at) / 1e6 AS t, (processing_time_ms >= 30)::INT AS ok, row_number() OVER (PARTITION BY company ORDER BY processed_at, (processing_time_ms >= 30)::INT) AS i FROM jobs),
+ f AS (SELECT company, 0::BIGINT AS i, 'closed' AS s, 0 AS f, 0 AS n, 0.0::DOUBLE AS since, 0 AS trips FROM (SELECT DISTINCT company FROM e)
+ UNION ALL SELECT company, i, CASE WHEN st = 'open' THEN s WHEN st = 'half' THEN CASE WHEN ok = 0 THEN 'open' WHEN hn >= 2 THEN 'closed' ELSE 'half' END ELSE CASE WHEN ok = 1 THEN 'closed' WHEN f + 1 >= 5 THEN 'open' ELSE 'closed' END END,
    CASE WHEN st = 'open' THEN f WHEN st = 'half' OR ok = 1 OR f + 1 >= 5 THEN 0 ELSE f + 1 END, CASE WHEN st = 'open' THEN n WHEN st = 'half' AND ok = 1 AND hn < 2 THEN hn ELSE 0 END,
    CASE WHEN (st = 'half' AND ok = 0) OR (st = 'closed' AND ok = 0 AND f + 1 >= 5) THEN t ELSE since END, trips + CASE WHEN (st = 'half' AND ok = 0) OR (st = 'closed' AND ok = 0 AND f + 1 >= 5) THEN 1 ELSE 0 END
- FROM (SELECT f.source, e.i, f.s, f.f, f.n, f.since, f.trips, e.t, e.ok, CASE WHEN f.s = 'open' AND e.t - f.since >= 3600 THEN 'half' ELSE f.s END AS st, CASE WHEN f.s = 'half' THEN f.n ELSE 0 END + 1 AS hn FROM f JOIN e ON e.source = f.source AND e.i = f.i + 1))
- SELECT source, s AS state, f AS failures, trips FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY i DESC) = 1"""
+ FROM (SELECT f.company, e.i, f.s, f.f, f.n, f.since, f.trips, e.t, e.ok, CASE WHEN f.s = 'open' AND e.t - f.since >= 3600 THEN 'half' ELSE f.s END AS st, CASE WHEN f.s = 'half' THEN f.n ELSE 0 END + 1 AS hn FROM f JOIN e ON e.company = f.company AND e.i = f.i + 1))
+ SELECT company, s AS state, f AS failures, trips FROM f QUALIFY row_number() OVER (PARTITION BY company ORDER BY i DESC) = 1"""
 
 
 @register("stm06_breaker", _BREAKER)
 def stm06(spark, sf):
-    e = jobs(spark, sf).where("id % 5 = 0").select("source", "processed_at", (F.col("processing_time_ms") >= 30).alias("ok"))
-    return s.breaker(e, "source", "processed_at", "ok", seconds=3600)
+    e = jobs(spark, sf).select("company", "processed_at", (F.col("processing_time_ms") >= 30).alias("ok"))
+    return s.breaker(e, "company", "processed_at", "ok", seconds=3600)
 
 
 @register("stm07_daily_breaker", f"WITH {JOBS_SQL} SELECT source, CAST(processed_at AS DATE) AS day, count(*) AS sent, count(*) FILTER (WHERE outcome = 'reviewed') AS bounced, (count(*) FILTER (WHERE outcome = 'reviewed') >= 2 AND count(*) FILTER (WHERE outcome = 'reviewed') >= 0.03 * count(*)) OR count(*) >= 120 AS tripped FROM jobs GROUP BY 1, 2")
