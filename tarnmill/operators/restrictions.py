@@ -6,6 +6,7 @@ white space squeezed, and whole."""
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,11 +22,18 @@ _COMPUTING = r"computer|software|information (?:technology|systems)|data science
 _GRADUATES = r"\bmaster(?:'?s)?\b|\bgraduate\b|\bgrad student|\bms/phd|\bm\.s\.|\bms degree|\bor ms\b|advanced degree|higher degree|or higher"
 
 
+def mentions(low: Column, words: str) -> Column:
+    """Whether a text holds any of the plain strings (parted by |)."""
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words.split("|")])
+
+
 @dataclass
 class Check:
-    """Any of `wordings`, unless `lifted` occurs within `around` signs of it or `never` anywhere in the text."""
+    """Any of `wordings`, unless `lifted` occurs within `around` signs of it or `never` anywhere in the text. Each wording
+    holds one of the plain strings `needs`: texts without any, which are most, are told by these alone."""
 
     reason: str
+    needs: str
     wordings: list[str]
     lifted: str | None = None
     around: int = 500
@@ -36,47 +44,60 @@ class Check:
         self.pattern = "(?:" + "|".join(self.wordings) + ")"
 
     def holds(self, low: Column) -> Column:
-        if self.lifted is None:
-            found = low.rlike(self.pattern)
-        else:
-            near = F.regexp_extract_all(low, F.lit(f"(?s).{{0,{self.around}}}?{self.pattern}.{{0,{self.around}}}"), F.lit(0))
-            found = F.exists(near, lambda c: ~c.rlike(self.lifted))
+        found = mentions(low, self.needs) & low.rlike(self.pattern)
+        if self.lifted is not None:  # what is around passages is cut out for the few texts that hold one
+            found = found & F.exists(self._contexts(low), lambda c: ~c.rlike(self.lifted))
         return found & ~low.rlike(self.never) if self.never else found
 
+    def _contexts(self, low: Column) -> Column:
+        """What is around each passage: passages and what lies between them give the places."""
+        between = F.transform(F.split(low, self.pattern, -1), F.length)
+        lengths = F.transform(F.regexp_extract_all(low, F.lit(self.pattern), F.lit(0)), F.length)
+        total = lambda c, n: F.aggregate(F.slice(c, 1, n), F.lit(0), lambda s, x: s + x)
+
+        def cut(length: Column, i: Column) -> Column:
+            start = total(between, i + 1) + total(lengths, i)
+            first = F.greatest(F.lit(0), start - self.around)
+            return F.substring(low, first + 1, start + length + self.around - first)
+
+        return F.transform(lengths, cut)
+
     def passage(self, low: Column) -> Column:
         """The first passage with 60 signs on either side, for a log."""
-        return F.regexp_extract(low, f"(?s).{{0,60}}?{self.pattern}.{{0,60}}", 0)
+        at = F.regexp_instr(low, F.lit(self.pattern))
+        first = F.greatest(F.lit(1), at - 60)
+        return F.substring(low, first, at - first + F.length(F.regexp_extract(low, self.pattern, 0)) + 60)
 
 
-CLEARANCE = Check("clearance", [
+CLEARANCE = Check("clearance", "clearance|ts/sci|polygraph|top secret|dod secret|itar|eligible|export", [
     r"\bclearance\b.{0,60}\b(?:required|preferred|needed|eligib\w+)", r"\b(?:obtain|acquire|get|hold|maintain|possess)(?:ing|s)?\b.{0,60}\bclearance\b", r"\b(?:eligib\w+|able|ability)\b.{0,60}\bclearance\b", r"\bcitizen\w*\b.{0,80}\bclearance\b",
     r"\b(?:active|current|secret|security) clearance\b", r"\bts/sci\b|\bpolygraph\b|\btop secret\b|\bdod secret\b", r"\bitar\b.{0,60}\b(?:complian\w+|eligib\w+|required|restrict\w+)", r"\bear ?/ ?itar\b|\bear[- ]eligible\b",
     r"\bexport[- ]controlled\b.{0,40}\b(?:information|technolog\w+|data|items)", r"\bexport control\w*\b.{0,60}\b(?:required|complian\w+|restrict\w+)", rf"\b{_US} export control", r"\bexport administration regulations\b",
 ])
-CITIZENSHIP = Check("citizenship", [
+CITIZENSHIP = Check("citizenship", "citizen|sponsor|work visa", [
     rf"\b{_US} citizens?\b", rf"\b{_US} citizenship\b", r"\bcitizenship (?:is (?:a )?)?(?:required|requirement|necessary|mandatory)", r"\bauthori[sz]ed to work\b.{0,80}\bwithout\b.{0,30}\bsponsor", r"\blegal right to work\b.{0,80}\bwithout\b.{0,30}\bsponsor",
     r"\bwithout requiring sponsorship\b", r"\bnot\b.{0,30}\brequire\b.{0,40}\bsponsorship\b.{0,30}\bfuture", r"\bno (?:visa|employment|work) sponsorship\b.{0,60}\b(?:now|future|available)", r"\bnot eligible for\b.{0,60}\b(?:sponsor\w*|work visa)", r"\bemployment sponsorship (?:is )?not\b",
 ])
-GRADUATE_BY = Check("graduation date", [
+GRADUATE_BY = Check("graduation date", "graduat|complet|fall", [
     r"\bgraduat(?:e|es|ing|ion)\b.{0,20}\b(?:by|before|no later than|in|prior to)\b (?:the )?(?:end of )?(?:fall|autumn|december|dec\.?)(?: of)? 20(?:1\d|2[0-6])\b", r"\b(?:fall|december|dec\.?) 20(?:1\d|2[0-6]) graduat",
     r"\bgraduating (?:fall|december) 202[0-6]", r"\bcomplet(?:e|es|ing) (?:(?:an?|the|their|your) )?(?:degree|program|master\w*|ms)\b.{0,15}\b(?:by|in|before)\b.{0,10}\b(?:fall|december|dec\.?) 20(?:1\d|2[0-6])", r"\b(?:juniors|seniors|students) in (?:the )?fall (?:of )?2026",
 ])
-PERMANENT = Check("permanent authorization", [rf"\bpermanent(?:ly)? (?:{_US} )?(?:work |employment )?authori[sz]", r"\b(?:indefinite|unrestricted|permanent) (?:right|authori[sz]ation|permission) to work\b", r"\b(?:green card|permanent resident)s?(?: holders?| status)? (?:only|(?:is |are )?required)", r"\b(?:f-?1|temporary visa|student visa)(?: holders?| status)?(?: students?)? (?:are |is |will )?(?:not|cannot|ineligible)\b"])
-HIGH_SCHOOL = Check("high school", [r"\bhigh[- ]school(?:ers?| students?| seniors?| juniors?) (?:only|are eligible|may apply|program|internship)", r"\b(?:current|rising|must be an?) high[- ]school (?:student|senior|junior)", r"\b(?:attending|enrolled in|still in) high[- ]school\b", r"\bhigh school diploma only\b", r"\bfor high[- ]school(?:ers| students)\b"])
-UNDERGRADUATE = Check("undergraduate only", [
+PERMANENT = Check("permanent authorization", "permanent|indefinite|unrestricted|green card|f-1|f1|visa", [rf"\bpermanent(?:ly)? (?:{_US} )?(?:work |employment )?authori[sz]", r"\b(?:indefinite|unrestricted|permanent) (?:right|authori[sz]ation|permission) to work\b", r"\b(?:green card|permanent resident)s?(?: holders?| status)? (?:only|(?:is |are )?required)", r"\b(?:f-?1|temporary visa|student visa)(?: holders?| status)?(?: students?)? (?:are |is |will )?(?:not|cannot|ineligible)\b"])
+HIGH_SCHOOL = Check("high school", "high school|high-school", [r"\bhigh[- ]school(?:ers?| students?| seniors?| juniors?) (?:only|are eligible|may apply|program|internship)", r"\b(?:current|rising|must be an?) high[- ]school (?:student|senior|junior)", r"\b(?:attending|enrolled in|still in) high[- ]school\b", r"\bhigh school diploma only\b", r"\bfor high[- ]school(?:ers| students)\b"])
+UNDERGRADUATE = Check("undergraduate only", "bachelor|undergraduate|junior|senior|sophomore|college|third|fourth|final|pursu|obtain|enrolled|complet|graduating|working toward|studying for|attending|associate|class standing", [
     rf"\b(?:pursuing|obtaining|attending|completing|studying for|working towards?|enrolled (?:in|as)|(?:pursue|obtain|complete))(?: towards?)? {_BACHELOR}", rf"\b(?:rising|entering|incoming|going into|advancing (?:in)?to)(?: (?:their|the|your|an?))? {_YEAR}\b",
     rf"\b{_YEAR}(?: or (?:junior|senior))?(?: year)? (?:standing|status)\b", rf"\b(?:must|should) be an? {_YEAR}(?: or senior)?(?: year)? ?(?:student|in college)?", r"\b(?:junior|senior) or senior year\b", r"\bclass standing ?: ?(?:junior|senior|sophomore)", r"\b(?:junior|senior)s? pursuing\b",
     r"\bundergraduates?(?: students?)? only\b", r"\bonly (?:open to )?undergraduate", r"\bundergraduate (?:intern\b|interns\b|internship|enrol\w+|status|student status|students? pursuing|program student)", r"\bintern,? undergraduate\b", r"\b(?:must be|for|current|an?) undergraduate students?\b",
     r"\b(?:currently|must be)(?: an?)?(?: enrolled)?(?: as)?(?: an?)? college student\b", r"\bbachelor'?s? (?:level )?(?:students?|candidates?|enrolment|enrollment)\b", r"\bbachelor'?s? (?:degree )?program enrol", r"\bassociate'?s?(?: degree)? (?:or|and) (?:an? )?bachelor",
     r"\bcompleted? (?:2|3|two|three|sophomore|junior)(?: full)? years?\b", r"\bgraduating\b.{0,40}\bwith (?:an? )?(?:ba|bs|b\.a\.|b\.s\.)\b", r"\benrolled\b.{0,40}\b(?:4|four)[- ]year (?:college|university|degree|program)", r"\baccredited four[- ]year (?:college|university)",
 ], lifted=_GRADUATES)
-OTHER_DEGREE = Check("degree field", [rf"\b(?:degree|bachelor'?s?|bs|major(?:ing)?|enrolled) in {_OTHER_FIELD}", r"\bbs(?:ee|me|ce|che)\b", rf"\b{_OTHER_FIELD} engineering (?:degree|major|student)s?\b", r"\bdegree in (?:nursing|accounting|law|marketing|finance)\b"], lifted=_COMPUTING, around=200)
-PHD = Check("phd only", [
+OTHER_DEGREE = Check("degree field", "degree in|bachelor|bs in|bsee|bsme|bsce|bsche|major|enrolled in| engineering ", [rf"\b(?:degree|bachelor'?s?|bs|major(?:ing)?|enrolled) in {_OTHER_FIELD}", r"\bbs(?:ee|me|ce|che)\b", rf"\b{_OTHER_FIELD} engineering (?:degree|major|student)s?\b", r"\bdegree in (?:nursing|accounting|law|marketing|finance)\b"], lifted=_COMPUTING, around=200)
+PHD = Check("phd only", "phd|ph.d|doctora|3rd", [
     rf"\b{_PHD} (?:intern\w*|students?|candidates?|only|required|degree|program|research intern)", rf"\b(?:pursuing|obtaining|enrolled in|completing) (?:an? )?{_PHD}", rf"\b(?:requires?|must have|must be pursuing|required) .{{0,30}}\b{_PHD}", rf"\({_PHD}\)", r"\b3rd[- ]year ph",
 ], lifted=r"\bmaster|\bms\b|\bm\.s\.|\bbachelor|\bbs\b|graduate student|or equivalent|preferred", never=r"\b(?:bs|ba|bachelor'?s?) ?(?:,|/|or) ?(?:an? )?(?:ms|ma|master)|(?:qualification|requirement).{0,2000}\b(?:master|ms degree|m\.s\.)")
-CPT_OPT = Check("cpt/opt", [r"\b(?:no|not|cannot|can't|unable to|don't|won't|does not|do not|will not)\b[^.;]{0,40}\b(?:cpt|opt)\b(?! ?(?:in|out)\b)", r"\b(?:cpt|opt)\b[^.;]{0,30}\b(?:not (?:accepted|supported|eligible|available|allowed)|ineligible)"], lifted=r"(?<!not )\b(?:support|welcome|provide|offer)s? (?:cpt|opt)\b|\b(?:cpt|opt) (?:is |are )?(?:eligible|accepted|welcome)", around=150)
-US_PERSON = Check("us person", [rf"\b{_US} persons?\b", r"\bdod contract", r"\bdepartment of defen[sc]e\b", r"\bsubject to export control\b"], lifted=r"export control (?:policy|training)|export compliance", around=300)
-DEGREE_STRICT = Check("bachelor only", [r"\bbachelor'?s? (?:degree|degrees) only\b", r"\bopen (?:only )?to (?:current )?undergraduate", r"\bfor undergraduates?\b"], lifted=_GRADUATES, around=300)
+CPT_OPT = Check("cpt/opt", "cpt|opt", [r"\b(?:no|not|cannot|can't|unable to|don't|won't|does not|do not|will not)\b[^.;]{0,40}\b(?:cpt|opt)\b(?! ?(?:in|out)\b)", r"\b(?:cpt|opt)\b[^.;]{0,30}\b(?:not (?:accepted|supported|eligible|available|allowed)|ineligible)"], lifted=r"(?<!not )\b(?:support|welcome|provide|offer)s? (?:cpt|opt)\b|\b(?:cpt|opt) (?:is |are )?(?:eligible|accepted|welcome)", around=150)
+US_PERSON = Check("us person", "person|dod contract|department of defen|export control", [rf"\b{_US} persons?\b", r"\bdod contract", r"\bdepartment of defen[sc]e\b", r"\bsubject to export control\b"], lifted=r"export control (?:policy|training)|export compliance", around=300)
+DEGREE_STRICT = Check("bachelor only", "bachelor|undergraduate", [r"\bbachelor'?s? (?:degree|degrees) only\b", r"\bopen (?:only )?to (?:current )?undergraduate", r"\bfor undergraduates?\b"], lifted=_GRADUATES, around=300)
 
 _LISTED = r"\b(?:preferred|desired) (?:degrees?|majors?|disciplines?|fields? of study)(?: (?:include|are|is))? ?:? ?([^.;]{3,150})"
 _ENROLLED = r"\b(?:enrolled|studying|students?)(?: currently)?(?: at| in)(?: an?| any)?(?: accredited| local)? (?:university|college|school|institution|universities|colleges|schools)(?: located| based)? (?:in|within) (?:the )?(?:(?:state|province|greater) (?:of )?)?([a-z][a-z .\-]{1,30})"
@@ -86,14 +107,14 @@ _AT_HOME = r"\b(?:university|college|school)(?: or (?:university|college))? in t
 
 def preferred_elsewhere(low: Column) -> Column:
     """A list of preferred degrees names other fields of engineering and none of computing."""
-    return F.exists(F.regexp_extract_all(low, F.lit(_LISTED), F.lit(1)), lambda l: l.rlike(_OTHER_FIELD) & ~l.rlike(_COMPUTING))
+    return mentions(low, "preferred|desired") & F.exists(F.regexp_extract_all(low, F.lit(_LISTED), F.lit(1)), lambda l: l.rlike(_OTHER_FIELD) & ~l.rlike(_COMPUTING))
 
 
 def enrolled_elsewhere(low: Column) -> Column:
     """Students of schools in a named state, province, country or metropolitan area, unless that is at home."""
     known = r"\b(?:" + "|".join([*STATES, *PROVINCES, *ABROAD, "uk", "bay area", "tri-state", "metro"]) + r")\b"
     places = F.regexp_extract_all(low, F.lit(_ENROLLED), F.lit(1))
-    return F.exists(places, lambda p: p.rlike(known) & ~p.rlike(_HOME)) & ~low.rlike(_AT_HOME)
+    return mentions(low, "enrolled|studying|student") & F.exists(places, lambda p: p.rlike(known) & ~p.rlike(_HOME)) & ~low.rlike(_AT_HOME)
 
 
 def graduation_year(low: Column, latest: int = 2027) -> Column:
@@ -104,13 +125,18 @@ def graduation_year(low: Column, latest: int = 2027) -> Column:
     second = F.regexp_extract_all(text, F.lit(r"graduat\w*[^.0-9]{0,40}20[23]\d ?(?:-|,|/|to|and|or)(?: [a-z]+)? ?(20[23]\d)"), F.lit(1))
     ranges = F.regexp_extract_all(text, F.lit(r"(20[23]\d ?(?:-|to|and) ?(?:[a-z]+ )?20[23]\d)[^.]{0,30}(?:graduat|class)"), F.lit(1))
     years = F.transform(F.flatten(F.array(named, second, F.transform(ranges, lambda r: F.substring(r, 1, 4)))), lambda y: y.cast("int"))
-    return (F.size(years) > 0) & (F.array_min(years) > latest) & ~text.rlike(r"graduat\w*[^.]{0,60}(?:or later|and beyond|or after)")
+    return mentions(low, "graduat|class of") & (F.size(years) > 0) & (F.array_min(years) > latest) & ~text.rlike(r"graduat\w*[^.]{0,60}(?:or later|and beyond|or after)")
 
 
 def squeezed(page: Column) -> Column:
     return F.regexp_replace(F.lower(page), r"\s+", " ")
 
 
+def _on(page: Column, what) -> Column:
+    """what(text in lower case): bound to a variable, so that it is made once for all checks."""
+    return F.get(F.transform(F.array(squeezed(page)), what), 0)
+
+
 def checks(low: Column, latest: int = 2027) -> list[tuple[str, Column]]:
     """(reason, condition) of all fourteen checks, in order."""
     one = lambda c: (c.reason, c.holds(low))
@@ -122,15 +148,13 @@ def checks(low: Column, latest: int = 2027) -> list[tuple[str, Column]]:
 
 def restriction(page: Column, latest: int = 2027) -> Column:
     """Reason of the first check that holds, or null; a null page has none."""
-    low = squeezed(page)
-    return F.coalesce(*[F.when(test, reason) for reason, test in checks(low, latest)])
+    return _on(page, lambda low: F.coalesce(*[F.when(test, reason) for reason, test in checks(low, latest)]))
 
 
 def matched_passage(page: Column) -> Column:
     """What a rejection is logged with: the passage of the first worded check that occurs, '' if none."""
-    low = squeezed(page)
     worded = [CLEARANCE, CITIZENSHIP, GRADUATE_BY, PERMANENT, HIGH_SCHOOL, UNDERGRADUATE, OTHER_DEGREE, PHD, CPT_OPT, US_PERSON, DEGREE_STRICT]
-    return F.coalesce(*[F.when(c.holds(low), c.passage(low)) for c in worded], F.lit(""))
+    return _on(page, lambda low: F.coalesce(*[F.when(c.holds(low), c.passage(low)) for c in worded], F.lit("")))
 
 
 def sponsorship(page: Column, learned: Column | None = None) -> Column:

@@ -154,3 +154,43 @@ def test_correction_log_and_stage_configuration(spark, tmp_path):
     assert rules.from_config(["length", {"name": "toxic", "enabled": False}, {"name": "quality"}]) == ["length", "quality"]
     with pytest.raises(ValueError):
         rules.from_config(["length", "nonsense"])
+
+
+def test_restrictions_of_common_sentences(spark):
+    from tarnmill.operators.restrictions import restriction, sponsorship
+
+    told = {
+        "We look for an active student who is obtaining a bachelor's degree.": "undergraduate only", "Candidates need to be entering their senior year.": "undergraduate only", "Must be pursuing a BS degree.": "undergraduate only", "Open to undergraduate students only": "undergraduate only",
+        "Pursuing a Bachelor's or Master's degree": None, "Pursuing a bachelor's degree or higher": None, "Senior engineers will mentor you": None, "": None, "Applicants have to be able to obtain and maintain a secret clearance.": "clearance",
+        "U.S. citizenship is required": "citizenship", "You are authorized to work in the US without employer sponsorship": "citizenship", "The work falls under ITAR compliance": "clearance", "Doctoral candidates in robotics": "phd only", "PhD or Master's students": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in [*told, None]], "page string")
+    got = {r.page: r.r for r in rows.select("page", restriction(F.col("page")).alias("r")).collect()}
+    assert got == told | {None: None}
+    far = "Undergraduates only. " + "x " * 600 + "Masters of arts live here."  # too far away to lift it
+    assert spark.createDataFrame([(far,)], "page string").select(restriction(F.col("page"))).first()[0] == "undergraduate only"
+    s = spark.createDataFrame([("We will not sponsor visas", None), ("", "Yes"), ("We will sponsor H-1B visas", None), ("no word", None)], "page string, learned string")
+    assert [r[0] for r in s.select(sponsorship(F.col("page"), F.col("learned"))).collect()] == ["No", "Yes", "Yes", "Unknown"]
+
+
+def test_nearest_string_keeps_repeated_rows(spark):
+    from tarnmill.operators import joins
+
+    rows = spark.createDataFrame([("Rno", "NV"), ("Rno", "NV"), ("Reno", "XX"), (None, "NV")], "city string, st string")
+    names = spark.createDataFrame([(1, "Reno", "NV"), (2, "Rome", "NY")], "o int, name string, st string")
+    got = sorted(map(str, joins.nearest_string(rows, names, "city", "name", "o", F.lit(1), on=["st"]).collect()))
+    assert len(got) == 4 and sum("nearest='Reno'" in g for g in got) == 2
+
+
+def test_history_dedup_reasons(spark):
+    from tarnmill.operators import history
+
+    kinds = "id long, company string, title string, url string, job_id string, at timestamp_ntz"
+    import datetime as dt
+
+    day = lambda n: dt.datetime(2024, 1, 31) - dt.timedelta(days=n)
+    old = [(1, "Acme", "Data Engineer Intern", "https://a.com/1", "R-0001", day(10)), (2, "Beta", "Ops", "https://b.com/2", "R-9", day(200)), (3, "Acme", "Machine Learning Research Intern Summer", "https://a.com/3", None, day(5))]
+    new = [(11, "X", "Y", "https://n/1", "r0001", day(0)), (12, "Q", "W", "https://n/2", "Z-7", day(0)), (13, "Q", "V", "https://n/3", "z7", day(0)), (14, "C", "T", "HTTPS://WWW.A.com/1/?x", "N/A", day(0)), (15, "Acme, Inc.", "Data engineer - intern", "https://n/5", None, day(0)),
+           (16, "Acme", "Research Intern Machine Learning Summer", "https://n/6", "", day(0)), (17, "K", "L", "https://n/7", "R9", day(0)), (18, "New", "Thing", "https://n/8", "HASH_1", day(0)), (19, None, None, None, None, None)]
+    got = {r.id: r.duplicate_of for r in history.duplicates(spark.createDataFrame(new, kinds), spark.createDataFrame(old, kinds)).collect()}
+    assert got == {11: "id in registry", 12: None, 13: "id in batch", 14: "url", 15: "company and title", 16: "similar title", 17: "known id", 18: None, 19: None}
