@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from llm_helpers import words
 from tarnmill.llm import decontamination, embedding_dedup, registry, simhash, suffix_dedup, token_counts, toxicity
-from tarnmill.llm.common import Words, columns, ngram_hashes, written
+from tarnmill.llm.common import Words, columns, ngram_hashes, shared_dir, written
 from tarnmill.llm.components import components
 
 
@@ -545,6 +545,100 @@ def test_gradients_go_down(model):
     assert loss() < before - 0.1
 
 
+def slow_logit(model, ids):
+    """Forward pass by loops: embedded words, padded, each filter wherever it fits, greatest value, weights."""
+    pad = np.zeros((max(toxicity.WIDTHS) - 1, toxicity.DIM))
+    x = np.concatenate([np.array([sum(model.table[j].astype(float) for j in row) for row in ids]).reshape(-1, toxicity.DIM), pad])
+    pooled = []
+    for kernel, bias in zip(model.kernels, model.biases):
+        for f in range(toxicity.FILTERS):
+            values = [max(0.0, bias[f] + sum(float(x[at + j] @ kernel[j][:, f]) for j in range(len(kernel)))) for at in range(len(x) - len(kernel) + 1)]
+            pooled.append(max(values))
+    return float(np.array(pooled) @ model.out + model.bias)
+
+
+def test_forward_pass_is_the_naive_one(model):
+    texts = [words(n, n, 400) for n in (1, 2, 3, 7, 40)] + [r[0] for r in toxic_rows(6, 9)]
+    for t in texts:
+        ids, first = toxicity.features(pa.array([t]))
+        assert abs(model.logits(ids, first)[0] - slow_logit(model, ids)) < 1e-4
+
+
+def test_gradients_are_numerical_ones():
+    m = toxicity.Model.fresh(3)
+    rows = toxic_rows(8, 11)
+    ids, first = toxicity.features(pa.array([r[0] for r in rows]))
+    y, w = np.array([r[2] for r in rows], np.float32), np.linspace(0.5, 2, 8)
+
+    def loss():
+        z = m.logits(ids, first).astype(float)
+        return float(np.mean(w * np.logaddexp(0, np.where(y == 1, -1, 1) * z)))
+
+    # with a memory that swamps the step's own squares, a step is rate / sqrt(memory) times the gradient
+    big, rate = 1e8, 1e4
+    before = {"out": m.out.copy(), "k1": m.kernels[1].copy(), "b0": m.biases[0].copy(), "table": m.table.copy()}
+    numeric = {}
+    r = np.random.default_rng(0)
+    used = np.unique(ids)
+    for name, value in (("out", m.out), ("k1", m.kernels[1]), ("b0", m.biases[0]), ("table", m.table)):
+        for _ in range(6):
+            at = tuple(r.integers(0, n) for n in value.shape) if name != "table" else (int(r.choice(used)), int(r.integers(toxicity.DIM)))
+            old, sides = value[at], []
+            for d in (-5e-3, 5e-3):
+                value[at] = old + d
+                sides.append(loss())
+            value[at] = old
+            numeric[name, at] = (sides[1] - sides[0]) / 1e-2
+    memory = {"out": np.full_like(m.out, big), "bias": np.full(1, big, np.float32), "table": np.full_like(m.table, big)}
+    memory |= {f"k{i}": np.full_like(k, big) for i, k in enumerate(m.kernels)} | {f"b{i}": np.full_like(b, big) for i, b in enumerate(m.biases)}
+    m.step(ids, first, y, w, memory, rate)
+    after = {"out": m.out, "k1": m.kernels[1], "b0": m.biases[0], "table": m.table}
+    for (name, at), want in numeric.items():
+        got = (before[name][at] - after[name][at]) / rate * np.sqrt(big)
+        assert abs(got - want) < 2e-3 + 0.1 * abs(want), (name, at, got, want)
+
+
+def test_fitting_stays_within_its_bounds(make, spark, monkeypatch):
+    rows = toxic_rows(40, 6)
+    docs = make([*[(i, r[0]) for i, r in enumerate(rows)], *[(0, r[0]) for r in rows], *[(0, rows[0][0])] * 300, (50, "zorbful " + words(30_000, 1))])
+    labels = spark.createDataFrame([(i, r[2]) for i, r in enumerate(rows)] + [(1, 0), (1, 1), (1, 1), (50, 1)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_features", lambda ids, y, langs, *a: seen.append((ids, y)) or toxicity.Model.fresh())
+    for sample in (2, 10, 1000):
+        toxicity.train(docs, labels, sample)
+        ids, y = seen[-1]
+        assert len(ids) == len(y) <= min(sample, 40) and (sample < 1000 or len(ids) == 40)  # the long text isn't fitted on
+    assert seen[-1][1][1] == 1  # of several labels the greatest
+
+
+def test_long_texts_score_and_sign_as_whole_ones(model, monkeypatch):
+    texts = [words(n, n) + end for n in (1, 2, 3, 60, 900) for end in ("", " " + "x" * 700, " zorbful")]
+    scores, signs = model.scores(pa.array(texts)), simhash.signatures(pa.array(texts))
+    for size in (50, 400):
+        monkeypatch.setattr("tarnmill.llm.common.SLICE_BYTES", size)
+        monkeypatch.setattr(toxicity, "SLICE_BYTES", size)
+        monkeypatch.setattr(toxicity, "SLICE_WORDS", max(1, size // 30))
+        assert np.allclose(model.scores(pa.array(texts)), scores, atol=1e-5)
+        assert all((simhash.signatures(pa.array([t])) == s).all() for t, s in zip(texts, signs))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        conf = type("", (), {"get": staticmethod(lambda name, default=None: default)})()
+        sparkContext = type("", (), {"master": "yarn"})()
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
+
+
+def test_block_bits_are_planned(make, spark):
+    few = spark.createDataFrame([(i, *np.random.default_rng(i).integers(-(2**62), 2**62, 4).tolist()) for i in range(300)], "node long, s0 long, s1 long, s2 long, s3 long")
+    alike = few.selectExpr("node", "0L as s0", "0L as s1", "s2", "s3").crossJoin(spark.range(20)).selectExpr("node * 20 + id as node", "s0", "s1", "s2", "s3")
+    assert simhash.plan(few) == min(simhash.BLOCK_CHOICES) <= simhash.plan(alike)
+    for bits in (8, 12, 21):
+        assert 0.9 < 1 - (1 - np.prod([(256 - simhash.RADIUS - i) / (256 - i) for i in range(bits)])) ** simhash.tables_for(bits=bits) < 0.97
+
+
 def test_slices_and_padding_change_nothing(model):
     texts = [r[0] for r in toxic_rows(50, 4)] + ["", None, "x", words(50_000, 1)]
     one = [model.scores(pa.array([t], pa.string()))[0] for t in texts]
