@@ -24,14 +24,17 @@ BLOCK_BITS = 18
 RECALL = 0.92
 BLOCK_CHOICES = (8, 10, 12, 15, 18, 21, 24, 27, 30, 33, 36, 39)
 PROBES = 2
-#: Comparisons of two members of a block that cost as much as to move a signature to a block.
-ROW_COST = 250
+#: Comparisons of two members of a block (some 18 ns each) that cost as much as to move a signature to a block and slice
+#: it there (some 15 us).
+ROW_COST = 800
 #: Bit planes between looks at whether a whole block has left the radius.
 ABANDON_EVERY = 32
-#: Cells of a query and 64 members that are worked on at once.
-CELLS = 1 << 14
-#: Blocks of so few members aren't sliced.
-SMALL = 12
+#: Cells of a query and 64 members that are worked on at once, and queries of one block.
+CELLS = 1 << 13
+QUERIES = 256
+#: Blocks of so few members aren't sliced; of so many, several are sliced together.
+SMALL = 24
+MEDIUM = 512
 #: Words whose bits are counted at once.
 ROWS = 1 << 16
 
@@ -110,47 +113,65 @@ def _add3(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.n
     return x ^ c, (a & b) | (x & c)
 
 
-def near_pairs(vertical: np.ndarray, sig: np.ndarray, first: int, last: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, earlier member) pairs within `radius` bits, of the members first:last as queries against all before them.
-
-    A cell is a query and a word of 64 members. The planes in which they differ are summed by carry-save adders into
-    bit-sliced counters, one for each member; after every ABANDON_EVERY planes, the cells in which all 64 counters
-    are beyond the radius are given up."""
-    queries = np.arange(first, last)
-    words = queries // 64 + 1
-    q = np.repeat(queries, words)
-    w = np.arange(len(q)) - np.repeat(np.cumsum(words) - words, words)
-    flip = (U64(0) - np.unpackbits(sig[first:last].view(np.uint8).reshape(last - first, -1), axis=1, bitorder="little").astype(U64)).T
-    counters: list[np.ndarray] = []
-
-    def push(vector: np.ndarray, level: int) -> None:
-        while level < len(counters):
-            counters[level], vector = counters[level] ^ vector, counters[level] & vector
+def near_cells(rows: np.ndarray, flips: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, query, member) within `radius` bits. rows: the bit planes of the members, (bits, words of 64, blocks);
+    flips: those of the queries, (bits, blocks, queries), 0 or -1 each.
+
+    A cell is a query and a word of 64 members of its block. The planes in which they differ are summed by carry-save
+    adders into bit-sliced counters, one for each member; after every ABANDON_EVERY planes, the cells in which all 64
+    counters are beyond the radius are given up."""
+    levels: list[list[np.ndarray]] = []
+
+    def push(vector: np.ndarray, level: int, most: int = 2) -> None:
+        while True:
+            if level == len(levels):
+                levels.append([])
+            levels[level].append(vector)
+            if len(levels[level]) <= most:
+                return
+            total, vector = _add3(*levels[level]) if len(levels[level]) == 3 else (levels[level][0] ^ levels[level][1], levels[level][0] & levels[level][1])
+            levels[level] = [total]
             level += 1
-        counters.append(vector)
-
-    over = np.zeros(len(q), U64)
-    for base in range(0, BITS, ABANDON_EVERY):
-        level, vectors = 0, [vertical[p][w] ^ flip[p][q - first] for p in range(base, base + ABANDON_EVERY)]
-        while vectors:  # three vectors of one weight become a sum and a carry
-            carries = []
-            while len(vectors) >= 3:
-                total, carry = _add3(vectors.pop(), vectors.pop(), vectors.pop())
-                vectors.insert(0, total)
-                carries.append(carry)
-            for v in vectors:
-                push(v, level)
-            level, vectors = level + 1, carries
-        over = _beyond(counters, radius)
-        left = np.flatnonzero(over != ~U64(0))
-        if len(left) < len(q):
-            q, w, over = q[left], w[left], over[left]
-            counters = [c[left] for c in counters]
-            if not len(q):
-                break
-    cell, bit = np.nonzero(np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-    a, b = q[cell], w[cell] * 64 + bit
-    return a[b < a], b[b < a]
+
+    left: tuple[np.ndarray, ...] = ()
+    for p in range(BITS):
+        flip = flips[p].astype(np.int64).view(U64)  # the bit as a whole word
+        push(rows[p][left[0], left[1]] ^ flip[left[1], left[2]] if left else rows[p][:, :, None] ^ flip, 0)
+        if p + 1 < BITS and ((p + 1) % ABANDON_EVERY or p + 1 <= 3 * radius):
+            continue
+        for level, vectors in enumerate(levels):  # one counter of each weight
+            if len(vectors) == 2:
+                levels[level] = []
+                push(vectors[0], level)
+                push(vectors[1], level, 1)
+        over = _beyond([v for v, in levels], radius)
+        keep = np.nonzero(over != ~U64(0))
+        left = tuple(x[keep[0]] for x in left) if left else keep
+        if not len(left[0]):
+            break
+        levels = [[v[keep]] for v, in levels]
+    if not len(left[0]):
+        return left[1], left[2], left[0]
+    cell, bit = np.nonzero(np.unpackbits((~over[keep]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return left[1][cell], left[2][cell], left[0][cell] * 64 + bit
+
+
+def _flips(sig: np.ndarray) -> np.ndarray:
+    """(bits, signatures): -1 where the signature has the bit."""
+    return -np.ascontiguousarray(np.unpackbits(sig.view(np.uint8).reshape(len(sig), -1), axis=1, bitorder="little").T).view(np.int8)
+
+
+def near_pairs(vertical: np.ndarray, sig: np.ndarray, first: int, last: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, earlier member) pairs within `radius` bits, of the members first:last as queries against all before them."""
+    flips = _flips(sig[first:last])[:, None]
+    words, step = (last + 63) // 64, max(1, CELLS // max(1, last - first))
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for w in range(0, words, step):
+        _, q, m = near_cells(vertical[:, w : min(words, w + step), None], flips, radius)
+        q, m = q + first, m + w * 64
+        a.append(q[m < q])
+        b.append(m[m < q])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _beyond(counters: list[np.ndarray], radius: int) -> np.ndarray:
@@ -167,35 +188,77 @@ def _beyond(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return greater
 
 
+def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Makes the parts of a and b one each; every member's parent is the least of its part, before and after."""
+    x, y = parent[a], parent[b]
+    apart = x != y
+    if not apart.any():
+        return
+    for x, y in zip(*np.divmod(np.unique(x[apart] * len(parent) + y[apart]), len(parent))):
+        while parent[x] != x:
+            x = parent[x]
+        while parent[y] != y:
+            y = parent[y]
+        parent[max(x, y)] = min(x, y)
+    while (parent[parent] != parent).any():
+        parent[:] = parent[parent]
+
+
 def block_edges(ids: np.ndarray, sig: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """(a, b) edges that connect what pairs within the radius connect in a block: every member is a query against all
     before it; of the pairs found, those that join two parts are kept, so that n copies give n - 1 edges."""
-    n = len(ids)
+    n, step = len(ids), 64 * QUERIES
     parent = np.arange(n)
-    vertical = planes(sig)
-    first = 0
-    while first < n:
-        last = min(n, first + max(1, CELLS // (first // 64 + 1)))
-        a, b = near_pairs(vertical, sig, first, last, radius)
-        for x, y in np.unique(np.stack([parent[a], parent[b]], axis=1), axis=0).tolist():
-            while parent[x] != x:
-                x = parent[x]
-            while parent[y] != y:
-                y = parent[y]
-            parent[max(x, y)] = min(x, y)
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-        first = last
+    vertical = np.concatenate([planes(sig[i : i + step]) for i in range(0, n, step)], axis=1)
+    for first in range(0, n, QUERIES):
+        _join(parent, *near_pairs(vertical, sig, first, min(n, first + QUERIES), radius))
     joined = np.flatnonzero(parent != np.arange(n))
     return ids[joined], ids[parent[joined]]
 
 
-def small_blocks(ids: np.ndarray, sig: np.ndarray, first: np.ndarray, size: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of all blocks of one small size at once: too few members for words of 64, so pair by pair."""
+def medium_pairs(sig: np.ndarray, first: np.ndarray, size: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius, as rows of sig, in several blocks at once, which begin at `first` and need equally many
+    words of 64: sliced together, since a block alone is too short a vector."""
+    most, words = int(size.max()), (int(size.max()) + 63) // 64
+    at = np.arange(words * 64)
+    there = at < size[:, None]
+    padded = np.where(there[:, :, None], sig[np.minimum(first[:, None] + at, len(sig) - 1)], U64(0))
+    rows = planes(padded.reshape(-1, _LANES)).reshape(BITS, len(first), words).transpose(0, 2, 1)
+    flips = _flips(padded[:, :most].reshape(-1, _LANES)).reshape(BITS, len(first), most)
+    block, query, member = near_cells(rows, flips, radius)
+    good = (member < query) & (query < size[block])
+    start = first[block[good]]
+    return start + query[good], start + member[good]
+
+
+def small_pairs(lanes: list[np.ndarray], first: np.ndarray, size: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius in all blocks of one small size at once: too few members for words of 64, so pair by pair."""
     i, j = np.triu_indices(size, 1)
-    x, y = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
-    near = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1) <= radius
-    return ids[x[near]], ids[y[near]]
+    x, y = (first[:, None] + j).ravel(), (first[:, None] + i).ravel()
+    near = sum(np.bitwise_count(lane[x] ^ lane[y]).astype(np.int16) for lane in lanes) <= radius
+    return x[near], y[near]
+
+
+def blocks_edges(node: np.ndarray, sig: np.ndarray, first: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`block_edges` of the blocks that begin at `first`, those of up to MEDIUM members many at a time."""
+    size = np.diff(np.append(first, len(node)))
+    parent = np.arange(len(node))
+    lanes = [np.ascontiguousarray(sig[:, i]) for i in range(_LANES)]
+    for n in range(2, SMALL + 1):
+        starts, step = first[size == n], max(1, 8 * CELLS // (n * (n - 1) // 2))
+        for at in range(0, len(starts), step):
+            _join(parent, *small_pairs(lanes, starts[at : at + step], n, radius))
+    rest = np.flatnonzero((size > SMALL) & (size <= MEDIUM))
+    rest = rest[np.argsort(size[rest], kind="stable")]
+    words = (size[rest] + 63) // 64
+    for w in np.unique(words).tolist():
+        own, step = rest[words == w], max(1, CELLS // (w * w * 64))
+        for at in range(0, len(own), step):
+            _join(parent, *medium_pairs(sig, first[own[at : at + step]], size[own[at : at + step]], radius))
+    joined = np.flatnonzero(parent != np.arange(len(node)))
+    yield node[joined], node[parent[joined]]
+    for f, n in zip(first[size > MEDIUM].tolist(), size[size > MEDIUM].tolist()):
+        yield block_edges(node[f : f + n], sig[f : f + n], radius)
 
 
 def _compare(radius: int):
@@ -222,18 +285,7 @@ def _compare(radius: int):
             if not last:
                 continue
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            size = np.diff(np.append(first, last))
-            a, b = [node[:0]], [node[:0]]
-            for n in range(2, SMALL + 1):
-                starts = first[size == n]
-                for at in range(0, len(starts), 4096):
-                    x, y = small_blocks(node, sig, starts[at : at + 4096], n, radius)
-                    a.append(x)
-                    b.append(y)
-            for f, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
-                x, y = block_edges(node[f : f + n], sig[f : f + n], radius)
-                a.append(x)
-                b.append(y)
+            a, b = zip(*blocks_edges(node, sig, first, radius))
             a, b = np.concatenate(a), np.concatenate(b)
             if len(a):
                 yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -258,16 +310,29 @@ def _spread(chosen: np.ndarray):
 _BLOCKS = "key long, node long, s0 long, s1 long, s2 long, s3 long"
 
 
-def plan(nodes: DataFrame, radius: int = RADIUS) -> int:
-    """The number of block bits of least cost: moving each node to `tables_for` blocks and comparing it with half of
-    each. Block sizes are counted over all nodes, in PROBES samples, for each of BLOCK_CHOICES."""
-    choices = [b for b in BLOCK_CHOICES if b <= BITS - radius]
+def _counted(nodes: DataFrame, choices: list[int]) -> dict[int, float]:
+    """For each number of block bits, the mean size of a node's block, over all nodes, in PROBES samples."""
     probe = max(choices)
-    keys = nodes.mapInArrow(_spread(block_bits(PROBES, probe, seed=12)), _BLOCKS)
+    keys = nodes.mapInArrow(_spread(block_bits(PROBES, max(BLOCK_CHOICES), seed=12)[:, :probe]), _BLOCKS)
     cut = F.explode(F.array(*[F.struct(F.lit(b).alias("bits"), F.shiftright("key", probe).alias("probe"), F.col("key").bitwiseAND(F.lit((1 << b) - 1)).alias("block")) for b in choices])).alias("c")
     sizes = keys.select(cut).groupBy("c.bits", "c.probe", "c.block").agg(F.count("*").cast("double").alias("n"))
-    mean = {r["bits"]: r["squares"] / r["n"] for r in sizes.groupBy("bits").agg(F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum("n").alias("n")).collect()}
-    return min(mean, key=lambda b: tables_for(radius, b) * (ROW_COST + mean[b] / 2), default=BLOCK_BITS)
+    return {r["bits"]: r["squares"] / r["n"] for r in sizes.groupBy("bits").agg(F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum("n").alias("n")).collect()}
+
+
+def plan(nodes: DataFrame, radius: int = RADIUS) -> int:
+    """The number of block bits of least cost: moving each node to `tables_for` blocks and comparing it with half of
+    each. Block sizes are counted over all nodes, in PROBES samples, for those of BLOCK_CHOICES that can be the
+    cheapest: the first four, of few blocks, at once, and each further one unless moving alone costs more."""
+    choices = [b for b in BLOCK_CHOICES if b <= BITS - radius]
+    cost: dict[int, float] = {}
+    while todo := choices[len(cost) :][: 1 if cost else 4]:
+        if cost and tables_for(radius, todo[0]) * ROW_COST >= min(cost.values()):
+            break
+        mean = _counted(nodes, todo)
+        if not mean:
+            return BLOCK_BITS
+        cost |= {b: tables_for(radius, b) * (ROW_COST + mean[b] / 2) for b in todo}
+    return min(cost, key=lambda b: cost[b], default=BLOCK_BITS)
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, tables: int | None = None, bits: int | None = None) -> tuple[DataFrame, DataFrame]:

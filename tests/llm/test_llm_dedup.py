@@ -85,6 +85,23 @@ def test_bit_sliced_pairs_are_those_of_brute_force(n, radius):
     assert union(zip(ea.tolist(), eb.tolist()), n) == union(zip(*np.nonzero(near)), n)
 
 
+def test_blocks_are_compared_many_at_a_time(monkeypatch):
+    r = np.random.default_rng(5)
+    sizes = [1, 2, 3, 24, 25, 25, 63, 64, 65, 100, 128, 129, 130, 300, 512, 513, 700] + [40] * 300
+    sig = r.integers(0, 2**64, (sum(sizes), 4), dtype=np.uint64)
+    first = np.cumsum([0, *sizes])
+    for f, n in zip(first, sizes):
+        for i in range(1, n, 4):
+            sig[f + i] = sig[f + r.integers(i)] ^ (np.uint64(1) << r.integers(0, 64, 4, dtype=np.uint64))
+    near = [(f + i, f + j) for f, n in zip(first, sizes) for i, j in np.argwhere(np.bitwise_count(sig[f : f + n, None] ^ sig[None, f : f + n]).sum(2) <= 46)]
+    key, calls, cells = np.repeat(np.arange(len(sizes)), sizes), [], simhash.near_cells
+    batch = pa.record_batch([pa.array(key), pa.array(np.arange(len(sig))), *(pa.array(sig[:, i].view(np.int64)) for i in range(4))], names=list("knabcd"))
+    monkeypatch.setattr(simhash, "near_cells", lambda *a: calls.append(1) or cells(*a))
+    edges = [e for b in simhash._compare(46)(iter([batch])) for e in zip(*(c.to_pylist() for c in b.columns))]
+    assert union(edges, len(sig)) == union(near, len(sig)) and len(edges) < len(sig)
+    assert len(calls) < 50  # not one for each block
+
+
 def near_copy(text, changes, seed):
     r = random.Random(seed)
     w = text.split()
@@ -631,6 +648,14 @@ def test_a_cluster_needs_a_shared_folder():
         shared_dir(Session())
 
 
+def test_only_block_bits_that_can_be_cheapest_are_counted(spark, monkeypatch):
+    few = spark.createDataFrame([(i, *np.random.default_rng(i).integers(-(2**62), 2**62, 4).tolist()) for i in range(300)], "node long, s0 long, s1 long, s2 long, s3 long")
+    counted, count = [], simhash._counted
+    monkeypatch.setattr(simhash, "_counted", lambda nodes, choices: counted.extend(choices) or count(nodes, choices))
+    simhash.plan(few)
+    assert counted == list(simhash.BLOCK_CHOICES[:4])
+
+
 def test_block_bits_are_planned(make, spark):
     few = spark.createDataFrame([(i, *np.random.default_rng(i).integers(-(2**62), 2**62, 4).tolist()) for i in range(300)], "node long, s0 long, s1 long, s2 long, s3 long")
     alike = few.selectExpr("node", "0L as s0", "0L as s1", "s2", "s3").crossJoin(spark.range(20)).selectExpr("node * 20 + id as node", "s0", "s1", "s2", "s3")
