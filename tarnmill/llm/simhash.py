@@ -35,6 +35,8 @@ QUERIES = 256
 #: Blocks of so few members aren't sliced; of so many, several are sliced together.
 SMALL = 24
 MEDIUM = 512
+#: Bits (a power of two) of the filter of rows that may go; it is broadcast as words of 64, some 10 MB at most.
+FILTER_LOG2 = 24
 #: Words whose bits are counted at once.
 ROWS = 1 << 16
 
@@ -387,6 +389,15 @@ def _ranked(signed: DataFrame, roots: DataFrame) -> DataFrame:
     return ranked.unionByName(rest)
 
 
+def _filtered(keyed: DataFrame, fate: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose hash __tm_h is none of fate's h, the rest and a few more): by a filter of 2^FILTER_LOG2 bits."""
+    bit = lambda h: F.col(h).bitwiseAND(F.lit((1 << FILTER_LOG2) - 1))
+    words = fate.select(F.shiftright(bit("h"), 6).alias("__tm_w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("__tm_w").agg(F.bit_or("b").alias("__tm_b"))
+    looked = keyed.withColumn("__tm_w", F.shiftright(bit("__tm_h"), 6)).join(F.broadcast(words), "__tm_w", "left")
+    passes = F.expr("coalesce(shiftright(__tm_b, cast(__tm_h & 63 as int)) & 1L, 0L) = 1L")
+    return looked.where(~passes), looked.where(passes)
+
+
 def drop_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int | None = None, bits: int | None = None) -> DataFrame:
     """docs with the one row of each group that `assign` keeps, all columns as they are; texts without words (null or
     empty ones among them) all stay. Null ids and repeated rows as in `assign`; empty table: empty result. Extra columns
@@ -394,20 +405,23 @@ def drop_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int | None =
 
     Rows are told apart by doc_id and a hash of the text. Only what a group loses is joined back: an anti-join for
     rows all of whose kind go; where one of several rows of the same id and text stays, the lowest by a hash of all
-    its columns does."""
+    its columns does. A filter of bounded size, of the hashes of what groups lose, lets the other rows stay where they
+    are, so that only texts that pass it are shuffled."""
     signed, roots = groups(docs, radius, tables, bits)
     fate = _ranked(signed, roots).groupBy("doc_id", "h").agg(F.count("*").alias("n"), F.count_if("is_duplicate").alias("losers"))
     fate = written(fate.where("losers > 0"), "fate")
     drop_written(signed)
     keyed = docs.withColumn("__tm_h", F.xxhash64("text"))
     gone, some = fate.where("losers = n"), fate.where("losers < n")
+    sure, keyed = _filtered(keyed, fate)
     match = keyed["doc_id"].eqNullSafe(fate["doc_id"]) & (keyed["__tm_h"] == fate["h"])
+    sure = sure.select(*columns(docs))
     if some.isEmpty():
-        return keyed.join(gone, match, "left_anti").select(*columns(docs))
-    kept = keyed.join(fate, match, "left_anti")
+        return sure.unionByName(keyed.join(gone, match, "left_anti").select(*columns(docs)))
+    kept = sure.unionByName(keyed.join(fate, match, "left_anti").select(*columns(docs)))
     w = Window.partitionBy("doc_id", "__tm_h").orderBy(F.xxhash64(*columns(docs)))
     ones = keyed.join(some, match, "left_semi").withColumn("__tm_rank", F.row_number().over(w)).where("__tm_rank = 1")
-    return kept.select(*columns(docs)).unionByName(ones.select(*columns(docs)))
+    return kept.unionByName(ones.select(*columns(docs)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

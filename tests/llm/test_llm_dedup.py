@@ -102,6 +102,25 @@ def test_blocks_are_compared_many_at_a_time(monkeypatch):
     assert len(calls) < 50  # not one for each block
 
 
+def test_only_texts_that_may_go_are_shuffled(spark, make):
+    texts = [" ".join(f"w{(i * 31 + j * 7) % 9973}x{i}" for j in range(60)) for i in range(60)]
+    docs = make([*enumerate(texts), *((100 + i, texts[i]) for i in range(8)), (107, texts[7]), (None, texts[8]), (None, None), (200, "")])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for out in (simhash.drop_duplicates(docs), simhash.drop_duplicates(docs.where("doc_id < 107 or doc_id is null"))):
+            assert sorted((r.doc_id is None, r.doc_id, r.text) for r in out.collect() if r.doc_id is not None and r.text) == [(False, i, t) for i, t in enumerate(texts)]
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "__tm_b" in plan
+        fate = make([(0, "")]).selectExpr("1L as h")
+        keyed = spark.range(2000).selectExpr("id as __tm_h")
+        sure, rest = simhash._filtered(keyed, fate)
+        assert sure.count() == 1999 and [r["__tm_h"] for r in rest.collect()] == [1]
+        assert "SortMergeJoin" not in sure._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def near_copy(text, changes, seed):
     r = random.Random(seed)
     w = text.split()
