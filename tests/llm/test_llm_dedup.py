@@ -647,6 +647,27 @@ def test_fitting_stays_within_its_bounds(make, spark, monkeypatch):
     assert seen[-1][1][1] == 1  # of several labels the greatest
 
 
+def test_all_labelled_rows_are_fitted_on(make, spark, monkeypatch):
+    rows = toxic_rows(400, 6)
+    docs = make([*[(i, r[0]) for i, r in enumerate(rows)], (1000, "zorbful " + words(30_000, 1))])
+    labels = spark.createDataFrame([(i, r[2]) for i, r in enumerate(rows)] + [(1000, 1)], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity.fit_shards
+    monkeypatch.setattr(toxicity, "fit_shards", lambda d, counts, shards: seen.append((d.count(), d.agg({"ids": "count"}).first()[0], shards)) or fit(d, counts, shards))
+    monkeypatch.setattr(toxicity, "SAMPLE", 100)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 130)
+    model = toxicity.train(docs, labels)
+    assert seen == [(401, 401, 3)]
+    test = toxic_rows(200, 77)
+    guess = model.scores(pa.array([r[0] for r in test])) >= model.default
+    assert np.mean(guess == (np.array([r[2] for r in test]) == 1)) > 0.9
+    one = toxicity.Model.fresh(3)
+    ids, first = toxicity.features(pa.array([r[0] for r in rows[:9]] + ["", "one"]))
+    whole = one.winners(ids, first)
+    monkeypatch.setattr(toxicity, "SLICE_WORDS", 7)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(whole, one.winners(ids, first)))
+
+
 def test_long_texts_score_and_sign_as_whole_ones(model, monkeypatch):
     texts = [words(n, n) + end for n in (1, 2, 3, 60, 900) for end in ("", " " + "x" * 700, " zorbful")]
     scores, signs = model.scores(pa.array(texts)), simhash.signatures(pa.array(texts))
