@@ -78,8 +78,8 @@ def internship_fault(title: Column, page: Column) -> Column:
     low, text = F.lower(title), F.lower(F.substring(F.coalesce(page, F.lit("")), 1, 2000))
     return (
         F.when(low.rlike(r"\b(senior|lead|manager|director)\b"), "senior")
-        .when(low.rlike(r"\bintern(ship)?\b|co-?op|trainee"), F.lit(None))
-        .when(text.rlike(r"internship|co-?op (program|position)"), F.lit(None))
+        .when(low.rlike(r"\bintern(ship)?\b|\bco-?op(s|eratives?)?\b|trainee"), F.lit(None))
+        .when(text.rlike(r"internship|\bco-?op (program|position)"), F.lit(None))
         .otherwise("no internship")
     )
 

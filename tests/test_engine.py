@@ -194,3 +194,13 @@ def test_history_dedup_reasons(spark):
            (16, "Acme", "Research Intern Machine Learning Summer", "https://n/6", "", day(0)), (17, "K", "L", "https://n/7", "R9", day(0)), (18, "New", "Thing", "https://n/8", "HASH_1", day(0)), (19, None, None, None, None, None)]
     got = {r.id: r.duplicate_of for r in history.duplicates(spark.createDataFrame(new, kinds), spark.createDataFrame(old, kinds)).collect()}
     assert got == {11: "id in registry", 12: None, 13: "id in batch", 14: "url", 15: "company and title", 16: "similar title", 17: "known id", 18: None, 19: None}
+
+
+def test_internship_words_stand_alone(spark):
+    """'coop' in the middle of another word is no co-op."""
+    from tarnmill.functions.postings import internship_fault
+
+    told = {"Qfcoopo role": "no internship", "Scooping role": "no internship", "Co-op, data": None, "Coop role": None, "Data Co-ops": None, "Senior co-op": "senior"}
+    rows = spark.createDataFrame([(k,) for k in told], "x string")
+    assert {r.x: r.fault for r in rows.select("x", internship_fault(F.col("x"), F.lit("Permanent")).alias("fault")).collect()} == told
+    assert rows.limit(1).select(internship_fault(F.lit("role"), F.lit("a scoop position")).alias("fault")).first().fault == "no internship"
