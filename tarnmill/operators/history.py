@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnmill.functions import text, urls
 from tarnmill.functions.text import chain
-from tarnmill.operators.similarity import similar_pairs, vectors
+from tarnmill.operators.similarity import resembling, vectors
 
 #: Days for which an id in the registry counts, and the score from which titles of one company are the same.
 REGISTRY_DAYS = 90
@@ -57,7 +57,7 @@ def duplicates(batch: DataFrame, history: DataFrame) -> DataFrame:
     both = batch.select("id", "company", "title", F.lit(True).alias("mine")).unionByName(history.select("id", "company", "title", F.lit(False).alias("mine")))
     key = F.concat(F.when(F.col("mine"), "b").otherwise("h"), F.col("id").cast("string"))
     titled = both.where("company is not null and title is not null").select(key.alias("id"), "company", "title")
-    near = similar_pairs(vectors(titled, "id", "title", ["company"]), SAME_TITLE, "company", F.col("id").startswith("b"))
+    near = resembling(vectors(titled, "id", "title", ["company"]), SAME_TITLE, "company", F.col("id").startswith("b"))
     kind = batch.schema["id"].dataType
     found = found.unionByName(near.select(F.substring("left_id", 2, 99).cast(kind).alias("id"), F.lit(4).alias("hit")))
     first = found.groupBy("id").agg(F.min("hit").alias("hit"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnmill.functions.text import tokenize
+from tarnmill.operators.pairs import collapsed, compared
 
 
 def vectors(docs: DataFrame, id_col: str, text_col: str, extra: list[str] | None = None) -> DataFrame:
@@ -31,28 +33,29 @@ def term_weights(docs: DataFrame, id_col: str, text_col: str, extra: list[str] |
     return v.select("id", *(extra or []), F.explode("v").alias("e")).select("id", *(extra or []), "e.term", "e.weight")
 
 
-def _prefix(v: DataFrame, block: str, least: float) -> DataFrame:
-    """A row for each term of each text before the point from which the squares of what is left sum to under least squared."""
-    square = lambda e: e["weight"] * e["weight"]
-    rest = lambda i: F.aggregate(F.slice("v", i + 1, F.size("v")), F.lit(0.0), lambda s, e: s + square(e))
-    first = F.filter(F.transform("v", lambda e, i: F.struct(e["term"].alias("term"), rest(i).alias("rest"))), lambda t: t["rest"] >= least * least * (1 - 1e-9))
-    return v.select("id", block, "v", F.transform(first, lambda t: t["term"]).alias("prefix")).withColumn("term", F.explode("prefix"))
-
-
-def similar_pairs(v: DataFrame, least: float, block: str, mine=None) -> DataFrame:
-    """(left_id, right_id, score) with left_id < right_id in one block and score >= least, of `vectors`; or, with a
-    condition `mine` on ids, of left ids that meet it against right ids that don't.
-
-    By prefix filtering: two texts whose score reaches `least` share a term of both their prefixes, so only rare terms
-    are joined and a common term makes no product. Short texts carry their vectors along: a pair is scored where its
-    first common prefix term meets, and nothing is joined again or made distinct."""
-    p = _prefix(v, block, least)
-    a, b = (p, p) if mine is None else (p.where(mine), p.where(~mine))
-    side = lambda d, s: d.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", block, "v", "prefix", "term")])
-    met = (F.col(f"a_{block}") == F.col(f"b_{block}")) & (F.col("a_term") == F.col("b_term"))
-    pairs = side(a, "a").join(side(b, "b"), met & (F.col("a_id") < F.col("b_id")) if mine is None else met)
-    pairs = pairs.where(F.get(F.array_intersect("a_prefix", "b_prefix"), 0) == F.col("a_term"))
-    other = F.map_from_entries(F.transform("b_v", lambda e: F.struct(e["term"], e["weight"])))
-    dot = F.aggregate("a_v", F.lit(0.0), lambda s, e: s + e["weight"] * F.coalesce(F.try_element_at("b_map", e["term"]), F.lit(0.0)))
-    scored = pairs.withColumn("b_map", other).select(F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), F.round(dot, 4).alias("score"))
-    return scored.where(F.col("score") >= least)
+def _rounded(x: np.ndarray) -> np.ndarray:
+    return np.floor(x * 1e4 + 0.5) / 1e4
+
+
+def _compared(v: DataFrame, least: float, block: str, mine=None) -> DataFrame:
+    held = v if mine is None else v.withColumn("mine", mine)
+    rows = collapsed(held, block, ["v"] if mine is None else ["v", "mine"])
+    rows = rows.select(block, "ids", *([] if mine is None else ["mine"]), F.transform("v", lambda e: e["term"]).alias("terms"), F.transform("v", lambda e: e["weight"]).alias("weights"))
+
+    def judge(dot, n, m):
+        score = _rounded(dot)
+        return score, score >= least, score >= least
+
+    return compared(rows, block, v.schema["id"].dataType.simpleString(), "double", judge, None if mine is None else F.col("mine"))
+
+
+def similar_pairs(v: DataFrame, least: float, block: str) -> DataFrame:
+    """(left_id, right_id, score) with left_id < right_id in one block and score, rounded to four places, of `least` and
+    more, of `vectors`: a score that only reaches `least` by rounding counts."""
+    return _compared(v, least, block)
+
+
+def resembling(v: DataFrame, least: float, block: str, mine: Column) -> DataFrame:
+    """(left_id), some more than once, of the ids that meet `mine` and whose text resembles one of those that don't, in
+    one block, by a score rounded to four places of `least` and more. Partners aren't listed, so common texts make no product."""
+    return _compared(v, least, block, mine)
