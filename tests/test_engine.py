@@ -204,3 +204,14 @@ def test_internship_words_stand_alone(spark):
     rows = spark.createDataFrame([(k,) for k in told], "x string")
     assert {r.x: r.fault for r in rows.select("x", internship_fault(F.col("x"), F.lit("Permanent")).alias("fault")).collect()} == told
     assert rows.limit(1).select(internship_fault(F.lit("role"), F.lit("a scoop position")).alias("fault")).first().fault == "no internship"
+
+
+def test_similarity_that_reaches_the_threshold_by_rounding(spark):
+    """Scores are rounded before they are compared; rare terms alone don't tell these pairs."""
+    from tarnmill.operators.similarity import similar_pairs
+
+    for least in (0.4, 0.85):
+        w = least - 0.00002
+        rows = [(1, "c", [(1, "rare", (1 - w * w) ** 0.5), (9, "common", w)]), (2, "c", [(9, "common", 1.0)]), (3, "d", [(9, "common", 1.0)]), (4, "c", [(9, "other", 1.0)])]
+        v = spark.createDataFrame(rows, "id long, company string, v array<struct<df: long, term: string, weight: double>>")
+        assert [tuple(r) for r in similar_pairs(v, least, "company").collect()] == [(1, 2, least)]
