@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnmill.operators.pairs import collapsed, compared
+
 #: Rows of a dimension that may be broadcast for a join without an equality.
 DIMENSION_ROWS = 10_000
 
@@ -94,20 +97,15 @@ def listed(rows: DataFrame, names: DataFrame, value: str, name: str, flag: str,
     return rows.join(hits.withColumn(flag, F.lit(True)), value, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def word_overlap(left: DataFrame, right: DataFrame, block: str, words: str, share: float = 0.5, least: int = 2) -> DataFrame:
-    """Pairs (left id, right id, shared) of one block with at least max(least, share * left words) words in common.
-
-    A left text of n words of which m have to be shared shares one of its n - m + 1 rarest with each partner: only these
-    are joined, and a pair counts where the first of them that is shared meets."""
-    df = right.select(F.explode(F.array_distinct(words)).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    each = left.select("id", block, F.explode(F.array_distinct(words)).alias("w")).join(df, "w")
-    ordered = each.groupBy("id", block).agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("ws"))
-    n = F.size("ws")
-    # words of the left that no right text has were dropped by the join and can't be shared; the share is of all words
-    total = left.select("id", F.size(F.array_distinct(words)).alias("size"))
-    a = ordered.join(total, "id").withColumn("need", F.greatest(F.lit(least), F.ceil(F.col("size") * share).cast("int"))).where(n >= F.col("need"))
-    a = a.withColumn("prefix", F.slice("ws", 1, n - F.col("need") + 1)).withColumn("w", F.explode("prefix"))
-    b = right.select(F.col("id").alias("right_id"), F.col(block).alias("b_block"), F.array_distinct(words).alias("b_ws")).withColumn("b_w", F.explode("b_ws"))
-    met = a.join(b, (F.col(block) == F.col("b_block")) & (F.col("w") == F.col("b_w"))).where(F.get(F.array_intersect("prefix", "b_ws"), 0) == F.col("w"))
-    shared = F.size(F.array_intersect("ws", "b_ws"))
-    return met.select(F.col("id").alias("left_id"), "right_id", shared.alias("shared"), "need").where(F.col("shared") >= F.col("need")).drop("need")
+def word_overlap(rows: DataFrame, block: str, words: str, share: float = 0.5, least: int = 2) -> DataFrame:
+    """(left_id, right_id, shared) with left_id < right_id of one block that have at least max(least, share * words of the
+    left one) words in common. Equal sets of words are compared once."""
+    sets = rows.where(F.col(words).isNotNull()).select("id", block, F.array_sort(F.array_distinct(words)).alias("terms"))
+    one = F.transform("terms", lambda _: F.lit(1.0)).alias("weights")
+
+    def judge(dot: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        shared = np.rint(dot).astype(np.int64)
+        return shared, (shared >= least) & (shared >= share * n), (shared >= least) & (shared >= share * m)
+
+    pairs = compared(collapsed(sets, block, ["terms"]).select(block, "ids", "terms", one), block, rows.schema["id"].dataType.simpleString(), "long", judge)
+    return pairs.withColumnRenamed("score", "shared")

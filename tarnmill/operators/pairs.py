@@ -21,7 +21,7 @@ GATHERED = 2_048
 CELLS = 1 << 19
 
 
-def grid(rows: DataFrame, block: str, mine: Column | None, chunk: int = CHUNK) -> DataFrame:
+def grid(rows: DataFrame, block: str, mine: Column | None, chunk: int) -> DataFrame:
     """rows with i, j and side: once for each pair of chunks of the block. side 0 is compared with side 1; rows of side 2
     with each other. With `mine`, rows that meet it are on side 0 and the others on side 1."""
     large = rows.groupBy(block).agg(F.count("*").alias("__n")).where(F.col("__n") > chunk)  # at most one for each chunk of rows
@@ -43,7 +43,7 @@ def compared(rows: DataFrame, block: str, id_type: str, score_type: str, judge,
     judge(dot, n, m) gives (score, whether it counts if n is the left one, the same for m) for arrays of products and of
     numbers of terms."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as bytes don't tell the work
-    groups = grid(rows.where(F.col(block).isNotNull()), block, mine).repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j", "side")
+    groups = grid(rows.where(F.col(block).isNotNull()), block, mine, CHUNK).repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j", "side")
     only_left = mine is not None
     schema = f"left_id {id_type}" if only_left else f"left_id {id_type}, right_id {id_type}, score {score_type}"
 

@@ -216,7 +216,7 @@ def j23(spark, sf):
 )
 def j24(spark, sf):
     t = titles(spark, sf).select(F.col("doc_id").alias("id"), "company", F.array_distinct(F.split(F.lower("title"), " ")).alias("words"))
-    return joins.word_overlap(t, t, "company", "words").where("left_id < right_id")
+    return joins.word_overlap(t, "company", "words")
 
 
 @register("j25_fill_blanks", "WITH l AS (SELECT l_suppkey, min(l_partkey) AS p FROM lineitem WHERE l_quantity > 45 GROUP BY 1) SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_nationkey ELSE p END AS value FROM supplier LEFT JOIN l ON l_suppkey = s_suppkey")

@@ -215,3 +215,19 @@ def test_similarity_that_reaches_the_threshold_by_rounding(spark):
         rows = [(1, "c", [(1, "rare", (1 - w * w) ** 0.5), (9, "common", w)]), (2, "c", [(9, "common", 1.0)]), (3, "d", [(9, "common", 1.0)]), (4, "c", [(9, "other", 1.0)])]
         v = spark.createDataFrame(rows, "id long, company string, v array<struct<df: long, term: string, weight: double>>")
         assert [tuple(r) for r in similar_pairs(v, least, "company").collect()] == [(1, 2, least)]
+
+
+def test_pairs_across_chunks_against_brute_force(spark, monkeypatch):
+    """Word overlap of blocks of several chunks, with texts of more ids than a row holds."""
+    import random
+
+    from tarnmill.operators import pairs
+
+    monkeypatch.setattr(pairs, "CHUNK", 7)
+    monkeypatch.setattr(pairs, "IDS", 2)
+    dice = random.Random(1)
+    rows = [(i, dice.choice("ab") if i % 19 else None, [dice.choice("pqrstuvw") for _ in range(dice.randint(1, 5))] if i % 17 else None) for i in range(120)]
+    got = [tuple(r) for r in joins.word_overlap(spark.createDataFrame(rows, "id long, company string, words array<string>"), "company", "words").collect()]
+    known = [(i, c, set(w)) for i, c, w in rows if c and w]
+    want = [(i, j, len(v & w)) for i, c, v in known for j, d, w in known if c == d and i < j and len(v & w) >= max(2, 0.5 * len(v))]
+    assert sorted(got) == sorted(want)
