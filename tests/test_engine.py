@@ -231,3 +231,17 @@ def test_pairs_across_chunks_against_brute_force(spark, monkeypatch):
     known = [(i, c, set(w)) for i, c, w in rows if c and w]
     want = [(i, j, len(v & w)) for i, c, v in known for j, d, w in known if c == d and i < j and len(v & w) >= max(2, 0.5 * len(v))]
     assert sorted(got) == sorted(want)
+
+
+def test_texts_are_searched_once(spark):
+    """A restriction splits a text in lower case once for each check, however many passages it holds; edges of words are
+    looked for once for all wordings."""
+    from tarnmill.operators import restrictions as t
+
+    assert t._parts(r"\ba[|(]|b(?:c|d)\|e|f") == [r"\ba[|(]", r"b(?:c|d)\|e", "f"]
+    assert t.at_words([r"\ba|\bb", r"\(c\)", r"\bd"]) == r"(?:(?=\w)\b(?:a|b)|\(c\)|(?=\w)\b(?:d))"
+    text = ("x " * 200 + "Undergraduates only. ") * 3 + "y " * 400 + "Rising junior. " + "Masters"
+    rows = spark.createDataFrame([(text,), ("Undergraduates only or masters",), (None,)], "page string")
+    plan = rows.select(F.exists(t.UNDERGRADUATE._contexts(F.col("page")), lambda c: F.length(c) > 0).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1 and plan.count("regexp_extract_all(") == 1
+    assert [r[0] for r in rows.select(t.restriction(F.col("page"))).collect()] == ["undergraduate only", None, None]
