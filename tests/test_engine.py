@@ -245,3 +245,13 @@ def test_texts_are_searched_once(spark):
     plan = rows.select(F.exists(t.UNDERGRADUATE._contexts(F.col("page")), lambda c: F.length(c) > 0).alias("c"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("split(") == 1 and plan.count("regexp_extract_all(") == 1
     assert [r[0] for r in rows.select(t.restriction(F.col("page"))).collect()] == ["undergraduate only", None, None]
+
+
+def test_resembling_lists_no_partners(spark):
+    """Many equal titles on both sides give each id of the batch once a pair of chunks, not once a partner."""
+    from tarnmill.operators.similarity import resembling, vectors
+
+    rows = [(f"{s}{i}", "c", "data engineer") for s in "bh" for i in range(30)] + [("b99", "c", "ops"), ("b98", "d", "data engineer")]
+    v = vectors(spark.createDataFrame(rows, "id string, company string, title string"), "id", "title", ["company"])
+    got = [r.left_id for r in resembling(v, 0.9, "company", F.col("id").startswith("b")).collect()]
+    assert sorted(got) == sorted(f"b{i}" for i in range(30))
